@@ -52,8 +52,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20, color: str | None = No
             .withColumn("_stats", as_struct(limits))
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
         )
-        same = (frame["bin"] == counts["bin"]) & frame["color"].eqNullSafe(counts["color"])
-        joined = frame.join(counts, same, "left").drop(counts["bin"]).drop(counts["color"])
+        counts = counts.withColumnsRenamed({"bin": "_bin", "color": "_color"})
+        same = (F.col("bin") == F.col("_bin")) & F.col("color").eqNullSafe(F.col("_color"))
+        joined = frame.join(counts, same, "left")
     else:
         joined = frame.join(counts, "bin", "left")
     return joined.select(

@@ -22,21 +22,37 @@ def _double(name: str) -> Column:
     return quoted(name).cast("double")
 
 
-def _pairs(df: DataFrame) -> list[tuple[str, str]]:
-    return list(combinations(numeric_columns(df)[:PAIR_COLUMNS], 2))
+def _pairs(df: DataFrame, columns: list[str] | None) -> list[tuple[str, str]]:
+    names = numeric_columns(df) if columns is None else columns
+    return list(combinations(names[:PAIR_COLUMNS], 2))
 
 
-def pair_products(df: DataFrame) -> DataFrame:
-    return canonicalise(df).withColumns(
-        {f"{a}_{b}_{PRODUCT}": _double(a) * _double(b) for a, b in _pairs(df)}
-    )
+def _product(a: str, b: str) -> dict[str, Column]:
+    return {f"{a}_{b}_{PRODUCT}": _double(a) * _double(b)}
 
 
-def pair_ratios(df: DataFrame) -> DataFrame:
+def _ratio(a: str, b: str) -> dict[str, Column]:
     """A zero denominator gives a missing value."""
-    return canonicalise(df).withColumns(
-        {f"{a}_{b}_{RATIO}": F.try_divide(_double(a), _double(b)) for a, b in _pairs(df)}
-    )
+    return {f"{a}_{b}_{RATIO}": F.try_divide(_double(a), _double(b))}
+
+
+def _with_pairs(df: DataFrame, columns: list[str] | None, makers) -> DataFrame:
+    made = {n: c for a, b in _pairs(df, columns) for make in makers for n, c in make(a, b).items()}
+    return canonicalise(df).withColumns(made) if made else canonicalise(df)
+
+
+def pair_products(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Products of the first five numeric columns, two at a time."""
+    return _with_pairs(df, columns, [_product])
+
+
+def pair_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return _with_pairs(df, columns, [_ratio])
+
+
+def pair_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Product and ratio of each pair, both from the given columns."""
+    return _with_pairs(df, columns, [_product, _ratio])
 
 
 def _category_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
@@ -126,14 +142,10 @@ def row_aggregates(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def engineer(df: DataFrame) -> DataFrame:
     """Pair features, indicators, row aggregates - all from the original columns."""
-    df = canonicalise(df)
     names = numeric_columns(df)
-    features: dict[str, Column] = {}
-    for a, b in _pairs(df):
-        features[f"{a}_{b}_{PRODUCT}"] = _double(a) * _double(b)
-        features[f"{a}_{b}_{RATIO}"] = F.try_divide(_double(a), _double(b))
-    features |= _low_card_indicators(df, LOW_CARDINALITY)
-    wide = df.withColumns(features) if features else df
+    indicators = _low_card_indicators(df, LOW_CARDINALITY)
+    wide = pair_features(df, names)
+    wide = wide.withColumns(indicators) if indicators else wide
     return row_aggregates(wide, names)
 
 

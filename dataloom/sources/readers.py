@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -30,24 +30,20 @@ def explode_records(
 ) -> DataFrame:
     """Rows from the list field of JSON documents: the named one, else the first in
     document order that holds a list. A document without a list gives one row itself."""
-    text = F.col(column)
+    fields = F.from_json(column, "map<string,string>")
+    parsed = documents.select(
+        *keep, F.col(column).alias("_text"), fields.alias("_fields"),
+        F.json_object_keys(column).alias("_names"),
+    )
     if record_path is not None:
-        body = F.get_json_object(text, f"$.{record_path}")
+        body = F.get_json_object("_text", f"$.{record_path}")
     else:
-        names = F.json_object_keys(text)
-        # The first field, in document order, whose value starts as a list.
-        found = F.element_at(
-            F.filter(names, lambda n: _field_text(text, n).startswith("[")), 1
-        )
-        body = _field_text(text, found)
-    records = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    parsed = F.from_json(records, f"array<struct<{record_schema}>>")
-    return documents.select(*keep, F.inline(parsed))
-
-
-def _field_text(document: Column, name: Column) -> Column:
-    return F.coalesce(
-        F.element_at(F.from_json(document, "map<string,string>"), name), F.lit("")
+        lists = F.filter("_names", lambda n: F.try_element_at("_fields", n).startswith("["))
+        body = F.try_element_at("_fields", F.try_element_at(lists, F.lit(1)))
+    whole = F.concat(F.lit("["), F.col("_text"), F.lit("]"))
+    records = F.when(body.startswith("["), body).otherwise(whole)
+    return parsed.select(
+        *keep, F.inline(F.from_json(records, f"array<struct<{record_schema}>>"))
     )
 
 
@@ -59,7 +55,7 @@ def read_json_nested(
     A JSON object cannot be cut, so a file is the unit of work; many files run in
     parallel.
     """
-    documents = spark.read.option("wholetext", True).text(path)
+    documents = spark.read.text(path, wholetext=True)
     return explode_records(documents, "value", record_schema, record_path)
 
 
