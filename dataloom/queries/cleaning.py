@@ -67,10 +67,10 @@ def _pair_columns(names, kinds=("product", "ratio")) -> list[str]:
     made = []
     for a, b in combinations(names[:5], 2):
         if "product" in kinds:
-            made.append(f"""round({_double(a)} * {_double(b)}, 2) + 0.0 AS {a}_{b}_product""")
+            made.append(f"{_double(a)} * {_double(b)} AS {a}_{b}_product")
         if "ratio" in kinds:
             made.append(
-                f"round({_double(a)} / nullif({_double(b)}, 0), 6) + 0.0 AS {a}_{b}_ratio"
+                f"{_double(a)} / nullif({_double(b)}, 0) AS {a}_{b}_ratio"
             )
     return made
 
@@ -98,8 +98,14 @@ def _dirty_columns() -> list[str]:
 
 
 def _for_compare(df: DataFrame) -> DataFrame:
-    digits = {c: 2 for c in df.columns if c.endswith("_product")}
-    digits |= {c: 6 for c in df.columns if c.endswith(("_ratio", "_scaled", "_normalized", "_log"))}
+    """Rounded, except columns that are one operation on stored values: those are equal
+    to the last bit."""
+    digits: dict[str, int | None] = {}
+    for c in df.columns:
+        if c.endswith(("_product", "_ratio", "_normalized")):
+            digits[c] = None
+        elif c.endswith(("_scaled", "_log")):
+            digits[c] = 6
     return rounded(df, 4, **digits)
 
 
@@ -115,7 +121,7 @@ def _scaled(names, table: str, kinds) -> tuple[list[str], str]:
         made += [f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}_scaled" for c in names]
     if "normalized" in kinds:
         made += [
-            f"round(({c} - lo_{c}) / (hi_{c} - lo_{c}), 6) + 0.0 AS {c}_normalized" for c in names
+            f"({_double(c)} - lo_{c}) / (hi_{c} - lo_{c}) AS {c}_normalized" for c in names
         ]
     return made, f"{table}, (SELECT {stats} FROM {table})"
 

@@ -101,13 +101,17 @@ class Tables:
         return self.spark.sql(f"SELECT * FROM {text}", **used)
 
 
-def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Doubles rounded for comparison: engines add up in different orders."""
-    return df.select(*[
-        fixed(quoted(f.name), per_column.get(f.name, digits)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else quoted(f.name)
-        for f in df.schema
-    ])
+def rounded(df: DataFrame, digits: int = 6, **per_column: int | None) -> DataFrame:
+    """Doubles rounded for comparison, as engines add up in different orders; a column
+    given None stays as it is."""
+
+    def shown(field: T.StructField):
+        places = per_column.get(field.name, digits)
+        if places is None or not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return quoted(field.name)
+        return fixed(quoted(field.name), places).alias(field.name)
+
+    return df.select(*[shown(f) for f in df.schema])
 
 
 def union_all(parts: list[str]) -> str:
