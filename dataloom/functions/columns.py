@@ -88,3 +88,11 @@ def row_hash(df: DataFrame, names: list[str] | None = None, seed: int = 0) -> Co
 def fixed(value: Column, digits: int) -> Column:
     """Rounded double without a negative zero."""
     return F.round(value, digits) + F.lit(0.0)
+
+
+def epoch_micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    time = (F.hour(moment) * 3600 + F.minute(moment) * 60).cast("long") * 1_000_000
+    seconds = (F.extract(F.lit("SECOND"), moment) * 1_000_000).cast("long")
+    days = F.datediff(moment.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86_400_000_000 + time + seconds

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as a number, and the accepted date layouts.
+# What counts as a number, and the accepted date layouts with their shapes.
 NUMBER_PATTERN = (
     r"^[ \t\n\r]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)[ \t\n\r]*$"
 )
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-)
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+}
 
 
 def looks_numeric(text: Column) -> Column:
@@ -24,9 +24,16 @@ def looks_numeric(text: Column) -> Column:
 
 
 def parse_datetime(text: Column) -> Column:
-    """The text as timestamp without zone under the first layout that fits, else NULL."""
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """The text as timestamp without zone under the layout that fits, else NULL.
+
+    A layout is tried only on texts of its shape: a failing parse costs far more than
+    a pattern match.
+    """
+    parsed = F.lit(None).cast("timestamp")
+    for layout, shape in reversed(DATE_FORMATS.items()):
+        tried = F.try_to_timestamp(text, F.lit(layout))
+        parsed = F.when(text.rlike(shape), tried).otherwise(parsed)
+    return parsed.cast("timestamp_ntz")
 
 
 def stripped(text: Column) -> Column:

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dataloom.functions.columns import canonicalise, datetime_columns, quoted, text_columns
+from dataloom.functions.columns import (
+    canonicalise, datetime_columns, epoch_micros, quoted, text_columns,
+)
 from dataloom.functions.parsing import parse_datetime
-from dataloom.plans.long_form import numeric_of, spread
+from dataloom.plans.long_form import numeric_of
 from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.positions import with_running
 from dataloom.plans.quantiles import attachable, group_quantiles
 
-PAIRS_PER_PASS = 60
-
 
 def _value(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, canonicalised: the scan reads nothing else."""
@@ -85,11 +85,8 @@ def smoothed_sorted(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     rows = canonicalise(
         df.select(*[quoted(k).alias(k) for k in key], quoted(column).cast("double").alias("x"))
     )
-    running = with_running(rows, [F.asc_nulls_last("x"), *[quoted(k) for k in key]], "x")
-    totals = running.agg(
-        F.count("*").alias("n"), F.max("run_count").alias("seen"),
-        F.max_by("run_sum", "position").alias("sum"),
-    )
+    order = [F.asc_nulls_last("x"), *[quoted(k) for k in key]]
+    running, totals = with_running(rows, order, "x")
     n = F.col("_stats.n")
     window = F.when(n > 10, F.floor(n / 10)).otherwise(n)
     below, above = F.floor(window / 2), F.floor((window - 1) / 2)
@@ -194,62 +191,61 @@ def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = No
     return points.groupBy("group", "point").agg(F.max(at).alias("x"), (mass / norm).alias("density"))
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both exist; NULL when either is constant there."""
-    both = x.isNotNull() & y.isNotNull()
-    spread_of = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.greatest(
-        F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(x, y), spread_of))
+def _pairwise(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(feature_1, feature_2, correlation) of the given pairs, each over the rows where
+    both columns have a value; NULL where either is constant there.
+
+    Rows are unpivoted to one (pair, x, y) per pair and grouped by pair. Partial sums are
+    kept per task, so nothing but one row per pair and task is shuffled, and the plan
+    stays small however many columns there are.
+    """
+    doubles = df.select(*[quoted(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    listed = ", ".join(f"({at[a]}, {at[b]}) AS `{i}`" for i, (a, b) in enumerate(pairs))
+    long = df.sparkSession.sql(
+        f"SELECT pair, x, y FROM {{doubles}} UNPIVOT ((x, y) FOR pair IN ({listed}))",
+        doubles=doubles,
+    ).filter("x is not null and y is not null")
+    spread_of = F.stddev_pop("x") * F.stddev_pop("y")
+    found = long.groupBy(F.col("pair").cast("int").alias("pair")).agg(
+        F.greatest(F.lit(-1.0), F.least(
+            F.lit(1.0), F.try_divide(F.covar_pop("x", "y"), spread_of)
+        )).alias("correlation")
+    )
+    labels = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)],
+        "pair int, feature_1 string, feature_2 string",
+    )
+    # One row per pair of columns on both sides.
+    return labels.join(F.broadcast(found), "pair", "left").select(
+        "feature_1", "feature_2", "correlation"
     )
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(feature_1, feature_2, correlation) for each pair, upper triangle.
-
-    All pairs of a pass come from one aggregate; very wide tables take several passes,
-    each reading only its own columns.
-    """
+    """Pearson correlation of each two numeric columns, upper triangle."""
     df = canonicalise(df)
     names = numeric_of(df, columns)
     if len(names) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = list(combinations(names, 2))
-    passes = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        one = df.agg(*[
-            _pearson(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}")
-            for i, (a, b) in enumerate(chunk)
-        ])
-        rows = [
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                     F.col(f"r{i}").alias("correlation"))
-            for i, (a, b) in enumerate(chunk)
-        ]
-        passes.append(one.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionAll, passes)
+    return _pairwise(df, names, list(combinations(names, 2)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Long form of the full matrix; the diagonal is 1, or NULL for a constant column."""
     df = canonicalise(df)
     names = numeric_of(df, columns)
-    upper = correlation_pairs(df, names)
-    both_ways = upper.select(F.inline(F.array(
-        F.struct("feature_1", "feature_2", "correlation"),
+    upper = _pairwise(df, names, list(combinations_with_replacement(names, 2)))
+    same = F.col("feature_1") == F.col("feature_2")
+    value = F.when(same & F.col("correlation").isNotNull(), 1.0).otherwise(F.col("correlation"))
+    cells = F.array(
+        F.struct("feature_1", "feature_2", value.alias("correlation")),
         F.struct(
             F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"),
-            "correlation",
+            value.alias("correlation"),
         ),
-    )))
-    spreads = df.agg(*[
-        F.stddev_pop(quoted(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)
-    ])
-    diagonal = spread(spreads, {c: {"s": f"s{i}"} for i, c in enumerate(names)}).select(
-        F.col("column").alias("feature_1"), F.col("column").alias("feature_2"),
-        F.when(F.col("s") > 0, F.lit(1.0)).alias("correlation"),
     )
-    return both_ways.unionAll(diagonal)
+    return upper.select(F.inline(F.slice(cells, F.lit(1), F.when(same, 1).otherwise(2))))
 
 
 def top_correlations(
@@ -334,7 +330,7 @@ def trendline(series: DataFrame, x: str = "period", y: str = "value") -> DataFra
     kind = series.schema[x].dataType.simpleString()
     axis = quoted(x).cast("double")
     if kind in ("date", "timestamp", "timestamp_ntz"):
-        axis = F.unix_micros(quoted(x).cast("timestamp")) / 1e6
+        axis = epoch_micros(quoted(x).cast("timestamp_ntz")) / 1e6
     points = series.withColumn("_x", axis).withColumn("_y", quoted(y).cast("double"))
     centre = points.agg(F.avg("_x").alias("mx"))
     near = with_row(points, centre, "_centre").withColumn("_dx", F.col("_x") - F.col("_centre.mx"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dataloom.functions.columns import quoted
+from dataloom.functions.columns import epoch_micros, quoted
 
 # The states of a run.
 CREATED, RUNNING, COMPLETED, FAILED = "created", "running", "completed", "failed"
@@ -29,10 +29,7 @@ def job_state(events: DataFrame) -> DataFrame:
         first_time(RUNNING).alias("started_at"),
         last_time(COMPLETED, FAILED).alias("ended_at"),
     )
-    seconds = (
-        F.unix_micros(F.col("ended_at").cast("timestamp"))
-        - F.unix_micros(F.col("started_at").cast("timestamp"))
-    ) / 1e6
+    seconds = (epoch_micros(F.col("ended_at")) - epoch_micros(F.col("started_at"))) / 1e6
     return jobs.select(
         "job_id", F.col("e.status").alias("status"), F.col("e.ts").alias("updated_at"),
         F.col("e.metrics").alias("metrics"), "created_at", "started_at", "ended_at",

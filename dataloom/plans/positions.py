@@ -49,8 +49,11 @@ def with_position(df: DataFrame, order: list[str | Column], name: str = "positio
     )
 
 
-def with_running(df: DataFrame, order: list[str | Column], value: str) -> DataFrame:
-    """Add ``position``, ``run_sum`` and ``run_count`` of the non-NULL values so far."""
+def with_running(
+    df: DataFrame, order: list[str | Column], value: str
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``position``, ``run_sum`` and ``run_count`` of the non-NULL values so far; and,
+    as one row, the totals ``n``, ``sum`` and ``seen``."""
     parts = _sorted_partitions(df, order)
     running = T.StructType(
         parts.schema.fields
@@ -66,12 +69,14 @@ def with_running(df: DataFrame, order: list[str | Column], value: str) -> DataFr
                 total, seen = float(sums.iloc[-1]), int(counts.iloc[-1])
             yield batch.assign(_sum=sums, _seen=counts.astype("int64"))
 
-    before = _before(parts, {
-        "_rows": F.count("*"),
-        "_sums": F.coalesce(F.sum(quoted(value)), F.lit(0.0)),
-        "_counts": F.count(quoted(value)),
-    })
-    return (
+    total = F.coalesce(F.sum(quoted(value)), F.lit(0.0))
+    before = _before(
+        parts, {"_rows": F.count("*"), "_sums": total, "_counts": F.count(quoted(value))}
+    )
+    totals = parts.agg(
+        F.count("*").alias("n"), total.alias("sum"), F.count(quoted(value)).alias("seen")
+    )
+    rows = (
         parts.mapInPandas(accumulate, running)
         .join(before, "_part")
         .withColumns({
@@ -81,3 +86,4 @@ def with_running(df: DataFrame, order: list[str | Column], value: str) -> DataFr
         })
         .drop("_part", "_row", "_rows", "_sums", "_counts", "_sum", "_seen")
     )
+    return rows, totals
