@@ -1,17 +1,20 @@
 """Exact quantiles (linear interpolation) without one task holding all values.
 
 Spark's ``percentile`` keeps every distinct value of a group in one hash map. Here a
-sketch only narrows the search, and counting makes the answer exact:
+sketch only proposes where to cut, and counting makes the answer exact:
 
 1. one sketch per group gives a few edges around each wanted rank;
-2. one pass counts the values below and up to each edge, which proves between
-   which two edges the wanted ranks lie - whatever the sketch's error was;
-3. only the values between those edges are grouped by value, ordered, and counted
-   through to the rank.
-
-With accuracy A about 4/A of a group's values reach step 3, as distinct values.
-Each step carries what the next one needs, so no step depends on running an
-earlier one twice with the same result.
+2. one pass counts values per bucket, the buckets being the ranges between the edges,
+   each cut into equal widths in large groups. Counts, smallest and largest value of the
+   buckets show in which of them a rank lies - whatever the sketch's error was;
+3. only the values of those buckets are grouped by value, ordered, and counted through
+   to the rank.
+
+With accuracy A and W widths about 4 / (A * W) of a large group's values reach step 3,
+as distinct values: with the defaults some two million of 10^12.
+
+Each step carries what the next one needs, so no step depends on running an earlier one
+twice with the same result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from dataloom.functions.columns import quoted
 from dataloom.plans.shared import checkpoint
 
 ACCURACY = 10_000
+WIDTHS = 256
+LARGE_GROUP = 100_000
 BROADCAST_GROUPS = 100_000
 
 
@@ -41,8 +46,15 @@ def attachable(table: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
-def _best(columns: list[Column], pick) -> Column:
-    return pick(*columns) if len(columns) > 1 else columns[0]
+def _bucket(value: Column, edges: Column, count: int, widths: Column) -> Column:
+    """Number of the bucket of a value; it never falls when the value rises."""
+    passed = reduce(
+        Column.__add__, [(value >= F.get(edges, F.lit(i))).cast("int") for i in range(count)]
+    )
+    low, high = F.get(edges, passed - 1), F.get(edges, passed)
+    within = F.floor(F.try_divide(value - low, high - low) * widths)
+    # Outermost ranges have one open end and stay whole.
+    return passed * widths + F.least(F.coalesce(within, F.lit(0)), widths - 1)
 
 
 def group_quantiles(
@@ -67,42 +79,42 @@ def group_quantiles(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
-    sketch = sketch.select(
-        *by, "_n", *[F.col("_edges")[i].alias(f"_e{i}") for i in range(len(edges))]
-    )
-    counted = rows.join(attachable(sketch, bounded), keys).groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        *[F.max(f"_e{i}").alias(f"_e{i}") for i in range(len(edges))],
-        *[F.count_if(F.col("_v") < F.col(f"_e{i}")).alias(f"_lt{i}") for i in range(len(edges))],
-        *[F.count_if(F.col("_v") <= F.col(f"_e{i}")).alias(f"_le{i}") for i in range(len(edges))],
+    widths = F.when(F.col("_n") > LARGE_GROUP, WIDTHS).otherwise(1).cast("long")
+    at = _bucket(F.col("_v"), F.col("_edges"), len(edges), widths)
+    buckets = (
+        rows.join(attachable(sketch, bounded), keys)
+        .groupBy(*by, at.alias("_bucket"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    spans = []
+    # At most (edges + 1) * WIDTHS rows per group.
+    group = Window.partitionBy(*by)
+    placed = buckets.withColumns({
+        "_n": F.sum("_c").over(group),
+        "_after": F.sum("_c").over(group.orderBy("_bucket")),
+    }).withColumn("_before", F.col("_after") - F.col("_c"))
+    found = []
     for t, p in enumerate(probs.values()):
         rank = F.lit(p) * (F.col("_n") - 1)
         first, last = F.floor(rank), F.ceil(rank)
-        at = range(len(edges))
-        lo = _best([F.when(F.col(f"_lt{i}") <= first, F.col(f"_e{i}")) for i in at], F.greatest)
-        hi = _best([F.when(F.col(f"_le{i}") > last, F.col(f"_e{i}")) for i in at], F.least)
-        base = _best([F.when(F.col(f"_lt{i}") <= first, F.col(f"_lt{i}")) for i in at], F.greatest)
-        spans.append(F.struct(
+        has_first = (F.col("_before") <= first) & (first < F.col("_after"))
+        has_last = (F.col("_before") <= last) & (last < F.col("_after"))
+        found.append(F.struct(
             F.lit(t).alias("t"),
-            F.coalesce(lo, F.lit(float("-inf"))).alias("lo"),
-            F.coalesce(hi, F.lit(float("inf"))).alias("hi"),
-            F.coalesce(base, F.lit(0)).cast("long").alias("base"),
-            first.cast("long").alias("first"),
-            last.cast("long").alias("last"),
-            (rank - first).alias("weight"),
-        ))
-    found = counted.select(*by, *[s.alias(f"_s{t}") for t, s in enumerate(spans)])
-    found = attachable(found, bounded)
+            F.min(F.when(has_first, F.col("_lo"))).alias("lo"),
+            F.max(F.when(has_last, F.col("_hi"))).alias("hi"),
+            F.min(F.when(has_first, F.col("_before"))).alias("base"),
+            F.max(first).alias("first"), F.max(last).alias("last"),
+            F.max(rank - first).alias("weight"),
+        ).alias(f"_s{t}"))
+    found = attachable(placed.groupBy(*by).agg(*found), bounded)
 
     near = [
-        F.col("_v").between(F.col(f"_s{t}.lo"), F.col(f"_s{t}.hi")) for t in range(len(spans))
+        F.col("_v").between(F.col(f"_s{t}.lo"), F.col(f"_s{t}.hi")) for t in range(len(probs))
     ]
     candidates = (
         rows.join(found, keys)
         .filter(reduce(Column.__or__, near))
-        .select(*by, "_v", F.explode(F.array(*[f"_s{t}" for t in range(len(spans))])).alias("_s"))
+        .select(*by, "_v", F.explode(F.array(*[f"_s{t}" for t in range(len(probs))])).alias("_s"))
         .filter(F.col("_v").between(F.col("_s.lo"), F.col("_s.hi")))
         .groupBy(*by, F.col("_s.t").alias("_t"), "_v")
         .agg(
