@@ -11,7 +11,7 @@ from dataloom.functions.columns import (
     canonicalise, datetime_columns, epoch_micros, quoted, text_columns,
 )
 from dataloom.functions.parsing import parse_datetime
-from dataloom.plans.long_form import numeric_of
+from dataloom.plans.long_form import numeric_long, numeric_of
 from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.positions import with_running
 from dataloom.plans.quantiles import attachable, group_quantiles
@@ -129,10 +129,12 @@ def box_summary(
     the whole column or per group."""
     keys = [k for k in (by, color) if k]
     rows = _value(df, y, *keys).filter(quoted(y).isNotNull())
-    if not keys:
-        rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
+    whole = not keys
+    if whole:
+        # The whole column is the one group of the long form.
+        rows, keys, y = numeric_long(rows, [y]), ["column"], "value"
     quartiles = group_quantiles(
-        rows, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bounded=keys == ["_all"]
+        rows, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bounded=whole
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({
@@ -141,8 +143,8 @@ def box_summary(
     value = quoted(y).cast("double")
     inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
     names = ("q1", "median", "q3", "lower_fence", "upper_fence")
-    return (
-        rows.join(attachable(fences, keys == ["_all"]), keys)
+    boxes = (
+        rows.join(attachable(fences, whole), keys)
         .groupBy(*[quoted(k) for k in keys])
         .agg(
             F.count("*").alias("n"),
@@ -151,8 +153,8 @@ def box_summary(
             F.max(F.when(inside, value)).alias("whisker_high"),
             F.count_if(~inside).alias("outliers"),
         )
-        .drop("_all")
     )
+    return boxes.drop("column") if whole else boxes
 
 
 def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = None) -> DataFrame:
@@ -206,12 +208,10 @@ def _pairwise(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) ->
         f"SELECT pair, x, y FROM {{doubles}} UNPIVOT ((x, y) FOR pair IN ({listed}))",
         doubles=doubles,
     ).filter("x is not null and y is not null")
-    spread_of = F.stddev_pop("x") * F.stddev_pop("y")
-    found = long.groupBy(F.col("pair").cast("int").alias("pair")).agg(
-        F.greatest(F.lit(-1.0), F.least(
-            F.lit(1.0), F.try_divide(F.covar_pop("x", "y"), spread_of)
-        )).alias("correlation")
-    )
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    # greatest and least skip NULL, so a constant column needs its own branch.
+    clamped = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    found = long.groupBy(F.col("pair").cast("int").alias("pair")).agg(clamped.alias("correlation"))
     labels = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(pairs)],
         "pair int, feature_1 string, feature_2 string",
