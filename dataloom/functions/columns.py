@@ -82,7 +82,14 @@ def null_mask(names: list[str]) -> Column:
 
 def row_hash(df: DataFrame, names: list[str] | None = None, seed: int = 0) -> Column:
     names = list(names or df.columns)
-    return F.xxhash64(F.lit(seed), null_mask(names), *[quoted(n) for n in names])
+    return F.xxhash64(F.lit(seed), null_mask(names), *[_hashable(df, n) for n in names])
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    """Spark does not hash maps: their sorted entries stand for them."""
+    if isinstance(df.schema[name].dataType, T.MapType):
+        return F.array_sort(F.map_entries(quoted(name)))
+    return quoted(name)
 
 
 def fixed(value: Column, digits: int) -> Column:

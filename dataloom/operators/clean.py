@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.functions.columns import canonicalise, numeric_columns, quoted, text_columns
-from dataloom.plans.long_form import frequencies, numeric_long
+from dataloom.plans.long_form import frequencies, numeric_long, with_long_texts
 from dataloom.plans.one_row import with_row
 from dataloom.plans.quantiles import column_quantiles
-from dataloom.plans.shared import checkpoint
+from dataloom.plans.shared import stored
 
 # Limits of the cleaning rules.
 IMPUTE_LIMIT = 0.2
@@ -50,10 +50,13 @@ def _medians(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _modes(df: DataFrame, names: list[str]) -> DataFrame:
     """The most frequent text of each column, the smallest of equally frequent ones."""
-    ranked = frequencies(df, names).groupBy("column").agg(
-        F.min_by("string_value", F.struct(-F.col("n"), F.col("string_value"))).alias("mode")
+    place = F.struct(-F.col("n"), F.col("string_value").isNull(), "string_value", "h1", "h2")
+    best = frequencies(df, names).groupBy("column").agg(
+        F.min_by(F.struct("string_value", "h1", "h2"), place).alias("best")
     )
-    return _by_column(ranked, names, ["mode"])
+    # One value per column.
+    modes = with_long_texts(best.select("column", "best.*"), df, names)
+    return _by_column(modes.withColumnRenamed("string_value", "mode"), names, ["mode"])
 
 
 def impute_median(df: DataFrame, max_missing: float = IMPUTE_LIMIT) -> DataFrame:
@@ -133,7 +136,7 @@ def clean(df: DataFrame) -> DataFrame:
 
     Booleans are filled as numbers but, as they were not numbers before, not clipped.
     """
-    once = checkpoint(dedupe(df))
+    once = stored(dedupe(df), "deduplicated")
     filled = _impute(once, numeric_columns(once, booleans=True), text_columns(once), IMPUTE_LIMIT)
     return clip_iqr(filled, columns=numeric_columns(once))
 

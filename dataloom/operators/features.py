@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from dataloom.functions.columns import canonicalise, numeric_columns, quoted, text_columns
+from dataloom.operators.profile import distinct_by_column
 from dataloom.plans.one_row import with_row
 
 # Limits and name endings of the generated columns.
@@ -56,12 +57,9 @@ def pair_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _category_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Distinct values per column, counted without bringing any value to the driver."""
-    long = df.select(*[quoted(n) for n in names]).unpivot(
-        [], [quoted(n) for n in names], "column", "value"
-    )
-    counts = long.filter("value is not null").distinct().groupBy("column").count().collect()
-    return {r["column"]: r["count"] for r in counts}
+    """Distinct values per column; one number per column comes to the driver."""
+    counts = distinct_by_column(df.select(*[quoted(n) for n in names])).collect()
+    return {r["column"]: r["unique_values"] for r in counts}
 
 
 def _categories(df: DataFrame, names: list[str]) -> dict[str, list[str]]:

@@ -5,7 +5,7 @@ Spark tables have no row order, so operators that mean "first" or "last" take a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from dataloom.functions.columns import quoted, row_hash
 
@@ -41,7 +41,12 @@ def raw_records(df: DataFrame, key: list[str], n: int = 5, fmt: str = "csv") ->
     )
 
 
-def sort_by(df: DataFrame, x: str, *others: str) -> DataFrame:
+def sort_by(df: DataFrame, x: str) -> DataFrame:
+    """Rows by x, and by the other columns where x is equal: a value that most rows share
+    is then spread over several sort partitions."""
+    others = [
+        f.name for f in df.schema if f.name != x and not isinstance(f.dataType, T.MapType)
+    ]
     return df.orderBy(quoted(x), *[quoted(o) for o in others])
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from dataloom.functions.columns import (
     canonicalise, datetime_columns, missing, numeric_columns, quoted, row_hash, text_columns,
 )
-from dataloom.plans.long_form import frequencies, numeric_long, numeric_of, spread
+from dataloom.plans.long_form import (
+    frequencies, numeric_long, numeric_of, spread, with_long_texts,
+)
 from dataloom.plans.one_row import as_struct
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
 
@@ -71,15 +73,21 @@ def _width(dtype: T.DataType) -> int | None:
     return fixed.get(type(dtype))
 
 
+def _variable_bytes(field: T.StructField) -> Column:
+    value, dtype = quoted(field.name), field.dataType
+    if isinstance(dtype, T.ArrayType) and _width(dtype.elementType):
+        return F.array_size(value) * _width(dtype.elementType)
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        value = F.to_json(value)
+    return F.octet_length(value)
+
+
 def _bytes(df: DataFrame) -> Column:
     widths = [_width(f.dataType) for f in df.schema]
     size = F.lit(sum(w for w in widths if w)).cast("long")
     for field, width in zip(df.schema, widths):
         if width is None:
-            value = quoted(field.name)
-            if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-                value = F.to_json(value)
-            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+            size = size + F.coalesce(_variable_bytes(field), F.lit(0))
     return size
 
 
@@ -188,13 +196,17 @@ def likely_categorical(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """(column, value, n, rank): the k most frequent values of each text column."""
+    """(column, value, n, rank): the k most frequent values of each text column; of
+    equally frequent ones the smallest, long texts after short ones."""
     names = columns or text_columns(df)
-    by = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    counted = frequencies(df, names).select("column", F.col("string_value").alias("value"), "n")
+    by = Window.partitionBy("column").orderBy(
+        F.desc("n"), F.asc_nulls_last("string_value"), "h1", "h2"
+    )
     # A rank limit right above the window: Spark keeps k rows per column and task
     # before the shuffle.
-    return counted.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    ranked = frequencies(df, names).withColumn("rank", F.row_number().over(by))
+    top = with_long_texts(ranked.filter(F.col("rank") <= k), df, names)
+    return top.select("column", F.col("string_value").alias("value"), "n", "rank")
 
 
 def column_info(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:

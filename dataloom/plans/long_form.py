@@ -31,11 +31,17 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
+# Texts above this length are grouped by digest.
+SHORT_TEXT = 64
+
+
 def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column, family fields, n): how often each value of each column occurs.
+    """(column, value fields, h1, h2, n): how often each value of each column occurs.
 
-    Columns are stacked by type family, so no number is turned into text. Hot
-    values meet in the map-side combine; the shuffle key is (column, value).
+    Columns are stacked by type family, so no number is turned into text. A short text
+    stands for itself; a long one is represented by 128 bits of hash (h1, h2), so that
+    profiling a corpus shuffles 16 bytes per distinct text instead of the corpus. Hot
+    values meet in the map-side combine.
     """
     names = list(names or df.columns)
     families: dict[str, list[str]] = {}
@@ -44,25 +50,60 @@ def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     parts = []
     for family, members in families.items():
         wide = df.select(*[_as_family(df, n, family).alias(n) for n in members])
-        counted = (
-            wide.unpivot([], [quoted(n) for n in members], "column", "value")
-            .filter("value is not null")
-            .groupBy("column", "value")
-            .agg(F.count("*").alias("n"))
-        )
-        parts.append(
-            counted.select(
-                "column",
-                *[
-                    (F.col("value") if f == family else F.lit(None)).cast(f).alias(f"{f}_value")
-                    for f in ("bigint", "double", "string")
-                ],
-                "n",
-            )
+        long = wide.unpivot([], [quoted(n) for n in members], "column", "value").filter(
+            "value is not null"
         )
+        nothing = F.lit(None)
+        if family == "string":
+            long = _digested(long)
+        else:
+            long = long.withColumns({
+                "h1": nothing.cast("bigint"), "h2": nothing.cast("bigint")
+            })
+        counted = long.groupBy("column", "value", "h1", "h2").agg(F.count("*").alias("n"))
+        parts.append(counted.select(
+            "column",
+            *[
+                (F.col("value") if f == family else nothing).cast(f).alias(f"{f}_value")
+                for f in ("bigint", "double", "string")
+            ],
+            "h1", "h2", "n",
+        ))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _digested(long: DataFrame) -> DataFrame:
+    value = F.col("value")
+    is_long = F.length(value) > SHORT_TEXT
+    return long.select(
+        "column",
+        F.when(~is_long, value).alias("value"),
+        F.when(is_long, F.xxhash64(F.lit(1), value)).alias("h1"),
+        F.when(is_long, F.xxhash64(F.lit(2), value)).alias("h2"),
+    )
+
+
+def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
+    """Put the texts back into a few chosen rows of ``frequencies``.
+
+    ``chosen`` must be small by construction (some rows per column): it is sent to the
+    rows, and of each matching text one copy per task comes back.
+    """
+    wide = df.select(*[_as_family(df, n, "string").alias(n) for n in names])
+    long = wide.unpivot([], [quoted(n) for n in names], "column", "text").filter(
+        F.length("text") > SHORT_TEXT
+    )
+    hashed = long.withColumns({
+        "h1": F.xxhash64(F.lit(1), F.col("text")), "h2": F.xxhash64(F.lit(2), F.col("text"))
+    })
+    keys = ["column", "h1", "h2"]
+    wanted = chosen.filter("h1 is not null").select(*keys).distinct()
+    texts = hashed.join(F.broadcast(wanted), keys).groupBy(*keys).agg(F.max("text").alias("text"))
+    return chosen.join(F.broadcast(texts), keys, "left").withColumn(
+        "string_value", F.coalesce("string_value", "text")
+    ).drop("text")
+
+
 def _as_family(df: DataFrame, name: str, family: str):
     dtype = df.schema[name].dataType
     if family == "string" and isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):

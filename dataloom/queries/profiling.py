@@ -21,6 +21,10 @@ PARTS = {
     "p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string",
     "p_size": "int", "p_retailprice": "double",
 }
+DOCUMENTS = {
+    "doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint",
+}
+CONVERSATIONS = {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}
 NUMBERS = ("bigint", "int", "double")
 
 
@@ -134,6 +138,25 @@ QUERIES = {
     "dataset_info": (
         lambda t: rounded(profile.dataset_info(t.sql(DIRTY_ORDERS))), _info_sql(ORDERS, _DIRTY),
     ),
+    "dataset_info_documents": (
+        lambda t: rounded(profile.dataset_info(t.documents)), _info_sql(DOCUMENTS, "documents"),
+    ),
+    "dataset_info_conversations": (
+        lambda t: rounded(profile.dataset_info(t.conversations)),
+        _info_sql(CONVERSATIONS, "conversations"),
+    ),
+    "embeddings_mb": (
+        lambda t: rounded(profile.estimated_mb(t.embeddings)),
+        """SELECT round(sum(12 + 4 * len(embedding)) / 1048576.0, 6) + 0.0 AS estimated_mb
+        FROM embeddings""",
+    ),
+    "distinct_documents": (
+        lambda t: profile.distinct_by_column(t.documents), distinct_sql(DOCUMENTS, "documents"),
+    ),
+    "distinct_pages": (
+        lambda t: profile.distinct_by_column(t.pages),
+        distinct_sql(["page_id", "url", "html"], "pages"),
+    ),
     "missing_profile": (
         lambda t: rounded(profile.missing_by_column(t.sql(DIRTY_ORDERS))),
         missing_sql(ORDERS, _DIRTY),

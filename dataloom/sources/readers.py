@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header row; types from ``schema``, else inferred by one extra pass."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+    line_breaks: bool = True,
+) -> DataFrame:
+    """Header row; types from ``schema``, else inferred by one extra pass.
+
+    Quoted values may hold line breaks, so a file is read by one task. For huge files
+    known to hold none, ``line_breaks=False`` lets Spark split them.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks)
+    reader = reader.option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -48,17 +56,57 @@ def explode_records(
 
 
 def read_json_nested(
-    spark: SparkSession, path: str, record_schema: str, record_path: str | None = None
+    spark: SparkSession, path: str, record_schema: str | None = None,
+    record_path: str | None = None,
 ) -> DataFrame:
     """Files that each hold one JSON object with a list of records (or one flat object).
 
     A JSON object cannot be cut, so a file is the unit of work; many files run in
-    parallel.
+    parallel. Without ``record_schema`` one more pass infers it.
     """
     documents = spark.read.text(path, wholetext=True)
+    if record_schema is None:
+        record_schema, record_path = _inferred(spark, path, documents, record_path)
     return explode_records(documents, "value", record_schema, record_path)
 
 
+def _inferred(
+    spark: SparkSession, path: str, documents: DataFrame, record_path: str | None
+) -> tuple[str, str | None]:
+    whole = spark.read.option("multiLine", True).json(path).schema
+    types = {f.name: f.dataType for f in whole}
+    # Inference sorts the fields; their order in the document decides.
+    names = documents.select(F.json_object_keys("value")).head()[0] or []
+    lists = [n for n in names if isinstance(types.get(n), T.ArrayType)]
+    record_path = record_path or (lists[0] if lists else None)
+    record = types[record_path].elementType if record_path else whole
+    if not isinstance(record, T.StructType):
+        raise ValueError(f"the list {record_path!r} does not hold records")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in record), record_path
+
+
+def read_dataset(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """Read by file ending: csv, parquet, jsonl, or json - a list of records, one record
+    per line, or one object around a list, told apart by the first lines."""
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if ending == "csv":
+        return read_csv(spark, path, schema)
+    if ending == "parquet":
+        return read_parquet(spark, path)
+    if ending == "jsonl":
+        return read_jsonl(spark, path, schema)
+    if ending != "json":
+        raise ValueError(f"unsupported file format: {ending}")
+    lines = [r.value.strip() for r in spark.read.text(path).filter("trim(value) <> ''").head(2)]
+    if lines and lines[0].startswith("["):
+        return read_json(spark, path, schema)
+    if len(lines) == 2 and lines[0].endswith("}") and lines[1].startswith("{"):
+        return read_jsonl(spark, path, schema)
+    return read_json_nested(spark, path)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

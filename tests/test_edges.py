@@ -233,3 +233,27 @@ def test_strip_takes_all_white_space(spark):
 def test_canonicalise_keeps_other_types(spark, folder):
     df = spark.read.parquet(f"{folder}/orders.parquet")
     assert canonicalise(df).schema.simpleString() == df.schema.simpleString()
+
+
+def test_long_texts_in_profile_and_mode(spark):
+    long_a, long_b = "a" * 100, "b" * 5_000
+    values = [long_b] * 3 + [long_a] * 3 + ["short", None]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    assert by_column(profile.distinct_by_column(df))["t"]["unique_values"] == 3
+    top = {r.value: r.n for r in profile.top_values(df).collect()}
+    assert top == {long_a: 3, long_b: 3, "short": 1}
+    filled = [r.t for r in clean.impute_mode(df).collect()]
+    assert sorted(filled.count(v) for v in (long_a, long_b)) == [3, 4] and None not in filled
+
+
+def test_kernel_density_has_mass_one(spark):
+    df = spark.createDataFrame([("g", float(i % 37)) for i in range(400)], "g string, v double")
+    for bins in (None, 256):
+        rows = charts.violin(df, "v", "g", grid=200, bins=bins).orderBy("x").collect()
+        step = rows[1].x - rows[0].x
+        assert 0.85 < sum(r.density for r in rows) * step < 1.01
+
+
+def test_maps_can_be_hashed(spark):
+    df = spark.sql("select map('a', 1, 'b', 2) m union all select map('b', 2, 'a', 1)")
+    assert df.select(row_hash(df)).distinct().count() == 1
