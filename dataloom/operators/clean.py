@@ -59,46 +59,61 @@ def _modes(df: DataFrame, names: list[str]) -> DataFrame:
     return _by_column(modes.withColumnRenamed("string_value", "mode"), names, ["mode"])
 
 
-def impute_median(df: DataFrame, max_missing: float = IMPUTE_LIMIT) -> DataFrame:
-    """Fill numeric and boolean columns with their median, as doubles."""
-    df = canonicalise(df)
-    names = numeric_columns(df, booleans=True)
-    return _impute(df, names, [], max_missing)
+def _fills(
+    df: DataFrame, numeric: list[str], texts: list[str], max_missing: float
+) -> DataFrame:
+    """One row: per column the value for its gaps, NULL where too many are missing."""
+    names = numeric + texts
+    one = df.agg(*_share_missing(names))
+    if numeric:
+        one = with_row(one, _medians(df, numeric), "_median")
+    if texts:
+        one = with_row(one, _modes(df, texts), "_mode")
 
+    def fill(i: int) -> Column:
+        if i < len(numeric):
+            value = F.col(f"_median.median{i}")
+        else:
+            value = F.coalesce(F.col(f"_mode.mode{i - len(numeric)}"), F.lit(NO_MODE))
+        return F.when(F.col(f"share{i}") <= max_missing, value).alias(f"fill{i}")
 
-def impute_mode(df: DataFrame, max_missing: float = IMPUTE_LIMIT) -> DataFrame:
-    df = canonicalise(df)
-    return _impute(df, [], text_columns(df), max_missing)
+    return one.select(*[fill(i) for i in range(len(names))])
 
 
-def _impute(
-    df: DataFrame, numeric: list[str], texts: list[str], max_missing: float
-) -> DataFrame:
+def _filled(
+    df: DataFrame, numeric: list[str], texts: list[str], fills: list[Column]
+) -> list[Column]:
+    value_of = dict(zip([*numeric, *texts], fills))
+    flags = {f.name for f in df.schema if f.dataType.simpleString() == "boolean"}
+
+    def column(name: str) -> Column:
+        if name not in value_of:
+            return quoted(name)
+        value = quoted(name).cast("int") if name in flags else quoted(name)
+        kind = "double" if name in numeric else "string"
+        return F.coalesce(value.cast(kind), value_of[name].cast(kind)).alias(name)
+
+    return [column(c) for c in df.columns]
+
+
+def _impute(df: DataFrame, numeric: list[str], texts: list[str], max_missing: float) -> DataFrame:
     names = numeric + texts
     if not names:
         return df
-    rows = with_row(df, df.agg(*_share_missing(names)), "_share")
-    if numeric:
-        rows = with_row(rows, _medians(df, numeric), "_median")
-    if texts:
-        rows = with_row(rows, _modes(df, texts), "_mode")
+    rows = with_row(df, _fills(df, numeric, texts, max_missing), "_fill")
+    fills = [F.col(f"_fill.fill{i}") for i in range(len(names))]
+    return rows.select(*_filled(df, numeric, texts, fills))
 
-    def filled(name: str) -> Column:
-        if name not in names:
-            return quoted(name)
-        few = F.col(f"_share.share{names.index(name)}") <= max_missing
-        if name in numeric:
-            value = quoted(name).cast("int") if _is_flag(df, name) else quoted(name)
-            fill = F.col(f"_median.median{numeric.index(name)}")
-            return F.coalesce(value.cast("double"), F.when(few, fill)).alias(name)
-        fill = F.coalesce(F.col(f"_mode.mode{texts.index(name)}"), F.lit(NO_MODE))
-        return F.coalesce(quoted(name), F.when(few, fill)).alias(name)
 
-    return rows.select(*[filled(c) for c in df.columns])
+def impute_median(df: DataFrame, max_missing: float = IMPUTE_LIMIT) -> DataFrame:
+    """Fill numeric and boolean columns with their median, as doubles."""
+    df = canonicalise(df)
+    return _impute(df, numeric_columns(df, booleans=True), [], max_missing)
 
 
-def _is_flag(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.simpleString() == "boolean"
+def impute_mode(df: DataFrame, max_missing: float = IMPUTE_LIMIT) -> DataFrame:
+    df = canonicalise(df)
+    return _impute(df, [], text_columns(df), max_missing)
 
 
 def clip_iqr(
@@ -115,29 +130,34 @@ def clip_iqr(
     bounds = found.select(
         "column", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")
     )
-    rows = with_row(df, df.agg(*_share_missing(names)), "_share")
-    rows = with_row(rows, _by_column(bounds, names, ["lo", "hi"]), "_bound")
+    limits = with_row(df.agg(*_share_missing(names)), _by_column(bounds, names, ["lo", "hi"]))
+    limits = limits.select(*[
+        F.when(F.col(f"share{i}") <= max_missing, F.col(f"_stats.{f}{i}")).alias(f"{f}{i}")
+        for i in range(len(names)) for f in ("lo", "hi")
+    ])
 
     def clipped(name: str) -> Column:
         if name not in names:
             return quoted(name)
-        i = names.index(name)
-        value = quoted(name).cast("double")
-        few = F.col(f"_share.share{i}") <= max_missing
+        i, value = names.index(name), quoted(name).cast("double")
+        # greatest and least skip NULL: no bound, no change.
         capped = F.greatest(F.least(value, F.col(f"_bound.hi{i}")), F.col(f"_bound.lo{i}"))
-        return F.when(few & value.isNotNull(), capped).otherwise(value).alias(name)
+        return F.when(value.isNotNull(), capped).alias(name)
 
-    return rows.select(*[clipped(c) for c in df.columns])
+    return with_row(df, limits, "_bound").select(*[clipped(c) for c in df.columns])
 
 
 def clean(df: DataFrame) -> DataFrame:
     """dedupe, then fill missing values, then clip: shares and bounds are taken after
-    the step before. The deduplicated table is written once and read by every pass.
+    the step before. The deduplicated table is written once and read by every pass; one
+    row of fill values is fetched.
 
     Booleans are filled as numbers but, as they were not numbers before, not clipped.
     """
     once = stored(dedupe(df), "deduplicated")
-    filled = _impute(once, numeric_columns(once, booleans=True), text_columns(once), IMPUTE_LIMIT)
+    numeric, texts = numeric_columns(once, booleans=True), text_columns(once)
+    filled = once
+    if numeric or texts:
+        fills = [F.lit(v) for v in _fills(once, numeric, texts, IMPUTE_LIMIT).first()]
+        filled = once.select(*_filled(once, numeric, texts, fills))
     return clip_iqr(filled, columns=numeric_columns(once))
-
-
