@@ -98,7 +98,7 @@ def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataF
     })
     keys = ["column", "h1", "h2"]
     wanted = chosen.filter("h1 is not null").select(*keys).distinct()
-    texts = hashed.join(F.broadcast(wanted), keys).groupBy(*keys).agg(F.max("text").alias("text"))
+    texts = hashed.join(F.broadcast(wanted), keys).select(*keys, "text").distinct()
     return chosen.join(F.broadcast(texts), keys, "left").withColumn(
         "string_value", F.coalesce("string_value", "text")
     ).drop("text")

@@ -111,7 +111,7 @@ def test_top_ranks_are_limited_before_the_shuffle(spark, folder):
     )
     part = spark.read.parquet(f"{folder}/part.parquet")
     for df in (log_tail(events, 5), top_values(part)):
-        assert plan(df).count("WindowGroupLimit") == 2
+        assert "row_number(), 5, Partial" in plan(df)
 
 
 def test_latest_state_has_no_window(spark):
