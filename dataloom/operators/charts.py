@@ -14,7 +14,7 @@ from dataloom.functions.parsing import parse_datetime
 from dataloom.plans.long_form import numeric_long, numeric_of
 from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.positions import with_running
-from dataloom.plans.quantiles import attachable, group_quantiles
+from dataloom.plans.quantiles import attach, group_quantiles
 
 
 def _value(df: DataFrame, *names: str) -> DataFrame:
@@ -134,7 +134,7 @@ def box_summary(
         # The whole column is the one group of the long form.
         rows, keys, y = numeric_long(rows, [y]), ["column"], "value"
     quartiles = group_quantiles(
-        rows, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bounded=whole
+        rows, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bounded=whole, size="n"
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumns({
@@ -144,7 +144,7 @@ def box_summary(
     inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
     names = ("q1", "median", "q3", "lower_fence", "upper_fence")
     boxes = (
-        rows.join(attachable(fences, whole), keys)
+        attach(rows, fences, keys, "n", whole)
         .groupBy(*[quoted(k) for k in keys])
         .agg(
             F.count("*").alias("n"),
@@ -167,10 +167,10 @@ def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = No
     """
     rows = _value(df, y, by).select(quoted(by).alias("group"), quoted(y).cast("double").alias("v"))
     rows = rows.filter("group is not null and v is not null")
-    stats = attachable(rows.groupBy("group").agg(
+    stats = rows.groupBy("group").agg(
         F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.stddev_samp("v").alias("s"),
-    ), bounded=False)
+    )
     if bins:
         width = (F.col("hi") - F.col("lo")) / bins
         place = F.coalesce(
@@ -178,12 +178,12 @@ def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = No
             F.lit(0),
         )
         centre = F.when(width > 0, F.col("lo") + (place + 0.5) * width).otherwise(F.col("v"))
-        rows = rows.join(stats, "group").groupBy("group", centre.alias("v")).agg(
-            F.count("*").alias("c")
-        )
+        per_bin = [F.col(c) for c in ("rows", "lo", "hi", "s")]
+        weighted = attach(rows, stats, ["group"], "rows").groupBy(
+            "group", centre.alias("v"), *per_bin
+        ).agg(F.count("*").alias("c"))
     else:
-        rows = rows.withColumn("c", F.lit(1))
-    weighted = rows.join(stats, "group")
+        weighted = attach(rows, stats, ["group"], "rows").withColumn("c", F.lit(1))
     bandwidth = F.lit(1.06) * F.col("s") * F.pow(F.col("rows"), F.lit(-0.2))
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     points = weighted.withColumn("h", bandwidth).filter("h > 0").withColumn(

@@ -30,20 +30,30 @@ ACCURACY = 10_000
 WIDTHS = 256
 LARGE_GROUP = 100_000
 BROADCAST_GROUPS = 100_000
+HEAVY_GROUPS = 10_000
 
 
-def attachable(table: DataFrame, bounded: bool) -> DataFrame:
-    """Broadcast a per-group table when its size is known to be small.
+def attach(
+    rows: DataFrame, table: DataFrame, keys: list[str], size: str, bounded: bool = False
+) -> DataFrame:
+    """Join rows with a table of one row per group; ``size`` is its column of group sizes.
 
-    ``bounded`` says the number of groups is fixed by the schema. Otherwise the table
-    is checkpointed and counted, and above the limit the join is left to Spark
-    (sort-merge with run-time skew splitting).
+    ``bounded`` says the number of groups is fixed by the schema: the table is broadcast.
+    Otherwise it is checkpointed and counted, and broadcast if small. If not, the groups
+    that hold more than one row in HEAVY_GROUPS - there can be no more than that many -
+    are broadcast, and only the other rows are shuffled, none of whose groups is large.
     """
     if bounded:
-        return F.broadcast(table)
+        return rows.join(F.broadcast(table), keys)
     table = checkpoint(table)
-    small = table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return F.broadcast(table) if small else table
+    if table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), keys)
+    total = table.agg(F.sum(size)).first()[0]
+    heavy = table.filter(F.col(size) * HEAVY_GROUPS > total)
+    others = table.filter(F.col(size) * HEAVY_GROUPS <= total)
+    names = F.broadcast(heavy.select(*[quoted(k) for k in keys]))
+    shuffled = rows.join(names, keys, "left_anti").join(others, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(shuffled)
 
 
 def _bucket(value: Column, edges: Column, count: int, widths: Column) -> Column:
@@ -64,8 +74,10 @@ def group_quantiles(
     probs: dict[str, float],
     bounded: bool = False,
     accuracy: int = ACCURACY,
+    size: str | None = None,
 ) -> DataFrame:
-    """One row per group: the keys and one exact quantile per entry of ``probs``.
+    """One row per group: the keys, one exact quantile per entry of ``probs``, and, when
+    ``size`` is given, the number of values under that name.
 
     NULL keys and NULL values are left out.
     """
@@ -82,7 +94,7 @@ def group_quantiles(
     widths = F.when(F.col("_n") > LARGE_GROUP, WIDTHS).otherwise(1).cast("long")
     at = _bucket(F.col("_v"), F.col("_edges"), len(edges), widths)
     buckets = (
-        rows.join(attachable(sketch, bounded), keys)
+        attach(rows, sketch, keys, "_n", bounded)
         .groupBy(*by, at.alias("_bucket"))
         .agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
@@ -106,19 +118,19 @@ def group_quantiles(
             F.max(first).alias("first"), F.max(last).alias("last"),
             F.max(rank - first).alias("weight"),
         ).alias(f"_s{t}"))
-    found = attachable(placed.groupBy(*by).agg(*found), bounded)
+    found = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *found)
 
     near = [
         F.col("_v").between(F.col(f"_s{t}.lo"), F.col(f"_s{t}.hi")) for t in range(len(probs))
     ]
     candidates = (
-        rows.join(found, keys)
+        attach(rows, found, keys, "_n", bounded)
         .filter(reduce(Column.__or__, near))
-        .select(*by, "_v", F.explode(F.array(*[f"_s{t}" for t in range(len(probs))])).alias("_s"))
+        .select(*by, "_v", "_n", F.explode(F.array(*[f"_s{t}" for t in range(len(probs))])).alias("_s"))
         .filter(F.col("_v").between(F.col("_s.lo"), F.col("_s.hi")))
         .groupBy(*by, F.col("_s.t").alias("_t"), "_v")
         .agg(
-            F.count("*").alias("_c"),
+            F.count("*").alias("_c"), F.max("_n").alias("_n"),
             *[F.max(f"_s.{f}").alias(f"_{f}") for f in ("base", "first", "last", "weight")],
         )
     )
@@ -131,12 +143,15 @@ def group_quantiles(
 
     picked = ranked.groupBy(*by, "_t").agg(
         at_rank("_first").alias("_a"), at_rank("_last").alias("_b"),
-        F.max("_weight").alias("_w"),
+        F.max("_weight").alias("_w"), F.max("_n").alias("_n"),
     )
     quantile = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")
-    return picked.groupBy(*by).agg(*[
+    answers = [
         F.max(F.when(F.col("_t") == t, quantile)).alias(name) for t, name in enumerate(probs)
-    ])
+    ]
+    if size is not None:
+        answers.append(F.max("_n").alias(size))
+    return picked.groupBy(*by).agg(*answers)
 
 
 def column_quantiles(

@@ -50,8 +50,10 @@ def test_quantiles_with_a_coarse_sketch(spark, monkeypatch, large):
 
 def test_quantiles_when_groups_are_too_many_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 2)
+    monkeypatch.setattr(quantiles, "HEAVY_GROUPS", 4)
     random = np.random.default_rng(3)
-    check_quantiles(spark, {str(i): random.normal(i, 1, 40) for i in range(12)})
+    sizes = {"hot": 900, **{str(i): 40 for i in range(12)}}
+    check_quantiles(spark, {g: random.normal(0, 1, n) for g, n in sizes.items()})
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
