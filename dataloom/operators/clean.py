@@ -34,8 +34,8 @@ def _share_missing(names: list[str]) -> list[Column]:
 def _by_column(df: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
     """One row of statistics from one row per column."""
     return df.agg(*[
-        F.max(F.when(F.col("column") == n, F.col(f))).alias(f"{f}{i}")
-        for i, n in enumerate(names) for f in fields
+        F.max(F.when(F.col("column") == i, F.col(f))).alias(f"{f}{i}")
+        for i in range(len(names)) for f in fields
     ])
 
 

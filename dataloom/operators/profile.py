@@ -10,7 +10,7 @@ from dataloom.functions.columns import (
     canonicalise, datetime_columns, missing, numeric_columns, quoted, row_hash, text_columns,
 )
 from dataloom.plans.long_form import (
-    frequencies, numeric_long, numeric_of, spread, with_long_texts,
+    frequencies, named, numeric_long, numeric_of, spread, with_long_texts,
 )
 from dataloom.plans.one_row import as_struct
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
@@ -111,17 +111,19 @@ def distinct_by_column(df: DataFrame, approximate: bool = False) -> DataFrame:
         ])
         return spread(one, {c: {"unique_values": f"d{i}"} for i, c in enumerate(df.columns)})
     counted = frequencies(df).groupBy("column").agg(F.count("*").alias("unique_values"))
-    return _every_column(df, counted, {"unique_values": F.lit(0).cast("long")})
+    return _every_column(df.columns, counted, {"unique_values": F.lit(0).cast("long")})
 
 
-def _every_column(df: DataFrame, table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """One row per column of ``df``, also for columns without any value."""
-    names = df.sparkSession.createDataFrame(
-        [(i, c) for i, c in enumerate(df.columns)], "position int, column string"
+def _every_column(names: list[str], table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """One row per name from a table by column place, also for columns without values."""
+    every = table.sparkSession.createDataFrame(
+        [(i, n) for i, n in enumerate(names)], "column int, name string"
     )
     # One row per column of the schema on both sides.
-    joined = names.join(F.broadcast(table), "column", "left")
-    return joined.select("column", *[F.coalesce(F.col(n), d).alias(n) for n, d in defaults.items()])
+    joined = every.join(F.broadcast(table), "column", "left")
+    return joined.select(
+        F.col("name").alias("column"), *[F.coalesce(F.col(n), d).alias(n) for n, d in defaults.items()]
+    )
 
 
 def _moments(long: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def numeric_profile(
     median = column_quantiles(long, {"median": 0.5}, accuracy)
     table = _moments(long).join(F.broadcast(median), "column").drop("count")
     empty = {n: F.lit(None).cast("double") for n in ("min", "max", "mean", "median", "std")}
-    return _every_column(df.select(*[quoted(n) for n in names]), table, empty)
+    return _every_column(names, table, empty)
 
 
 def _booleans_as_int(df: DataFrame, names: list[str]) -> DataFrame:
@@ -165,7 +167,7 @@ def describe(
     empty |= {
         n: F.lit(None).cast("double") for n in ("mean", "std", "min", "q25", "q50", "q75", "max")
     }
-    return _every_column(df.select(*[quoted(n) for n in names]), table, empty)
+    return _every_column(names, table, empty)
 
 
 def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
@@ -205,7 +207,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     # A rank limit right above the window: Spark keeps k rows per column and task
     # before the shuffle.
     ranked = frequencies(df, names).withColumn("rank", F.row_number().over(by))
-    top = with_long_texts(ranked.filter(F.col("rank") <= k), df, names)
+    top = named(with_long_texts(ranked.filter(F.col("rank") <= k), df, names), names)
     return top.select("column", F.col("string_value").alias("value"), "n", "rank")
 
 

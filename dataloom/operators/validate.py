@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dataloom.functions.columns import canonicalise, missing, quoted, text_columns
 from dataloom.functions.parsing import looks_numeric, parse_datetime
 from dataloom.operators.profile import duplicate_count, missing_by_column
-from dataloom.plans.long_form import numeric_long, spread
+from dataloom.plans.long_form import named, numeric_long, spread
 from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
 
@@ -155,7 +155,7 @@ def iqr_bounds(
 ) -> DataFrame:
     """(column, q1, q3, lower, upper)"""
     long = numeric_long(canonicalise(df), columns)
-    quartiles = column_quantiles(long, {"q1": 0.25, "q3": 0.75}, accuracy)
+    quartiles = named(column_quantiles(long, {"q1": 0.25, "q3": 0.75}, accuracy), columns)
     reach = (F.col("q3") - F.col("q1")) * factor
     return quartiles.withColumns({"lower": F.col("q1") - reach, "upper": F.col("q3") + reach})
 

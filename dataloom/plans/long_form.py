@@ -2,25 +2,38 @@
 
 Statistics over many columns become one grouped aggregate with map-side combine,
 so the shuffle holds one row per column and task instead of one plan per column.
+Inside, a column is its place in a list of names: grouping billions of rows by a small
+number is several times faster than by a name. ``named`` puts the names back.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dataloom.functions.columns import is_numeric, quoted
 
 
+def _stacked(df: DataFrame, columns: dict[int, Column], value: str) -> DataFrame:
+    """(column, value) rows of the given columns, missing values left out."""
+    cells = [x for i, c in columns.items() for x in (F.lit(i), c)]
+    return df.select(F.stack(F.lit(len(columns)), *cells).alias("column", value)).filter(
+        F.col(value).isNotNull()
+    )
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """Column places replaced by column names."""
+    return df.withColumn("column", F.get(F.array(*[F.lit(n) for n in names]), F.col("column")))
+
+
 def numeric_long(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value double), missing values left out."""
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value double")
-    wide = df.select(*[quoted(n).cast("double").alias(n) for n in names])
-    return wide.unpivot([], [quoted(n) for n in names], "column", "value").filter(
-        "value is not null"
-    )
+        return df.sparkSession.createDataFrame([], "column int, value double")
+    columns = {i: quoted(n).cast("double") for i, n in enumerate(names)}
+    return _stacked(df, columns, "value")
 
 
 def _family(dtype: T.DataType) -> str:
@@ -44,15 +57,13 @@ def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     values meet in the map-side combine.
     """
     names = list(names or df.columns)
-    families: dict[str, list[str]] = {}
-    for name in names:
-        families.setdefault(_family(df.schema[name].dataType), []).append(name)
+    families: dict[str, dict[int, Column]] = {}
+    for i, name in enumerate(names):
+        family = _family(df.schema[name].dataType)
+        families.setdefault(family, {})[i] = _as_family(df, name, family)
     parts = []
     for family, members in families.items():
-        wide = df.select(*[_as_family(df, n, family).alias(n) for n in members])
-        long = wide.unpivot([], [quoted(n) for n in members], "column", "value").filter(
-            "value is not null"
-        )
+        long = _stacked(df, members, "value")
         nothing = F.lit(None)
         if family == "string":
             long = _digested(long)
@@ -89,10 +100,8 @@ def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataF
     ``chosen`` must be small by construction (some rows per column): it is sent to the
     rows, and of each matching text one copy per task comes back.
     """
-    wide = df.select(*[_as_family(df, n, "string").alias(n) for n in names])
-    long = wide.unpivot([], [quoted(n) for n in names], "column", "text").filter(
-        F.length("text") > SHORT_TEXT
-    )
+    columns = {i: _as_family(df, n, "string") for i, n in enumerate(names)}
+    long = _stacked(df, columns, "text").filter(F.length("text") > SHORT_TEXT)
     hashed = long.withColumns({
         "h1": F.xxhash64(F.lit(1), F.col("text")), "h2": F.xxhash64(F.lit(2), F.col("text"))
     })
