@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dataloom.llm import block_naming, byte_bpe, mixing, quality, simhash
+from dataloom.llm import (
+    block_naming, brown_lm, byte_bpe, fuzzy_lines, hilbert, mixing, quality, simhash, spotsigs, tool_calls,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,12 +64,100 @@ def co_training(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hilbert.shards(
+        _table(spark, folder, "documents"), {"source": "source", "lang": "lang", "length": F.char_length}, n_shards=16
+    )
+    return rows.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
+        "slot", F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+def fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fuzzy_lines.kept_lines(_table(spark, folder, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("kept").alias("n_kept"), F.array_join(
+            F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), "kept").cast("array<string>"), " "
+        ).alias("dropped_lines"),
+    )
+
+
+def class_model(spark: SparkSession, folder: str) -> DataFrame:
+    return brown_lm.scores(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def spots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spotsigs.edited_pairs(_table(spark, folder, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.digest(F.col("signs")).alias("fingerprint"), spotsigs.digest(F.col("edited_signs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
+        spotsigs.likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
+    )
+
+
+# Tools that the turns of a conversation are read as calls of.
+SCHEMAS = {
+    "search": {
+        "type": "object", "required": ["query", "limit"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}},
+    },
+    "measure": {
+        "type": "object", "required": ["text"],
+        "properties": {"text": {"type": "string"}, "unit": {"enum": ["words", "characters"]}},
+    },
+    "note": {
+        "type": "object", "required": ["body", "tags"],
+        "properties": {"body": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}},
+    },
+}
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
+    """Tool messages derived from turns: a user's turn calls a tool with its text, the
+    assistant's turn behind it is the result. A call needs the one before it; in every
+    fifth conversation the one after it, in every 35th both, which is a cycle."""
+    turn = F.col("turn")
+    name_of = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    tool = F.when(turn % 3 == 0, "search").when(turn % 3 == 1, "note").otherwise("measure")
+    text = F.coalesce("text", F.lit(""))
+    arguments = F.when(tool == "search", F.to_json(F.struct(text.alias("query"), (F.col("conv_id") % 7).alias("limit")))).when(
+        tool == "note", F.to_json(F.struct(F.array(F.lit("turn"), F.col("role")).alias("tags"), text.alias("body")))
+    ).otherwise(F.to_json(F.struct(F.when(F.col("conv_id") % 3 == 0, "lines").otherwise("words").alias("unit"), text.alias("text"))))
+    before = F.when(turn >= 2, F.array(name_of(turn - 2))).otherwise(F.array().cast("array<string>"))
+    needs = F.when(F.col("conv_id") % 35 == 0, F.concat(before, F.array(name_of(turn + 2)))).when(
+        F.col("conv_id") % 5 == 0, F.array(name_of(turn + 2))
+    ).otherwise(before)
+    nothing = F.lit(None).cast("string")
+    calls = conversations.where("role = 'user'").select(
+        F.col("conv_id").alias("conversation"), turn.alias("position"), F.lit("call").alias("kind"),
+        name_of(turn).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), needs.alias("needs"), nothing.alias("content"),
+    )
+    results = conversations.where("role = 'assistant'").select(
+        F.col("conv_id").alias("conversation"), turn.alias("position"), F.lit("result").alias("kind"),
+        name_of(turn - 1).alias("call_id"), nothing.alias("name"), nothing.alias("arguments"),
+        F.lit(None).cast("array<string>").alias("needs"), F.col("text").alias("content"),
+    )
+    return calls.unionByName(results)
+
+
+def calls_linked(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tool_calls.linked_calls(messages_of(_table(spark, folder, "conversations")), SCHEMAS)
+    return rows.withColumn("faults", F.array_join("faults", "; ")).withColumnRenamed("conversation", "conv_id")
+
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_simhash_vptree": (simhash_vptree, None),
+    "op2_hilbert_shards": (hilbert_shards, None),
     "op3_block_naming": (naming, NAMING_SQL),
     "op4_raked_mix": (raked_mix, mixing.mixture_sql()),
+    "op5_fuzzy_lines": (fuzzy, None),
+    "op6_brown_lm": (class_model, None),
+    "op7_tool_calls": (calls_linked, None),
     "op8_byte_bpe": (bpe, None),
     "op9_co_training": (co_training, None),
+    "op10_spotsigs": (spots, None),
 }
 
 
