@@ -81,15 +81,55 @@ def null_mask(names: list[str]) -> Column:
 
 
 def row_hash(df: DataFrame, names: list[str] | None = None, seed: int = 0) -> Column:
+    """64-bit hash of a row. NULLs count at every depth of nested columns."""
     names = list(names or df.columns)
-    return F.xxhash64(F.lit(seed), null_mask(names), *[_hashable(df, n) for n in names])
+    parts = [p for n in names for p in _hashable(quoted(n), df.schema[n].dataType)]
+    return F.xxhash64(F.lit(seed), null_mask(names), *parts)
 
 
-def _hashable(df: DataFrame, name: str) -> Column:
-    """Spark does not hash maps: their sorted entries stand for them."""
-    if isinstance(df.schema[name].dataType, T.MapType):
-        return F.array_sort(F.map_entries(quoted(name)))
-    return quoted(name)
+def _hashable(value: Column, dtype: T.DataType) -> list[Column]:
+    """What of a value is hashed, so that unequal values differ in it.
+
+    The hash passes over NULLs inside arrays and structs, so their places are added: by
+    a mask where the elements are flat, else by JSON, which writes them. Maps, which Spark
+    does not hash, are their sorted entries.
+    """
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
+        return _hashable(F.array_sort(F.map_entries(value)), T.ArrayType(entry))
+    if isinstance(dtype, T.ArrayType):
+        if not _nested(dtype.elementType):
+            return [F.size(value), F.transform(value, lambda x: x.isNull()), value]
+        return [F.to_json(value, {"ignoreNullFields": "false"})]
+    if isinstance(dtype, T.StructType):
+        if any(_nested(f.dataType) for f in dtype.fields):
+            return [F.to_json(value, {"ignoreNullFields": "false"})]
+        return [value.isNull(), *[p for f in dtype.fields for p in (value[f.name].isNull(), value[f.name])]]
+    return [value]
+
+
+def _nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
+
+
+def free_names(df: DataFrame, wanted: list[str], taken: list[str] = ()) -> list[str]:
+    """The wanted names, those already in use with the first free ending ``_2, _3, ...``.
+
+    Names are compared as the session does, by default without case; a new column thus
+    never replaces one of the table's or another new one.
+    """
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    form = (lambda n: n) if exact else str.lower
+    used = {form(n) for n in [*df.columns, *taken]}
+    found = []
+    for name in wanted:
+        own, number = name, 1
+        while form(own) in used:
+            number += 1
+            own = f"{name}_{number}"
+        used.add(form(own))
+        found.append(own)
+    return found
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as a number, and the accepted date layouts with their shapes.
+# What counts as a number, and the accepted layouts of a day: their pattern
+# and the places of year, month and day in it.
 NUMBER_PATTERN = (
     r"^[ \t\n\r]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)[ \t\n\r]*$"
 )
-DATE_FORMATS = {
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
-    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
-    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+DAYS = {
+    r"(\d{4})-(\d{1,2})-(\d{1,2})": "$1-$2-$3",
+    r"(\d{4})/(\d{1,2})/(\d{1,2})": "$1-$2-$3",
+    r"(\d{1,2})/(\d{1,2})/(\d{4})": "$3-$1-$2",
+    r"(\d{1,2})\.(\d{1,2})\.(\d{4})": "$3-$2-$1",
 }
+CLOCK = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
+ZONE = r" ?(Z|UTC|GMT|([+-])(\d{2}):?(\d{2})?)"
 
 
 def looks_numeric(text: Column) -> Column:
@@ -24,16 +25,28 @@ def looks_numeric(text: Column) -> Column:
 
 
 def parse_datetime(text: Column) -> Column:
-    """The text as timestamp without zone under the layout that fits, else NULL.
+    """The text as timestamp without zone, or NULL if it is in no accepted layout.
 
-    A layout is tried only on texts of its shape: a failing parse costs far more than
-    a pattern match.
+    A day in one of the layouts above, with one or two digits for day and month, may be
+    followed by a clock with a fraction and by a zone; the time is then moved to UTC. No
+    session setting takes part.
     """
-    parsed = F.lit(None).cast("timestamp")
-    for layout, shape in reversed(DATE_FORMATS.items()):
-        tried = F.try_to_timestamp(text, F.lit(layout))
-        parsed = F.when(text.rlike(shape), tried).otherwise(parsed)
-    return parsed.cast("timestamp_ntz")
+    tail = f"(?:{CLOCK}(?:{ZONE})?)?$"
+    day = F.lit(None).cast("string")
+    for pattern, parts in reversed(DAYS.items()):
+        written = F.regexp_replace(text, f"^{pattern}.*$", parts)
+        day = F.when(text.rlike(f"^{pattern}{tail}"), written).otherwise(day)
+    clock = F.regexp_extract(text, f"{CLOCK}(?:{ZONE})?$", 1)
+    moment = F.when(clock == "", day).otherwise(F.concat(day, F.lit(" "), clock)).try_cast("timestamp_ntz")
+
+    def part(i: int) -> Column:
+        return F.coalesce(F.regexp_extract(text, f"{CLOCK}{ZONE}$", i).try_cast("int"), F.lit(0))
+
+    ahead = F.when(F.regexp_extract(text, f"{CLOCK}{ZONE}$", 3) == "-", -1).otherwise(1)
+    offset = F.make_dt_interval(F.lit(0), ahead * part(4), ahead * part(5))
+    moved = F.when((clock != "") & text.rlike(r"[+-]\d{2}:?(\d{2})?$"), moment - offset).otherwise(moment)
+    # Most texts are no dates: one look at the beginning decides that.
+    return F.when(text.rlike(r"^\d{1,4}[-/.]\d"), moved)
 
 
 def stripped(text: Column) -> Column:

@@ -9,11 +9,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dataloom.functions.columns import quoted
 from dataloom.operators.profile import column_info, estimated_mb
+from dataloom.operators.runs import Runs
+from dataloom.operators.versions import VersionStore
+from dataloom.plans.append_only import AppendOnly
+from dataloom.plans.states import latest_state, without_removed
 
 DATASETS = (
     "id int, name string, description string, format string, rows long, columns int, "
@@ -30,22 +33,6 @@ COLUMNS = (
 NO_DESCRIPTION, NO_AUTHOR = "No description available", "Unknown"
 
 
-def latest_state(events: DataFrame, key: str, seq: list[str]) -> DataFrame:
-    """The last row of each key. A partial maximum per task comes before the shuffle, so
-    a key with very many events costs no more than any other."""
-    rest = [c for c in events.columns if c != key and c not in seq]
-    last = F.max(F.struct(*[quoted(s) for s in seq], *[quoted(c) for c in rest])).alias("_e")
-    state = events.groupBy(quoted(key)).agg(last).select(quoted(key), "_e.*")
-    return state.select(*[quoted(c) for c in events.columns])
-
-
-def without_removed(rows: DataFrame, removed: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Rows whose owner was not removed; ``on`` maps a column here to one there. Serves
-    the table itself and, through the foreign key, each table that hangs on it."""
-    ids = removed.select(*[quoted(there).alias(here) for here, there in on.items()]).distinct()
-    return rows.join(ids, list(on), "left_anti")
-
-
 def with_columns_of(datasets: DataFrame, columns: DataFrame) -> DataFrame:
     """Datasets joined with their column profiles."""
     right = columns.select(
@@ -93,21 +80,18 @@ def profile_rows(df: DataFrame) -> DataFrame:
     )
 
 
-class Catalog:
-    """The two catalog tables under one folder; one writer at a time."""
+class Catalog(AppendOnly):
+    """Datasets, their columns, versions, training jobs and logs under one folder.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    A dataset owns the rest: once removed, its columns, versions, jobs and logs are no
+    longer seen. ``create_version`` and ``delete_version`` keep the dataset's pointer to
+    its current version.
+    """
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root)
+        self.store = VersionStore(spark, f"{self.root}/versions")
+        self.runs = Runs(spark, f"{self.root}/runs")
 
     def _events(self) -> DataFrame:
         return self._table("datasets", DATASETS + ", seq long")
@@ -168,8 +152,37 @@ class Catalog:
         ))
         return True
 
+    def versions(self) -> DataFrame:
+        """The manifest of versions whose dataset is there."""
+        return without_removed(self.store.manifest(), self._removed(), {"dataset_id": "id"})
+
+    def jobs(self) -> DataFrame:
+        """Training jobs whose dataset is there."""
+        return without_removed(self.runs.jobs(), self._removed(), {"dataset_id": "id"})
+
+    def logs(self) -> DataFrame:
+        """Log lines of jobs that are there."""
+        own = self.jobs().select(F.col("id").alias("training_job_id"))
+        return self.runs.logs().join(own, "training_job_id", "left_semi")
+
+    def create_version(self, dataset_id: int, df: DataFrame, *args, **given) -> str:
+        """Store a version; it becomes the dataset's current one."""
+        version_id = self.store.create(dataset_id, df, *args, **given)
+        self.update(dataset_id, current_version_id=version_id)
+        return version_id
+
+    def delete_version(self, dataset_id: int, version_id: str, drop_data: bool = True) -> bool:
+        """Remove a version; if it was the current one, the newest of the others is now."""
+        if not self.store.delete(dataset_id, version_id, drop_data):
+            return False
+        own = by_id(self.datasets(), dataset_id).first()
+        if own is not None and own["current_version_id"] == version_id:
+            newest = self.store.latest(dataset_id)
+            self.update(dataset_id, current_version_id=newest["version_id"] if newest else None)
+        return True
+
     def delete(self, dataset_id: int) -> bool:
-        """Remove a dataset; its columns disappear with it."""
+        """Remove a dataset; its columns, versions, jobs and logs disappear with it."""
         if by_id(self.datasets(), dataset_id).isEmpty():
             return False
         self._append("removed", self.spark.createDataFrame([(dataset_id,)], "id int"))

@@ -296,12 +296,20 @@ _PERIODS = {"week": "week", "month": "month", "quarter": "quarter"}
 _AGGREGATES = ("mean", "sum", "min", "max", "count")
 
 
-def time_series(df: DataFrame, ts: str, y: str, period: str, agg: str = "mean") -> DataFrame:
+def time_series(
+    df: DataFrame, ts: str, y: str, period: str, agg: str = "mean", unread: str = "raise"
+) -> DataFrame:
     """(period, value): ``y`` aggregated per day, week (from Monday), month, quarter or
-    year. A text column is read as dates; rows without a date are dropped."""
+    year. A text column is read as dates; rows without a date are left out. A text that is
+    not a date stops the job, or, with ``unread="drop"``, is left out as well."""
+    if unread not in ("raise", "drop"):
+        raise ValueError(f"unread is 'raise' or 'drop', not {unread!r}")
     when = quoted(ts)
     if ts in text_columns(df):
-        when = parse_datetime(when)
+        text, when = when, parse_datetime(when)
+        if unread == "raise":
+            stop = F.raise_error(F.concat(F.lit(f"not a date in {ts}: "), F.substring(text, 1, 100)))
+            when = F.when(text.isNotNull() & when.isNull(), stop.cast("timestamp_ntz")).otherwise(when)
     when = when.cast("timestamp_ntz")
     if period == "day":
         bucket = F.to_date(when)

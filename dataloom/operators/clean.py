@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.functions.columns import canonicalise, numeric_columns, quoted, text_columns
-from dataloom.plans.long_form import frequencies, numeric_long, with_long_texts
+from dataloom.plans.long_form import numeric_long, top_texts
 from dataloom.plans.one_row import with_row
 from dataloom.plans.quantiles import column_quantiles
 from dataloom.plans.shared import stored
@@ -50,12 +50,7 @@ def _medians(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _modes(df: DataFrame, names: list[str]) -> DataFrame:
     """The most frequent text of each column, the smallest of equally frequent ones."""
-    place = F.struct(-F.col("n"), F.col("string_value").isNull(), "string_value", "h1", "h2")
-    best = frequencies(df, names).groupBy("column").agg(
-        F.min_by(F.struct("string_value", "h1", "h2"), place).alias("best")
-    )
-    # One value per column.
-    modes = with_long_texts(best.select("column", "best.*"), df, names)
+    modes = top_texts(df, names, 1)
     return _by_column(modes.withColumnRenamed("string_value", "mode"), names, ["mode"])
 
 

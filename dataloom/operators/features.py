@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from dataloom.functions.columns import canonicalise, numeric_columns, quoted, text_columns
-from dataloom.operators.profile import distinct_by_column
+from dataloom.functions.columns import canonicalise, free_names, numeric_columns, quoted, text_columns
 from dataloom.plans.one_row import with_row
 
-# Limits and name endings of the generated columns.
+# Limits and name endings of the generated columns. Five columns are paired
+# where none are named; MAX_CATEGORIES is the default of a parameter and an error, not a cut.
 PAIR_COLUMNS = 5
 LOW_CARDINALITY = 10
 MAX_CATEGORIES = 1_000
@@ -24,8 +24,8 @@ def _double(name: str) -> Column:
 
 
 def _pairs(df: DataFrame, columns: list[str] | None) -> list[tuple[str, str]]:
-    names = numeric_columns(df) if columns is None else columns
-    return list(combinations(names[:PAIR_COLUMNS], 2))
+    names = numeric_columns(df)[:PAIR_COLUMNS] if columns is None else columns
+    return list(combinations(names, 2))
 
 
 def _product(a: str, b: str) -> dict[str, Column]:
@@ -38,12 +38,18 @@ def _ratio(a: str, b: str) -> dict[str, Column]:
 
 
 def _with_pairs(df: DataFrame, columns: list[str] | None, makers) -> DataFrame:
-    made = {n: c for a, b in _pairs(df, columns) for make in makers for n, c in make(a, b).items()}
-    return canonicalise(df).withColumns(made) if made else canonicalise(df)
+    made = [(n, c) for a, b in _pairs(df, columns) for make in makers for n, c in make(a, b).items()]
+    return _added(canonicalise(df), made)
+
+
+def _added(df: DataFrame, made: list[tuple[str, Column]]) -> DataFrame:
+    """The table with the new columns; a name in use gets an ending, nothing is replaced."""
+    names = free_names(df, [n for n, _ in made])
+    return df.withColumns({n: c for n, (_, c) in zip(names, made)}) if made else df
 
 
 def pair_products(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Products of the first five numeric columns, two at a time."""
+    """Products of the named columns, or of the first five numeric ones, two at a time."""
     return _with_pairs(df, columns, [_product])
 
 
@@ -56,46 +62,39 @@ def pair_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _with_pairs(df, columns, [_product, _ratio])
 
 
-def _category_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Distinct values per column; one number per column comes to the driver."""
-    counts = distinct_by_column(df.select(*[quoted(n) for n in names])).collect()
-    return {r["column"]: r["unique_values"] for r in counts}
+def _categories(df: DataFrame, names: list[str], most: int) -> dict[str, list[str]]:
+    """The sorted values of each column, of columns with more than ``most`` the first
+    ``most + 1``.
 
-
-def _categories(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
-    """The sorted values of columns known to have few of them."""
+    One pass. The rank limit stands right above the window, so each task sends at most
+    ``most + 1`` values of a column, however many it has met.
+    """
     if not names:
         return {}
-    long = df.select(*[quoted(n) for n in names]).unpivot(
-        [], [quoted(n) for n in names], "column", "value"
-    )
+    cells = [x for i, n in enumerate(names) for x in (F.lit(i), quoted(n))]
+    long = df.select(F.stack(F.lit(len(names)), *cells).alias("at", "value")).filter("value is not null")
+    first = Window.partitionBy("at").orderBy("value")
+    few = long.withColumn("rank", F.dense_rank().over(first)).filter(F.col("rank") <= most + 1)
     found: dict[str, list[str]] = {n: [] for n in names}
-    for row in long.filter("value is not null").distinct().collect():
-        found[row["column"]].append(row["value"])
+    for row in few.select("at", "value").distinct().collect():
+        found[names[row["at"]]].append(row["value"])
     return {n: sorted(values) for n, values in found.items()}
 
 
-def _indicators(name: str, values: list[str]) -> dict[str, Column]:
-    return {f"{name}_{v}": F.coalesce(quoted(name) == v, F.lit(False)) for v in values}
+def _indicators(name: str, values: list[str]) -> list[tuple[str, Column]]:
+    return [(f"{name}_{v}", F.coalesce(quoted(name) == v, F.lit(False))) for v in values]
 
 
-def _low_card_indicators(df: DataFrame, max_card: int) -> dict[str, Column]:
-    names = text_columns(df)
-    if not names:
-        return {}
-    counts = _category_counts(df, names)
-    few = [n for n in names if counts.get(n, 0) <= max_card]
-    columns: dict[str, Column] = {}
-    for name, values in _categories(df, few).items():
-        columns |= _indicators(name, values[1:])
-    return columns
+def _low_card_indicators(df: DataFrame, max_card: int) -> list[tuple[str, Column]]:
+    found = _categories(df, text_columns(df), max_card)
+    return [c for n, values in found.items() if len(values) <= max_card for c in _indicators(n, values[1:])]
 
 
 def one_hot_low_card(df: DataFrame, max_card: int = LOW_CARDINALITY) -> DataFrame:
     """Indicators of text columns with few values; the first value gets none and the
-    source column stays. A missing value is false everywhere."""
-    columns = _low_card_indicators(df, max_card)
-    return df.withColumns(columns) if columns else df
+    source column stays. A missing value is false everywhere. A name that is in use, also
+    by another value in other case, gets an ending ``_2, _3, ...``."""
+    return _added(df, _low_card_indicators(df, max_card))
 
 
 def one_hot_all(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
@@ -106,13 +105,16 @@ def one_hot_all(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFram
     names = text_columns(df)
     if not names:
         return df
-    total = sum(_category_counts(df, names).values())
+    found = _categories(df, names, max_categories)
+    total = sum(map(len, found.values()))
     if total > max_categories:
-        raise ValueError(f"{total} categories would make as many columns; limit {max_categories}")
-    columns: dict[str, Column] = {}
-    for name, values in _categories(df, names).items():
-        columns |= _indicators(name, values)
-    return df.withColumns(columns).drop(*names)
+        raise ValueError(f"more than {max_categories} categories would make as many columns")
+    # The names of the replaced columns become free.
+    rest = df.drop(*[quoted(n) for n in names])
+    made = [c for n, values in found.items() for c in _indicators(n, values)]
+    return df.select(
+        *[quoted(c) for c in rest.columns], *[c.alias(n) for n, (_, c) in zip(free_names(rest, [n for n, _ in made]), made)]
+    )
 
 
 def row_aggregates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -126,25 +128,23 @@ def row_aggregates(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     def total(terms: list[Column]) -> Column:
         return reduce(Column.__add__, terms)
 
+    present, sums, mean, deviation = free_names(df, ["_present", "sum_numeric", "mean_numeric", "std_numeric"])
     rows = df.withColumns({
-        "sum_numeric": total([F.coalesce(_double(n), zero) for n in names]),
-        "_present": total([quoted(n).isNotNull().cast("int") for n in names]),
-    }).withColumn("mean_numeric", F.try_divide("sum_numeric", "_present"))
+        sums: total([F.coalesce(_double(n), zero) for n in names]),
+        present: total([quoted(n).isNotNull().cast("int") for n in names]),
+    }).withColumn(mean, F.try_divide(quoted(sums), quoted(present)))
     squares = total([
-        F.coalesce((_double(n) - F.col("mean_numeric")) * (_double(n) - F.col("mean_numeric")), zero)
-        for n in names
+        F.coalesce((_double(n) - quoted(mean)) * (_double(n) - quoted(mean)), zero) for n in names
     ])
-    deviation = F.when(F.col("_present") > 1, F.sqrt(F.try_divide(squares, F.col("_present") - 1)))
-    return rows.withColumn("std_numeric", deviation).drop("_present")
+    spread = F.when(quoted(present) > 1, F.sqrt(F.try_divide(squares, quoted(present) - 1)))
+    return rows.withColumn(deviation, spread).drop(present)
 
 
 def engineer(df: DataFrame) -> DataFrame:
     """Pair features, indicators, row aggregates - all from the original columns."""
     names = numeric_columns(df)
     indicators = _low_card_indicators(df, LOW_CARDINALITY)
-    wide = pair_features(df, names)
-    wide = wide.withColumns(indicators) if indicators else wide
-    return row_aggregates(wide, names)
+    return row_aggregates(_added(pair_features(df), indicators), names)
 
 
 def _scale_statistics(df: DataFrame, names: list[str]) -> DataFrame:
@@ -174,10 +174,10 @@ def scale_standard(df: DataFrame) -> DataFrame:
     df = canonicalise(df)
     names = numeric_columns(df)
     rows = with_row(df, _scale_statistics(df, names))
-    return rows.withColumns({
-        f"{n}_{SCALED}": _standard(n, F.col(f"_stats.mean{i}"), F.col(f"_stats.sd{i}"))
+    return _added(rows, [
+        (f"{n}_{SCALED}", _standard(n, F.col(f"_stats.mean{i}"), F.col(f"_stats.sd{i}")))
         for i, n in enumerate(names)
-    }).drop("_stats")
+    ]).drop("_stats")
 
 
 def scale_minmax(df: DataFrame) -> DataFrame:
@@ -185,10 +185,10 @@ def scale_minmax(df: DataFrame) -> DataFrame:
     df = canonicalise(df)
     names = numeric_columns(df)
     rows = with_row(df, _scale_statistics(df, names))
-    return rows.withColumns({
-        f"{n}_{NORMALIZED}": _minmax(n, F.col(f"_stats.min{i}"), F.col(f"_stats.max{i}"))
+    return _added(rows, [
+        (f"{n}_{NORMALIZED}", _minmax(n, F.col(f"_stats.min{i}"), F.col(f"_stats.max{i}")))
         for i, n in enumerate(names)
-    }).drop("_stats")
+    ]).drop("_stats")
 
 
 def _all_positive(names: list[str], stats: Row) -> list[str]:
@@ -208,8 +208,7 @@ def log_positive(df: DataFrame) -> DataFrame:
     if not names:
         return df
     stats = _scale_statistics(df, names).first()
-    logs = {f"{n}_{LOG}": F.ln(_double(n)) for n in _all_positive(names, stats)}
-    return df.withColumns(logs) if logs else df
+    return _added(df, [(f"{n}_{LOG}", F.ln(_double(n))) for n in _all_positive(names, stats)])
 
 
 def transform(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
@@ -226,8 +225,8 @@ def transform(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFrame:
             return F.lit(stats[f"{field}{i}"]).cast("double")
 
         at = list(enumerate(names))
-        added = {f"{n}_{LOG}": F.ln(_double(n)) for n in _all_positive(names, stats)}
-        added |= {f"{n}_{SCALED}": _standard(n, known("mean", i), known("sd", i)) for i, n in at}
-        added |= {f"{n}_{NORMALIZED}": _minmax(n, known("min", i), known("max", i)) for i, n in at}
-        df = df.withColumns(added)
+        added = [(f"{n}_{LOG}", F.ln(_double(n))) for n in _all_positive(names, stats)]
+        added += [(f"{n}_{SCALED}", _standard(n, known("mean", i), known("sd", i))) for i, n in at]
+        added += [(f"{n}_{NORMALIZED}", _minmax(n, known("min", i), known("max", i))) for i, n in at]
+        df = _added(df, added)
     return one_hot_all(df, max_categories)

@@ -109,10 +109,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, _WORDS), "")
 
 
-def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
+def build_vocab(
+    df: DataFrame, columns: list[str], size: int, max_vocabulary: int = MAX_VOCABULARY
+) -> DataFrame:
     """(token, n, token_id): the most frequent words, ids from 2 (0 pads, 1 is unknown)."""
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary size {size} above {MAX_VOCABULARY}")
+    if size > max_vocabulary:
+        raise ValueError(f"vocabulary size {size} above {max_vocabulary}")
     each = df.select(F.explode(F.array(*[quoted(c) for c in columns])).alias("text"))
     counted = (
         each.select(F.explode(F.split("text", _WORDS)).alias("token"))
@@ -136,17 +138,18 @@ def _fixed_length(ids: pa.ChunkedArray | pa.Array, lengths: np.ndarray, width: i
 
 def encode_pairs(
     df: DataFrame, vocab: DataFrame, keep: list[str], max_in: int = MAX_LENGTH,
-    max_tgt: int = MAX_LENGTH,
+    max_tgt: int = MAX_LENGTH, max_vocabulary: int = MAX_VOCABULARY,
 ) -> DataFrame:
     """Fixed-length id arrays of both texts: input_ids, attention_mask, labels.
 
-    The vocabulary has a bounded size and goes to every task; texts are looked up in
-    Arrow batches where they are, without a shuffle.
+    A word has the ``token_id`` that ``vocab`` gives it. The vocabulary has a bounded size
+    and goes to every task; texts are looked up in Arrow batches where they are, without
+    a shuffle.
     """
-    tokens = [r["token"] for r in vocab.orderBy("token_id").limit(MAX_VOCABULARY + 1).collect()]
-    if len(tokens) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary above {MAX_VOCABULARY} words")
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    entries = vocab.select("token", "token_id").orderBy("token_id").limit(max_vocabulary + 1).collect()
+    if len(entries) > max_vocabulary:
+        raise ValueError(f"vocabulary above {max_vocabulary} words")
+    shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in entries], [r[1] for r in entries]))
     split = df.select(
         *[quoted(k) for k in keep],
         F.slice(words(F.coalesce(F.col("input"), F.lit(""))), 1, max_in).alias("_in"),
@@ -160,14 +163,12 @@ def encode_pairs(
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(shared.value, pa.string())
+        known, numbers = (pa.array(v, t) for v, t in zip(shared.value, (pa.string(), pa.int32())))
 
         def look_up(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
             lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
             places = pc.index_in(column.flatten().cast(pa.string()), value_set=known)
-            found = pc.fill_null(pc.add(places, FIRST_ID), UNKNOWN_ID).to_numpy(
-                zero_copy_only=False
-            )
+            found = pc.fill_null(numbers.take(places), UNKNOWN_ID).to_numpy(zero_copy_only=False)
             return _fixed_length(found, lengths, width), lengths
 
         def as_lists(table: np.ndarray) -> pa.Array:

@@ -10,7 +10,7 @@ from dataloom.functions.columns import (
     canonicalise, datetime_columns, missing, numeric_columns, quoted, row_hash, text_columns,
 )
 from dataloom.plans.long_form import (
-    frequencies, named, numeric_long, numeric_of, spread, with_long_texts,
+    frequencies, named, numeric_long, numeric_of, spread, top_texts,
 )
 from dataloom.plans.one_row import as_struct
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
@@ -199,15 +199,9 @@ def likely_categorical(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """(column, value, n, rank): the k most frequent values of each text column; of
-    equally frequent ones the smallest, long texts after short ones."""
+    equally frequent ones the smallest."""
     names = columns or text_columns(df)
-    by = Window.partitionBy("column").orderBy(
-        F.desc("n"), F.asc_nulls_last("string_value"), "h1", "h2"
-    )
-    # A rank limit right above the window: Spark keeps k rows per column and task
-    # before the shuffle.
-    ranked = frequencies(df, names).withColumn("rank", F.row_number().over(by))
-    top = named(with_long_texts(ranked.filter(F.col("rank") <= k), df, names), names)
+    top = named(top_texts(df, names, k), names)
     return top.select("column", F.col("string_value").alias("value"), "n", "rank")
 
 

@@ -42,8 +42,8 @@ def _hash_sums(hashed: Column) -> list[Column]:
     return [F.coalesce(F.sum(p), F.lit(0)) for p in pieces]
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: rows and an 8-digit content hash.
+def fingerprint(df: DataFrame, *more: Column) -> DataFrame:
+    """One row: rows and an 8-digit content hash, and ``more`` aggregates of the pass.
 
     Sums of row hashes do not depend on the order of rows or partitions; one aggregate,
     no sort and no shuffle of rows.
@@ -54,7 +54,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     text = F.concat_ws("|", F.count("*"), *sums, F.lit(layout))
     return df.agg(
         F.count("*").alias("rows"),
-        F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS).alias("content_hash"),
+        F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS).alias("content_hash"), *more,
     )
 
 
@@ -92,7 +92,8 @@ def live_versions(manifest: DataFrame, removed: DataFrame) -> DataFrame:
         "dataset_id", "version_id", F.col("parent_version_id").alias("up")
     )
     gone = checkpoint(gone)
-    while True:
+    # A round doubles what a pointer skips: more rounds than this mean a cycle of parents.
+    for _ in range(gone.count().bit_length() + 2):
         above = gone.select(
             "dataset_id", F.col("version_id").alias("up"), F.col("up").alias("up2"),
             F.lit(True).alias("hit"),
@@ -105,6 +106,8 @@ def live_versions(manifest: DataFrame, removed: DataFrame) -> DataFrame:
         if gone_next.filter("hit").isEmpty():
             break
         gone = gone_next.drop("hit")
+    else:
+        raise ValueError("the parents of removed versions form a cycle")
     bridge = gone.select(
         "dataset_id", F.col("version_id").alias("parent_version_id"), "up",
         F.lit(True).alias("bridged"),
@@ -217,27 +220,39 @@ def value_diff_positional(first: DataFrame, second: DataFrame, order_by: list[st
 
 
 def row_diff(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
-    """Key, change (added, removed, changed) and names of the changed columns."""
+    """Key, change (added, removed, changed) and names of the changed columns.
+
+    Both sides meet in one grouping by key, so a missing key is a key like any other and
+    nothing multiplies. A key that repeats is compared as a whole: a column is changed
+    where the two sides' values, taken as bags, differ; a different number of rows is a
+    change of all columns. Values are compared by sums of hashes that no order enters.
+    """
     _, same = _common(first, second)
     values = [n for n in same if n not in key]
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame, sign: int) -> DataFrame:
         df = canonicalise(df)
         return df.select(
-            *[quoted(k) for k in key], F.lit(True).alias(name),
-            *[quoted(v).alias(f"{name}{i}") for i, v in enumerate(values)],
+            *[quoted(k).alias(f"k{i}") for i, k in enumerate(key)], F.lit(sign).cast("long").alias("sign"),
+            *[row_hash(df, [v]).alias(f"v{i}") for i, v in enumerate(values)],
         )
 
-    both = side(first, "a").join(side(second, "b"), key, "full")
+    # The sums of 32-bit halves stay exact in a long.
+    halves = [(F.shiftright(f"v{i}", 32), F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(len(values))]
+    met = side(first, -1).unionAll(side(second, 1)).groupBy(*[f"k{i}" for i in range(len(key))]).agg(
+        F.count_if(F.col("sign") < 0).alias("before"), F.count_if(F.col("sign") > 0).alias("after"),
+        *[F.struct(*[F.sum(F.col("sign") * h) for h in pair]).alias(f"d{i}") for i, pair in enumerate(halves)],
+    )
+    uneven = F.col("before") != F.col("after")
     names = F.concat_ws(",", *[
-        F.when(~F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")), v) for i, v in enumerate(values)
+        F.when(uneven | (F.col(f"d{i}")["col1"] != 0) | (F.col(f"d{i}")["col2"] != 0), v) for i, v in enumerate(values)
     ])
     change = (
-        F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
-        .when(names != "", "changed")
+        F.when(F.col("before") == 0, "added").when(F.col("after") == 0, "removed")
+        .when(uneven | (names != ""), "changed")
     )
-    return both.select(
-        *[quoted(k) for k in key], change.alias("change"),
+    return met.select(
+        *[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], change.alias("change"),
         F.when(change == "changed", names).alias("changed_columns"),
     ).filter("change is not null")
 
@@ -287,7 +302,9 @@ class VersionStore:
     def _stored(self) -> DataFrame:
         try:
             return self.spark.read.schema(STORED).parquet(self._events)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], STORED)
 
     def manifest(self) -> DataFrame:
@@ -326,11 +343,14 @@ class VersionStore:
         path = f"{self.root}/data/{dataset_id}/{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(path)
         snapshot = self.spark.read.parquet(path)
-        mark = fingerprint(snapshot).first()
-        size = snapshot.agg(F.coalesce(F.sum(_bytes(snapshot)), F.lit(0))).first()[0]
+        mark = fingerprint(snapshot, F.coalesce(F.sum(_bytes(snapshot)), F.lit(0)).alias("size")).first()
+        size = mark["size"]
         version_id = f"{now.strftime(ID_TIME)}_{mark['content_hash']}"
-        if not get_version(self.manifest(), dataset_id, version_id).isEmpty():
-            raise ValueError(f"version {version_id} already exists for dataset {dataset_id}")
+        # Equal content twice in a second: the later one has a number behind its id.
+        given = self._stored().filter((F.col("dataset_id") == dataset_id) & F.col("version_id").startswith(version_id))
+        again = given.select("version_id").distinct().count()
+        if again:
+            version_id = f"{version_id}_{again + 1}"
         if parent is None:
             before = self.latest(dataset_id)
             parent = before["version_id"] if before else None

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dataloom.functions.columns import is_numeric, quoted
+from dataloom.plans.shared import stored
 
 
 def _stacked(df: DataFrame, columns: dict[int, Column], value: str) -> DataFrame:
@@ -44,7 +45,8 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
-# Texts above this length are grouped by digest.
+# Texts above this length are grouped by digest. It decides what is shuffled, not what
+# comes out: values, counts and the order of ties are those of the whole texts.
 SHORT_TEXT = 64
 
 
@@ -52,9 +54,9 @@ def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, value fields, h1, h2, n): how often each value of each column occurs.
 
     Columns are stacked by type family, so no number is turned into text. A short text
-    stands for itself; a long one is represented by 128 bits of hash (h1, h2), so that
-    profiling a corpus shuffles 16 bytes per distinct text instead of the corpus. Hot
-    values meet in the map-side combine.
+    stands for itself; of a long one its beginning is ``string_value`` and 128 bits of
+    hash (h1, h2) tell it from others, so that profiling a corpus shuffles some bytes per
+    distinct text instead of the corpus. Hot values meet in the map-side combine.
     """
     names = list(names or df.columns)
     families: dict[str, dict[int, Column]] = {}
@@ -88,17 +90,35 @@ def _digested(long: DataFrame) -> DataFrame:
     is_long = F.length(value) > SHORT_TEXT
     return long.select(
         "column",
-        F.when(~is_long, value).alias("value"),
+        F.substring(value, 1, SHORT_TEXT).alias("value"),
         F.when(is_long, F.xxhash64(F.lit(1), value)).alias("h1"),
         F.when(is_long, F.xxhash64(F.lit(2), value)).alias("h2"),
     )
 
 
+def top_texts(df: DataFrame, names: list[str], k: int) -> DataFrame:
+    """(column, string_value, n, rank): the k most frequent texts of each column, of
+    equally frequent ones the smallest.
+
+    Beginnings of texts leave k rows per column, and more only where texts of one count
+    begin alike; whole texts decide among those.
+    """
+    first = Window.partitionBy("column").orderBy(F.desc("n"), "string_value")
+    # A rank limit right above the window: Spark keeps few rows per column and task
+    # before the shuffle.
+    chosen = stored(frequencies(df, names).withColumn("rank", F.rank().over(first)).filter(F.col("rank") <= k), "top")
+    last = Window.partitionBy("column").orderBy(F.desc("n"), "string_value")
+    whole = with_long_texts(chosen.select("column", "string_value", "h1", "h2", "n"), df, names)
+    return whole.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select(
+        "column", "string_value", "n", "rank"
+    )
+
+
 def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
-    """Put the texts back into a few chosen rows of ``frequencies``.
+    """Put the whole texts back into chosen rows of ``frequencies``, a stored table.
 
-    ``chosen`` must be small by construction (some rows per column): it is sent to the
-    rows, and of each matching text one copy per task comes back.
+    Spark broadcasts the chosen rows where their written size allows; of each matching
+    text one copy per task comes back.
     """
     columns = {i: _as_family(df, n, "string") for i, n in enumerate(names)}
     long = _stacked(df, columns, "text").filter(F.length("text") > SHORT_TEXT)
@@ -107,9 +127,9 @@ def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataF
     })
     keys = ["column", "h1", "h2"]
     wanted = chosen.filter("h1 is not null").select(*keys).distinct()
-    texts = hashed.join(F.broadcast(wanted), keys).select(*keys, "text").distinct()
-    return chosen.join(F.broadcast(texts), keys, "left").withColumn(
-        "string_value", F.coalesce("string_value", "text")
+    texts = hashed.join(wanted, keys).groupBy(*keys).agg(F.first("text").alias("text"))
+    return chosen.join(texts, keys, "left").withColumn(
+        "string_value", F.coalesce("text", "string_value")
     ).drop("text")
 
 

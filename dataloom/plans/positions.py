@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -52,7 +53,7 @@ def with_position(df: DataFrame, order: list[str | Column], name: str = "positio
 def with_running(
     df: DataFrame, order: list[str | Column], value: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Add ``position``, ``run_sum`` and ``run_count`` of the non-NULL values so far; and,
+    """Add ``position``, ``run_sum`` and ``run_count`` of the finite values so far; and,
     as one row, the totals ``n``, ``sum`` and ``seen``."""
     parts = _sorted_partitions(df, order)
     running = T.StructType(
@@ -63,19 +64,18 @@ def with_running(
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = 0.0, 0
         for batch in batches:
-            sums = total + batch[value].fillna(0.0).cumsum()
-            counts = seen + batch[value].notna().cumsum()
+            # An infinite value has no part in a mean: one would undo all later sums.
+            finite = batch[value].where(np.isfinite(batch[value]))
+            sums = total + finite.fillna(0.0).cumsum()
+            counts = seen + finite.notna().cumsum()
             if len(batch):
                 total, seen = float(sums.iloc[-1]), int(counts.iloc[-1])
             yield batch.assign(_sum=sums, _seen=counts.astype("int64"))
 
-    total = F.coalesce(F.sum(quoted(value)), F.lit(0.0))
-    before = _before(
-        parts, {"_rows": F.count("*"), "_sums": total, "_counts": F.count(quoted(value))}
-    )
-    totals = parts.agg(
-        F.count("*").alias("n"), total.alias("sum"), F.count(quoted(value)).alias("seen")
-    )
+    finite = F.when(F.abs(quoted(value)) < float("inf"), quoted(value))
+    total = F.coalesce(F.sum(finite), F.lit(0.0))
+    before = _before(parts, {"_rows": F.count("*"), "_sums": total, "_counts": F.count(finite)})
+    totals = parts.agg(F.count("*").alias("n"), total.alias("sum"), F.count(finite).alias("seen"))
     rows = (
         parts.mapInPandas(accumulate, running)
         .join(before, "_part")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from dataloom.operators import pairs, runs
+from dataloom.operators import catalog, pairs, runs
+from dataloom.plans.shared import scratch_path
 from dataloom.queries.tables import JOB_EVENTS, PAIRS, Tables, duck, rounded, text_list
 
 _EVENTS = duck(JOB_EVENTS)
@@ -45,6 +49,15 @@ def _encoded(t: Tables) -> DataFrame:
     return rows.withColumns({c: text_list(c) for c in ("input_ids", "attention_mask", "labels")})
 
 
+def _encoded_filtered(t: Tables) -> DataFrame:
+    """Ids under a vocabulary from which every other word was taken: ids stay as given."""
+    text = _pairs(t)
+    vocab = pairs.build_vocab(text, ["input", "target"], _VOCABULARY).where("token_id % 2 = 0")
+    rows = pairs.encode_pairs(text, vocab, ["conv_id", "turn"])
+    used = F.filter("input_ids", lambda i: i != 0)
+    return rows.select("conv_id", "turn", F.concat_ws(" ", used.cast("array<string>")).alias("input_ids"))
+
+
 def _vocabulary_sql(texts: str, size: int) -> str:
     return f"""SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INT) AS token_id
     FROM (SELECT token, count(*) AS n FROM (
@@ -76,6 +89,61 @@ def _encoded_sql() -> str:
     FROM p JOIN i USING (conv_id, turn) JOIN o USING (conv_id, turn)"""
 
 
+# Jobs that go through their states: every order is one.
+JOBS_OF = """
+(SELECT CAST(o_orderkey AS INT) AS id, 'job ' || o_orderkey AS name, CAST(o_custkey AS INT) AS dataset_id,
+  o_orderpriority AS model_type, o_orderstatus AS kind, o_totalprice AS price, o_orderdate AS moment FROM {orders})
+"""
+_JOBS = duck(JOBS_OF)
+
+
+def _runs(t: Tables) -> runs.Runs:
+    """Jobs created, started (not of kind P), completed (F) or failed (O), every fiftieth
+    removed; each with a log line and those of kind F with a configuration."""
+    book, jobs = runs.Runs(t.spark, scratch_path(t.spark, "runs")), t.sql(JOBS_OF)
+    book.add_jobs(jobs.withColumn("created_at", F.col("moment")))
+    book.change(jobs.where("kind <> 'P'").select("id", F.lit(runs.RUNNING).alias("status"), F.col("moment").alias("started_at")))
+    book.change(jobs.where("kind = 'F'").select(
+        "id", F.lit(runs.COMPLETED).alias("status"), F.col("moment").alias("completed_at"),
+        F.to_json(F.struct("dataset_id")).alias("metrics"), F.to_json(F.struct("model_type", "price")).alias("config"),
+    ))
+    book.change(jobs.where("kind = 'O'").select("id", F.lit(runs.FAILED).alias("status"), F.col("moment").alias("completed_at")))
+    book.add_logs(jobs.select(
+        F.col("id").cast("long").alias("id"), F.col("id").alias("training_job_id"), F.col("moment").alias("timestamp"),
+        F.concat(F.lit("at "), "kind").alias("message"),
+    ))
+    book.remove(jobs.where("id % 50 = 0"))
+    return book
+
+
+def _cascade(t: Tables) -> DataFrame:
+    """What is left of each table after one of two datasets was removed."""
+    book = catalog.Catalog(t.spark, scratch_path(t.spark, "catalog"))
+    kept, gone = book.store_profile(t.customer, "customers"), book.store_profile(t.orders, "orders")
+    for dataset, table in ((kept, t.customer), (gone, t.orders)):
+        book.create_version(dataset, table)
+    book.runs.add_jobs(t.sql(JOBS_OF).withColumn("dataset_id", F.when(F.col("id") % 3 == 0, kept).otherwise(gone)))
+    book.runs.add_logs(t.sql(JOBS_OF).select(F.col("id").alias("training_job_id"), F.lit("x").alias("message")))
+    book.delete(gone)
+    left = {"datasets": book.datasets(), "columns": book.columns(), "versions": book.versions(), "jobs": book.jobs(), "logs": book.logs()}
+    counts = [rows.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, rows in left.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
+def _current(t: Tables) -> DataFrame:
+    """The current version after three were created and the last was removed."""
+    book = catalog.Catalog(t.spark, scratch_path(t.spark, "catalog"))
+    dataset = book.store_profile(t.orders, "orders")
+    at = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    book.create_version(dataset, t.orders, "first", now=at[0])
+    book.create_version(dataset, t.orders.where("o_orderstatus = 'F'"), "second", now=at[1])
+    last = book.create_version(dataset, t.orders.where("o_orderstatus = 'O'"), "third", now=at[2])
+    book.delete_version(dataset, last)
+    rows = book.datasets().join(book.versions().withColumnRenamed("dataset_id", "id").drop("description"), "id")
+    current = rows.where("version_id = current_version_id")
+    return current.select("name", F.get_json_object("metadata", "$.rows").cast("long").alias("rows"))
+
+
 _SCORED = f"""(SELECT p_partkey, input, coalesce(expected, '') AS expected, generated,
   1 - levenshtein(coalesce(expected, ''), generated)
     / greatest(length(coalesce(expected, '')), length(generated)) AS match_score
@@ -157,6 +225,43 @@ QUERIES = {
         f"""SELECT job_id, model_type, epochs, round(learning_rate, 6) + 0.0 AS learning_rate
         FROM {duck(CONFIGS)}""",
     ),
+    "run_lifecycle": (
+        lambda t: _runs(t).jobs().drop("description", "task_type", "hyperparameters", "model_path", "config"),
+        f"""SELECT id, name, dataset_id, model_type, moment AS created_at,
+          CASE WHEN kind <> 'P' THEN moment END AS started_at,
+          CASE WHEN kind <> 'P' THEN moment END AS completed_at,
+          CASE kind WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'created' END AS status,
+          CASE WHEN kind = 'F' THEN '{{"dataset_id":' || dataset_id || '}}' END AS metrics
+        FROM {_JOBS} WHERE id % 50 <> 0""",
+    ),
+    "log_append": (
+        lambda t: _runs(t).logs().drop("metrics"),
+        f"""SELECT CAST(id AS BIGINT) AS id, id AS training_job_id, moment AS timestamp, 'INFO' AS level,
+          'at ' || kind AS message FROM {_JOBS} WHERE id % 50 <> 0""",
+    ),
+    "config_saved": (
+        lambda t: rounded(runs.load_config(_runs(t).jobs().select("id", "config"), "model_type string, price double")),
+        f"""SELECT id, CASE WHEN kind = 'F' THEN model_type END AS model_type,
+          CASE WHEN kind = 'F' THEN round(price, 6) + 0.0 END AS price FROM {_JOBS} WHERE id % 50 <> 0""",
+    ),
+    "current_version": (
+        _current, "SELECT 'orders' AS name, count(*) AS \"rows\" FROM orders WHERE o_orderstatus = 'F'",
+    ),
+    "cascade_all": (
+        _cascade,
+        """SELECT 'datasets' AS "table", 1::BIGINT AS n UNION ALL SELECT 'columns', 5 UNION ALL SELECT 'versions', 1
+        UNION ALL SELECT 'jobs', (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0)
+        UNION ALL SELECT 'logs', (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0)""",
+    ),
+    "encode_filtered_vocab": (
+        _encoded_filtered,
+        f"""WITH q AS (SELECT * FROM {duck(PAIRS)}), vocab AS (SELECT * FROM ({_vocabulary_sql(
+            "(SELECT question AS text FROM q UNION ALL SELECT answer FROM q)", _VOCABULARY)}) WHERE token_id % 2 = 0),
+        w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')[1:256] AS ws FROM q),
+        e AS (SELECT conv_id, turn, unnest(ws) AS token, unnest(range(len(ws))) AS place FROM w)
+        SELECT conv_id, turn, array_to_string(list(coalesce(token_id, 1) ORDER BY place), ' ') AS input_ids
+        FROM e LEFT JOIN vocab USING (token) GROUP BY conv_id, turn""",
+    ),
     "checks_by_tool": (
         lambda t: rounded(runs.checks_by_tool(t.sql(CHECKS))),
         f"""SELECT tool, count(*) AS checks, CAST(sum(issues_count) AS BIGINT) AS issues,

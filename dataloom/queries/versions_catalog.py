@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from dataloom.operators import catalog, versions
+from dataloom.plans import states
 from dataloom.plans.shared import scratch_path
 from dataloom.queries.profiling import (
     ORDERS, distinct_sql, missing_sql, numbers_of, numeric_sql,
@@ -224,14 +225,14 @@ QUERIES = {
         f"SELECT * FROM {duck(DATASETS)} WHERE name = 'red widget' ORDER BY id LIMIT 1",
     ),
     "catalog_latest_state": (
-        lambda t: catalog.without_removed(
-            catalog.latest_state(t.sql(STATES), "id", ["updated_at", "seq"]),
+        lambda t: states.without_removed(
+            states.latest_state(t.sql(STATES), "id", ["updated_at", "seq"]),
             t.sql(REMOVED), {"id": "id"}),
         f"""SELECT * FROM ({_latest_sql(duck(STATES), "id", "updated_at DESC, seq DESC")})
         WHERE id NOT IN (SELECT id FROM {duck(REMOVED)})""",
     ),
     "catalog_cascade": (
-        lambda t: catalog.without_removed(
+        lambda t: states.without_removed(
             t.orders.select("o_orderkey", "o_custkey"), t.sql(REMOVED), {"o_custkey": "id"}),
         f"""SELECT o_orderkey, o_custkey FROM orders
         WHERE o_custkey NOT IN (SELECT id FROM {duck(REMOVED)})""",

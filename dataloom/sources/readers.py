@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+
+
+# What happens to a row that cannot be read: the job stops, or, on request, the row is
+# left out or its unreadable fields are NULL.
+MALFORMED = {"raise": "FAILFAST", "drop": "DROPMALFORMED", "null": "PERMISSIVE"}
+
+
+def _reader(spark: SparkSession, malformed: str) -> DataFrameReader:
+    if malformed not in MALFORMED:
+        raise ValueError(f"malformed is one of {sorted(MALFORMED)}, not {malformed!r}")
+    return spark.read.option("mode", MALFORMED[malformed])
 
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-    line_breaks: bool = True,
+    line_breaks: bool = True, malformed: str = "raise",
 ) -> DataFrame:
     """Header row; types from ``schema``, else inferred by one extra pass.
 
     Quoted values may hold line breaks, so a file is read by one task. For huge files
-    known to hold none, ``line_breaks=False`` lets Spark split them.
+    known to hold none, ``line_breaks=False`` lets Spark split them. A row with a value of
+    another type or with more or fewer fields than the header stops the job (see
+    ``MALFORMED``); every row is read whole, so that this does not depend on the columns
+    a query uses.
     """
-    reader = spark.read.option("header", True).option("multiLine", line_breaks)
-    reader = reader.option("escape", '"')
+    reader = _reader(spark, malformed).option("header", True).option("multiLine", line_breaks)
+    reader = reader.option("escape", '"').option("columnPruning", False)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, malformed: str = "raise"
+) -> DataFrame:
     """Files that each hold one JSON array of records (or one record)."""
-    reader = spark.read.option("multiLine", True)
+    reader = _reader(spark, malformed).option("multiLine", True)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, malformed: str = "raise"
+) -> DataFrame:
     """One record per line; files are split over the tasks."""
-    reader = spark.read
+    reader = _reader(spark, malformed)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
@@ -37,14 +55,17 @@ def explode_records(
     keep: list[str] = (),
 ) -> DataFrame:
     """Rows from the list field of JSON documents: the named one, else the first in
-    document order that holds a list. A document without a list gives one row itself."""
+    document order that holds a list. A document without a list gives one row itself; one
+    that is not a JSON object stops the job."""
     fields = F.from_json(column, "map<string,string>")
+    stop = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(F.trim(column), 1, 100)))
+    names = F.json_object_keys(column)
+    whole_object = F.when(names.isNull() & F.col(column).isNotNull(), stop.cast("array<string>")).otherwise(names)
     parsed = documents.select(
-        *keep, F.col(column).alias("_text"), fields.alias("_fields"),
-        F.json_object_keys(column).alias("_names"),
-    )
+        *keep, F.col(column).alias("_text"), fields.alias("_fields"), whole_object.alias("_names"),
+    ).filter("_names IS NOT NULL")
     if record_path is not None:
-        body = F.get_json_object("_text", f"$.{record_path}")
+        body = F.try_element_at("_fields", F.lit(record_path))
     else:
         lists = F.filter("_names", lambda n: F.try_element_at("_fields", n).startswith("["))
         body = F.try_element_at("_fields", F.try_element_at(lists, F.lit(1)))
@@ -56,7 +77,7 @@ def explode_records(
 
 
 def read_json_nested(
-    spark: SparkSession, path: str, record_schema: str | None = None,
+    spark: SparkSession, path: str, record_schema: T.StructType | str | None = None,
     record_path: str | None = None,
 ) -> DataFrame:
     """Files that each hold one JSON object with a list of records (or one flat object).
@@ -65,6 +86,8 @@ def read_json_nested(
     parallel. Without ``record_schema`` one more pass infers it.
     """
     documents = spark.read.text(path, wholetext=True)
+    if isinstance(record_schema, T.StructType):
+        record_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in record_schema)
     if record_schema is None:
         record_schema, record_path = _inferred(spark, path, documents, record_path)
     return explode_records(documents, "value", record_schema, record_path)
@@ -99,12 +122,15 @@ def read_dataset(
         return read_jsonl(spark, path, schema)
     if ending != "json":
         raise ValueError(f"unsupported file format: {ending}")
-    lines = [r.value.strip() for r in spark.read.text(path).filter("trim(value) <> ''").head(2)]
-    if lines and lines[0].startswith("["):
+    # Of the first two lines their ends come to the driver, not the lines.
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    ends = spark.read.text(path).select(F.substring(text, 1, 1).alias("first"), F.substring(text, -1, 1).alias("last"))
+    lines = ends.filter("first <> ''").head(2)
+    if lines and lines[0]["first"] == "[":
         return read_json(spark, path, schema)
-    if len(lines) == 2 and lines[0].endswith("}") and lines[1].startswith("{"):
+    if len(lines) == 2 and lines[0]["last"] == "}" and lines[1]["first"] == "{":
         return read_jsonl(spark, path, schema)
-    return read_json_nested(spark, path)
+    return read_json_nested(spark, path, schema)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

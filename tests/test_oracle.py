@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from dataloom.queries import all_queries, all_sql
 from oracle import connect, differences, duck_rows, spark_rows
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
