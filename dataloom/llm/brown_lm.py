@@ -191,7 +191,8 @@ def gains(counts: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.nda
     diagonal = rest[:, every, every]
     gain = out.sum(axis=2) - out[:, every, every] + back.sum(axis=1) - back[:, every, every]
     gain += _xlog(diagonal + after + before + itself[:, None]) - _xlog(diagonal)
-    for total, added in ((left, after), (right, before)):
+    # The neighbours' own totals are the same wherever the symbol goes.
+    for total, added in ((left + before, after), (right + after, before)):
         more = (added.sum(axis=1) + itself)[:, None]
         gain -= _xlog(total + more) - _xlog(total)
     return gain
