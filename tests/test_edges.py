@@ -257,3 +257,49 @@ def test_kernel_density_has_mass_one(spark):
 def test_maps_can_be_hashed(spark):
     df = spark.sql("select map('a', 1, 'b', 2) m union all select map('b', 2, 'a', 1)")
     assert df.select(row_hash(df)).distinct().count() == 1
+
+
+def test_nested_nulls_count(spark):
+    frames = [
+        spark.createDataFrame([([None, 1],), ([1, None],), ([1],)], "x array<int>"),
+        spark.createDataFrame([((None, 1),), ((1, None),)], "x struct<a: int, b: int>"),
+        spark.createDataFrame([([(None, 1)],), ([(1, None)],)], "x array<struct<a: int, b: int>>"),
+        spark.createDataFrame([({"k": None},), ({},), (None,)], "x map<string, int>"),
+    ]
+    for df in frames:
+        assert profile.duplicate_count(df).first()[0] == 0
+
+
+def test_unread_dates_stop_the_series(spark):
+    texts = ["2024-01-05T10:00:00.5", "2024-01-06T23:30:00-01:00", "1/7/2024", "2024-1-8", "9.1.2024 8:15", None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "t string, y int")
+    days = [str(r.period) for r in charts.time_series(df, "t", "y", "day", "count").collect()]
+    assert days == ["2024-01-05", "2024-01-07", "2024-01-08", "2024-01-09"]
+    wrong = df.unionAll(spark.createDataFrame([("soon", 1)], df.schema))
+    with pytest.raises(Exception, match="not a date in t: soon"):
+        charts.time_series(wrong, "t", "y", "day", "count").collect()
+    assert charts.time_series(wrong, "t", "y", "day", "count", unread="drop").count() == 4
+
+
+def test_infinite_values_leave_the_smoothed_curve(spark):
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([1, 2, 3, 4, 5])] + [(9, float("-inf"))], "k int, x double")
+    rows = charts.smoothed_sorted(df, "x", ["k"]).collect()
+    assert all(v == v for r in rows for v in r.asDict().values() if isinstance(v, float))
+
+
+def test_ties_of_long_texts_go_to_the_smallest(spark):
+    a, y = "A" * 100, "y" * 100
+    df = spark.createDataFrame([(a,), (y,), (a,), (y,), ("z",), ("z",), (None,)], "t string")
+    assert {r.t for r in clean.impute_mode(df).collect()} == {a, y, "z"}
+    assert [r.value for r in profile.top_values(df, k=2).collect()] == [a, y]
+    assert clean.impute_mode(df).where(f"t = '{a}'").count() == 3
+
+
+def test_no_new_column_replaces_another(spark):
+    df = spark.createDataFrame([("A", 1, 2.0), ("B", 2, 3.0), ("b", 3, 4.0)], "flag string, flag_B int, x double")
+    got = features.one_hot_low_card(df)
+    assert got.columns == ["flag", "flag_B", "x", "flag_B_2", "flag_b_3"]
+    assert [tuple(r) for r in got.orderBy("x").collect()] == [("A", 1, 2.0, False, False), ("B", 2, 3.0, True, False), ("b", 3, 4.0, False, True)]
+    assert features.one_hot_all(df).columns == ["flag_B", "x", "flag_A", "flag_B_2", "flag_b_3"]
+    with pytest.raises(ValueError):
+        features.one_hot_all(df, max_categories=2)

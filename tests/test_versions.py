@@ -36,10 +36,17 @@ def test_create_list_load(spark, store):
     assert [(r.rows, r.columns, r.version) for r in metrics] == [(5, 2, "20240101..."), (6, 2, "20240102...")]
 
 
-def test_same_content_in_the_same_second_is_an_error(spark, store):
-    store.create(1, table(spark, 5), now=DAY[0])
-    with pytest.raises(ValueError, match="exists"):
-        store.create(1, table(spark, 5), now=DAY[0])
+def test_same_content_in_the_same_second_gets_its_own_id(spark, store):
+    first = store.create(1, table(spark, 5), now=DAY[0])
+    second = store.create(1, table(spark, 5), now=DAY[0])
+    assert second == f"{first}_2" and parents(store) == {first: None, second: first}
+
+
+def test_cycle_of_removed_versions_is_an_error(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"), (1, "c", "b")]
+    manifest = spark.createDataFrame(rows, "dataset_id long, version_id string, parent_version_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        versions.live_versions(manifest, manifest.where("version_id <> 'c'"))
 
 
 def test_missing_version(store):
