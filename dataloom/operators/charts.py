@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dataloom.functions.columns import (
     canonicalise, datetime_columns, epoch_micros, quoted, text_columns,
 )
 from dataloom.functions.parsing import parse_datetime
-from dataloom.plans.long_form import numeric_long, numeric_of
+from dataloom.plans.long_form import first_texts, named, numeric_long, numeric_of
 from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.positions import with_running
 from dataloom.plans.quantiles import attach, group_quantiles
@@ -42,22 +42,14 @@ def histogram(df: DataFrame, column: str, bins: int = 20, color: str | None = No
         place.alias("bin"), *([quoted(color).alias("color")] if color else [])
     )
     counts = keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n"))
-    # The frame of the chart: one row per bin (and color), at most 100 per color.
-    frame = limits.filter("lo is not null").select(
-        F.struct("lo", "hi").alias("_stats"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    # The frame of the chart comes from the counted bins: one map of at most 100 per color.
+    filled = counts.groupBy(*(["color"] if color else [])).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts")
     )
-    if color:
-        frame = (
-            counts.select("color").distinct()
-            .withColumn("_stats", as_struct(limits))
-            .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-        )
-        counts = counts.withColumnsRenamed({"bin": "_bin", "color": "_color"})
-        same = (F.col("bin") == F.col("_bin")) & F.col("color").eqNullSafe(F.col("_color"))
-        joined = frame.join(counts, same, "left")
-    else:
-        joined = frame.join(counts, "bin", "left")
-    return joined.select(
+    frame = with_row(filled, limits).filter("_stats.lo is not null").withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    )
+    return frame.withColumn("n", F.try_element_at("_counts", F.col("bin"))).select(
         "bin",
         (F.col("_stats.lo") + F.col("bin") * width).alias("bin_start"),
         (F.col("_stats.lo") + (F.col("bin") + 1) * width).alias("bin_end"),
@@ -69,9 +61,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20, color: str | None = No
 def density_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Histogram whose bars have total area one."""
     counts = histogram(df, column, bins)
-    rows = df.agg(F.count(F.nanvl(quoted(column).cast("double"), F.lit(None))).alias("rows"))
-    area = F.col("_stats.rows") * (F.col("bin_end") - F.col("bin_start"))
-    return with_row(counts, rows).withColumn("density", F.try_divide("n", area)).drop("_stats")
+    # At most 100 rows reach this window.
+    rows = F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("density", F.try_divide("n", rows * (F.col("bin_end") - F.col("bin_start"))))
 
 
 def smoothed_sorted(df: DataFrame, column: str, key: list[str]) -> DataFrame:
@@ -160,10 +152,10 @@ def box_summary(
 def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = None) -> DataFrame:
     """Gaussian density per group on an even grid from minimum to maximum.
 
-    Bandwidth 1.06 * s * n^(-1/5). Each row meets each point of the grid; partial sums are
-    added before the shuffle, so it carries ``grid`` rows per group and task. With ``bins``
-    the rows are first counted per bin and the bin centres meet the grid: one pass over
-    the rows instead of ``grid`` kernel values per row.
+    Bandwidth 1.06 * s * n^(-1/5). A row adds to one sum for each point of the grid; the
+    shuffle carries one row of sums per group and task. With ``bins`` the rows are first
+    counted per bin and the bin centres meet the grid: one pass over the rows instead of
+    ``grid`` kernel values per row.
     """
     rows = _value(df, y, by).select(quoted(by).alias("group"), quoted(y).cast("double").alias("v"))
     rows = rows.filter("group is not null and v is not null")
@@ -186,14 +178,18 @@ def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = No
         weighted = attach(rows, stats, ["group"], "rows").withColumn("c", F.lit(1))
     bandwidth = F.lit(1.06) * F.col("s") * F.pow(F.col("rows"), F.lit(-0.2))
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
-    points = weighted.withColumn("h", bandwidth).filter("h > 0").withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+
+    def mass(point: int) -> Column:
+        u = (F.col("lo") + point * step - F.col("v")) / F.col("h")
+        return F.sum(F.col("c") * F.exp(-0.5 * u * u))
+
+    sums = weighted.withColumn("h", bandwidth).filter("h > 0").groupBy("group").agg(
+        F.array(*[mass(i) for i in range(grid)]).alias("mass"), *[F.max(c).alias(c) for c in ("rows", "lo", "hi", "h")]
+    )
+    norm = F.col("rows") * F.col("h") * (2 * 3.141592653589793) ** 0.5
+    return sums.select("*", F.posexplode("mass").alias("point", "m")).select(
+        "group", "point", (F.col("lo") + F.col("point") * step).alias("x"), (F.col("m") / norm).alias("density")
     )
-    at = F.col("lo") + F.col("point") * step
-    u = (at - F.col("v")) / F.col("h")
-    mass = F.sum(F.col("c") * F.exp(-0.5 * u * u))
-    norm = F.max(F.col("rows") * F.col("h")) * (2 * 3.141592653589793) ** 0.5
-    return points.groupBy("group", "point").agg(F.max(at).alias("x"), (mass / norm).alias("density"))
 
 
 def _pairwise(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
@@ -279,14 +275,12 @@ def date_like_columns(df: DataFrame, key: list[str], look_at: int = 5) -> DataFr
         session.createDataFrame([(c, "datetime")], "column string, kind string")
         for c in datetime_columns(df)
     ]
-    keys = [quoted(k) for k in key]
-    for name in text_columns(df):
-        text = quoted(name)
-        firsts = df.filter(text.isNotNull()).select(text.alias("t"), *keys).orderBy(*keys)
-        dated = firsts.limit(look_at).agg(F.bool_and(F.col("t").rlike("[/-]")).alias("dated"))
-        found.append(dated.filter("dated").select(
-            F.lit(name).alias("column"), F.lit("text").alias("kind")
-        ))
+    texts = text_columns(df)
+    if texts:
+        dated = first_texts(df, texts, key, look_at).groupBy("column").agg(
+            F.bool_and(F.col("text").rlike("[/-]")).alias("dated")
+        )
+        found.append(named(dated.filter("dated"), texts).select("column", F.lit("text").alias("kind")))
     if not found:
         return session.createDataFrame([], "column string, kind string")
     return reduce(DataFrame.unionAll, found)

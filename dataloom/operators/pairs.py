@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from dataloom.functions.columns import quoted
 from dataloom.functions.parsing import stripped
 from dataloom.plans.one_row import as_struct
+from dataloom.plans.shared import checkpoint
 
 # Task prefixes, lengths, limits.
 TASK_PREFIXES = {
@@ -77,21 +78,26 @@ def train_test_split(
     def bucket(level: int) -> Column:
         return F.shiftright("_h", _HASH_BITS - level * _LEVEL_BITS)
 
-    def crossing(rows: DataFrame, level: int, wanted: Column) -> DataFrame:
+    # One pass counts the buckets of the lower level; those of the upper are their sums.
+    fine = checkpoint(keys.groupBy(bucket(2).alias("fine")).agg(F.count("*").alias("c"))).withColumn(
+        "coarse", F.shiftright("fine", _LEVEL_BITS)
+    )
+
+    def crossing(counts: DataFrame, level: str, wanted: Column) -> DataFrame:
         """The bucket in which the running count passes ``wanted``, and the count before."""
-        counts = rows.groupBy(bucket(level).alias("b")).agg(F.count("*").alias("c"))
+        counts = counts.groupBy(F.col(level).alias("b")).agg(F.sum("c").alias("c"))
         # At most 4096 rows here.
         run = counts.withColumn("after", F.sum("c").over(Window.orderBy("b")))
         return run.filter(F.col("after") >= wanted).agg(
             F.min("b").alias("b"), F.min_by(F.col("after") - F.col("c"), "b").alias("before")
         )
 
-    size = keys.agg(F.ceil(F.count("*") * test).alias("want"))
+    size = fine.agg(F.ceil(F.coalesce(F.sum("c"), F.lit(0)) * test).alias("want"))
     want = as_struct(size).getField("want")
-    first = crossing(keys, 1, want)
-    in_first = keys.withColumn("_f", as_struct(first)).filter(bucket(1) == F.col("_f.b"))
-    second = crossing(in_first, 2, want - as_struct(first).getField("before"))
-    inside = in_first.withColumn("_g", as_struct(second)).filter(bucket(2) == F.col("_g.b"))
+    first = crossing(fine, "coarse", want)
+    in_first = fine.withColumn("_f", as_struct(first)).filter(F.col("coarse") == F.col("_f.b"))
+    second = crossing(in_first, "fine", want - as_struct(first).getField("before"))
+    inside = keys.withColumns({"_f": as_struct(first), "_g": as_struct(second)}).filter(bucket(2) == F.col("_g.b"))
     ranked = inside.withColumn("_r", F.row_number().over(Window.orderBy("_h", "_k")))
     last = ranked.filter(
         F.col("_r") == want - F.col("_f.before") - F.col("_g.before")

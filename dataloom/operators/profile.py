@@ -46,15 +46,31 @@ def missing_cells(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(cells), F.lit(0)).alias("missing_cells"))
 
 
-def _copies(df: DataFrame) -> DataFrame:
+def _copies(df: DataFrame, **sums: Column) -> DataFrame:
     """(copies) per distinct row, grouped on a 128-bit digest instead of the row itself.
 
-    The shuffle then carries 16 bytes per distinct row and task, also for tables of
-    long texts; equal rows meet in the map-side combine.
+    The shuffle then carries some bytes per distinct row and task, also for tables of
+    long texts; equal rows meet in the map-side combine. ``sums`` are numbers of a row
+    that are added up in the same pass.
     """
     df = canonicalise(df)
     digest = [row_hash(df, seed=1).alias("h1"), row_hash(df, seed=2).alias("h2")]
-    return df.select(*digest).groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+    rows = df.select(*digest, *[c.alias(n) for n, c in sums.items()])
+    return rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *[F.sum(n).alias(n) for n in sums])
+
+
+def row_totals(df: DataFrame, **sums: Column) -> DataFrame:
+    """One row from one pass: rows, duplicate_rows, and the sums of the given numbers."""
+    zero = F.lit(0)
+    return _copies(df, **sums).agg(
+        F.coalesce(F.sum("copies"), zero).alias("rows"), F.coalesce(F.sum(F.col("copies") - 1), zero).alias("duplicate_rows"),
+        *[F.coalesce(F.sum(n), zero).alias(n) for n in sums],
+    )
+
+
+def cells_missing(df: DataFrame) -> Column:
+    """Missing cells of a row."""
+    return reduce(Column.__add__, [missing(c) for c in df.columns])
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -126,14 +142,11 @@ def _every_column(names: list[str], table: DataFrame, defaults: dict[str, Column
     )
 
 
-def _moments(long: DataFrame) -> DataFrame:
-    return long.groupBy("column").agg(
-        F.count("*").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+def _moments() -> dict[str, Column]:
+    return {
+        "count": F.count("*"), "mean": F.avg("_v"), "std": F.stddev_samp("_v"),
+        "min": F.min("_v"), "max": F.max("_v"),
+    }
 
 
 def numeric_profile(
@@ -143,8 +156,7 @@ def numeric_profile(
     df = canonicalise(df)
     names = numeric_of(df, columns, booleans=True)
     long = numeric_long(_booleans_as_int(df, names), names)
-    median = column_quantiles(long, {"median": 0.5}, accuracy)
-    table = _moments(long).join(F.broadcast(median), "column").drop("count")
+    table = column_quantiles(long, {"median": 0.5}, accuracy, _moments())
     empty = {n: F.lit(None).cast("double") for n in ("min", "max", "mean", "median", "std")}
     return _every_column(names, table, empty)
 
@@ -161,8 +173,7 @@ def describe(
     df = canonicalise(df)
     names = numeric_of(df, columns)
     long = numeric_long(df, names)
-    quartiles = column_quantiles(long, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
-    table = _moments(long).join(F.broadcast(quartiles), "column")
+    table = column_quantiles(long, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy, _moments())
     empty: dict[str, Column] = {"count": F.lit(0).cast("long")}
     empty |= {
         n: F.lit(None).cast("double") for n in ("mean", "std", "min", "q25", "q50", "q75", "max")
@@ -246,15 +257,10 @@ def column_info(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
 def dataset_info(df: DataFrame) -> DataFrame:
     """One summary row: shape, missing cells, duplicates, size."""
     df = canonicalise(df)
-    cells = reduce(Column.__add__, [missing(c) for c in df.columns])
-    sizes = df.agg(
-        F.count("*").alias("rows"),
-        F.lit(len(df.columns)).cast("long").alias("columns"),
-        F.coalesce(F.sum(cells), F.lit(0)).alias("missing_cells"),
-        (F.coalesce(F.sum(_bytes(df)), F.lit(0)) / MIB).alias("estimated_mb"),
+    return row_totals(df, missing_cells=cells_missing(df), bytes=_bytes(df)).select(
+        "rows", F.lit(len(df.columns)).cast("long").alias("columns"), "missing_cells",
+        (F.col("bytes") / MIB).alias("estimated_mb"), "duplicate_rows",
     )
-    duplicates = as_struct(duplicate_count(df)).getField("duplicate_rows")
-    return sizes.withColumn("duplicate_rows", duplicates)
 
 
 def detect_format(df: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dataloom.functions.columns import canonicalise, missing, quoted, text_columns
+from dataloom.functions.columns import canonicalise, quoted, text_columns
 from dataloom.functions.parsing import looks_numeric, parse_datetime
-from dataloom.operators.profile import duplicate_count, missing_by_column
-from dataloom.plans.long_form import named, numeric_long, spread
-from dataloom.plans.one_row import as_struct, with_row
+from dataloom.operators.profile import cells_missing, missing_by_column, row_totals
+from dataloom.plans.long_form import first_texts, named, numeric_long, spread
+from dataloom.plans.one_row import with_row
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
 
 # Limits and words of the quality report.
@@ -21,9 +19,7 @@ ADVICE = "Consider imputing or removing this column"
 
 def quality_metrics(df: DataFrame) -> DataFrame:
     df = canonicalise(df)
-    cells = reduce(Column.__add__, [missing(c) for c in df.columns])
-    base = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("missing"))
-    duplicates = as_struct(duplicate_count(df)).getField("duplicate_rows")
+    base = row_totals(df, missing=cells_missing(df))
 
     def percent(part: str, whole: Column) -> Column:
         return F.coalesce(F.try_divide(F.col(part), whole) * 100, F.lit(0.0))
@@ -31,8 +27,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     total = F.col("rows") * len(df.columns)
     lost = F.col("missing_pct") + F.col("duplicate_pct")
     return (
-        base.withColumn("duplicate_rows", duplicates)
-        .withColumn("cells", total)
+        base.withColumn("cells", total)
         .withColumn("missing_pct", percent("missing", F.col("cells")))
         .withColumn("duplicate_pct", percent("duplicate_rows", F.col("rows")))
         .select(
@@ -111,16 +106,10 @@ def type_suggestions(
     if sample_rows is not None:
         if not order_by:
             raise ValueError("sample_rows needs order_by")
-        keys = [quoted(k) for k in order_by]
-        firsts = [
-            df.filter(quoted(n).isNotNull()).orderBy(*keys).limit(sample_rows)
-            .agg(*_parse_counts(n, i))
-            for i, n in enumerate(names)
-        ]
-        counts = reduce(
-            DataFrame.unionAll,
-            [f.select(F.lit(n).alias("column"), *_named(f)) for n, f in zip(names, firsts)],
-        )
+        values, numbers, dates = _parse_counts("text", 0)
+        counts = named(first_texts(df, names, order_by, sample_rows).groupBy("column").agg(
+            values.alias("values"), numbers.alias("numbers"), dates.alias("dates")
+        ), names)
     else:
         wide = df.agg(*[c for i, n in enumerate(names) for c in _parse_counts(n, i)])
         counts = spread(wide, {
@@ -146,10 +135,6 @@ def _parse_counts(name: str, i: int) -> list[Column]:
     ]
 
 
-def _named(one: DataFrame) -> list[Column]:
-    return [F.col(c).alias(n) for c, n in zip(one.columns, ("values", "numbers", "dates"))]
-
-
 def iqr_bounds(
     df: DataFrame, columns: list[str], factor: float = 1.5, accuracy: int = ACCURACY
 ) -> DataFrame:

@@ -75,10 +75,13 @@ def group_quantiles(
     bounded: bool = False,
     accuracy: int = ACCURACY,
     size: str | None = None,
+    more: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group: the keys, one exact quantile per entry of ``probs``, and, when
     ``size`` is given, the number of values under that name.
 
+    ``more`` are aggregates of the value (``_v``) that the first pass takes as well.
+
     NULL keys and NULL values are left out.
     """
     by = [quoted(k) for k in keys]
@@ -90,7 +93,11 @@ def group_quantiles(
     sketch = rows.groupBy(*by).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
+        *[c.alias(n) for n, c in (more or {}).items()],
     )
+    if more:
+        # Used here and at the end: written, so that the pass is not made twice.
+        sketch = checkpoint(sketch)
     widths = F.when(F.col("_n") > LARGE_GROUP, WIDTHS).otherwise(1).cast("long")
     at = _bucket(F.col("_v"), F.col("_edges"), len(edges), widths)
     buckets = (
@@ -151,11 +158,15 @@ def group_quantiles(
     ]
     if size is not None:
         answers.append(F.max("_n").alias(size))
-    return picked.groupBy(*by).agg(*answers)
+    answered = picked.groupBy(*by).agg(*answers)
+    if not more:
+        return answered
+    aggregates = sketch.select(*by, *[quoted(n) for n in more])
+    return answered.join(F.broadcast(aggregates) if bounded else aggregates, keys)
 
 
 def column_quantiles(
-    long: DataFrame, probs: dict[str, float], accuracy: int = ACCURACY
+    long: DataFrame, probs: dict[str, float], accuracy: int = ACCURACY, more: dict[str, Column] | None = None
 ) -> DataFrame:
     """Quantiles of a (column, value) table: one row per column."""
-    return group_quantiles(long, ["column"], "value", probs, bounded=True, accuracy=accuracy)
+    return group_quantiles(long, ["column"], "value", probs, bounded=True, accuracy=accuracy, more=more)
