@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ OFTEN = 3
 LONG = 64
 BUNDLES = 512
 CLASSES = 32
-ROUNDS = 4
+ROUNDS = 3
 # Share of the symbols that may move at once, one part after the other.
 _PARTS = 2
 # Entries that a task counts before it passes them on.
@@ -91,10 +92,9 @@ class Symbols:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a text, between two ends."""
-        get, known = self.words.get, len(words)
-        found = np.fromiter((get(w, -1) for w in words), np.int64, known)
-        for i in np.flatnonzero(found < 0).tolist():
-            found[i] = self.bundle(words[i])
+        found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(found < 0)
+        found[rare] = np.fromiter((self.bundle(words[i]) for i in rare.tolist()), np.int64, len(rare))
         return np.concatenate([[END], found, [END]])
 
 
@@ -126,42 +126,46 @@ def symbol_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
 
 
 def _contexts(bigrams: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
-    """``symbol, slot, n``: neighbours by class. Slots below k: behind it; from k: before
-    it; 2k: the symbol itself behind itself."""
+    """``symbol, slot, n``, a stored table: neighbours by class. Slots below k: behind it;
+    from k: before it; 2k: the symbol itself behind itself. A task adds up a table of all
+    symbols and slots, whose size is a parameter."""
     shared = bigrams.sparkSession.sparkContext.broadcast(classes)
     wide = 2 * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.astype(np.int64)
+        sums = np.zeros(len(own) * wide, np.int64)
         for batch in batches:
             a, b, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             itself = a == b
-            keys = np.concatenate([
-                a * wide + np.where(itself, 2 * k, own[b]), (b * wide + k + own[a])[~itself]
-            ])
-            found, place = np.unique(keys, return_inverse=True)
-            sums = np.bincount(place, np.concatenate([n, n[~itself]])).astype(np.int64)
+            np.add.at(sums, a * wide + np.where(itself, 2 * k, own[b]), n)
+            np.add.at(sums, (b * wide + k + own[a])[~itself], n[~itself])
+        found = np.flatnonzero(sums)
+        for at in range(0, len(found), 50_000):
+            some = found[at:at + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((found // wide).astype(np.int32)), pa.array((found % wide).astype(np.int32)), pa.array(sums)],
+                [pa.array((some // wide).astype(np.int32)), pa.array((some % wide).astype(np.int32)), pa.array(sums[some])],
                 ["symbol", "slot", "n"],
             )
 
-    return bigrams.mapInArrow(run, "symbol int, slot int, n long").groupBy("symbol", "slot").agg(F.sum("n").alias("n"))
+    rows = bigrams.mapInArrow(run, "symbol int, slot int, n long").groupBy("symbol", "slot").agg(F.sum("n").alias("n"))
+    return stored(rows, "contexts")
 
 
-def class_bigrams(bigrams: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """How often class j follows class i: k x k numbers."""
-    shared = bigrams.sparkSession.sparkContext.broadcast(classes)
+def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """How often class j follows class i: k x k numbers, from the symbols' contexts."""
+    shared = contexts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shared.value.astype(np.int64), np.zeros(k * k)
+        own, sums = shared.value.astype(np.int64), np.zeros((k, k), np.int64)
         for batch in batches:
-            a, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sums += np.bincount(own[a] * k + own[b], n, k * k)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], ["at", "n"])
+            symbol, slot, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            mine = own[symbol]
+            np.add.at(sums, (mine, np.where(slot == 2 * k, mine, slot)), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(sums.ravel())], ["at", "n"])
 
-    rows = bigrams.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    behind = contexts.where((F.col("slot") < k) | (F.col("slot") == 2 * k))
+    rows = behind.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(k * k)
     counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return counts.reshape(k, k)
@@ -198,11 +202,20 @@ def gains(counts: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.nda
     return gain
 
 
-def exchange(bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each symbol. Class 0 holds the end alone; others begin dealt by rank."""
+def exchange(
+    bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each symbol, and how often class j follows class i.
+
+    Class 0 holds the end alone; other symbols begin dealt by rank. A turn is one pass over
+    the bigrams; then a part of the symbols moves.
+    """
     classes = np.concatenate([[0], 1 + np.arange(size - 1) % (k - 1)]).astype(np.int32)
-    for turn in range(rounds * _PARTS):
-        counts = class_bigrams(bigrams, classes, k)
+    for turn in range(rounds * _PARTS + 1):
+        everything = _contexts(bigrams, classes, k)
+        counts = class_bigrams(everything, classes, k)
+        if turn == rounds * _PARTS:
+            break
         shared = bigrams.sparkSession.sparkContext.broadcast((counts, classes))
 
         def move(part: pd.DataFrame) -> pd.DataFrame:
@@ -218,17 +231,11 @@ def exchange(bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUN
                 best[at:at + 256] = gain.argmax(axis=1)
             return pd.DataFrame({"symbol": symbols, "class": best})
 
-        contexts = _contexts(bigrams, classes, k).where(
-            (F.col("symbol") != END) & (F.col("symbol") % _PARTS == turn % _PARTS)
-        )
+        contexts = everything.where((F.col("symbol") != END) & (F.col("symbol") % _PARTS == turn % _PARTS))
         # At most as many rows as there are symbols, which is a parameter.
         moved = contexts.groupBy((F.col("symbol") % 64).alias("part")).applyInPandas(move, "symbol int, class int").toPandas()
-        fresh = classes.copy()
-        fresh[moved["symbol"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int32)
-        if np.array_equal(fresh, classes) and turn:
-            break
-        classes = fresh
-    return classes
+        classes[moved["symbol"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int32)
+    return classes, counts
 
 
 @dataclass
@@ -254,6 +261,25 @@ def _transitions(counts: np.ndarray) -> np.ndarray:
     return np.log10((counts + _PRIOR * share) / (counts.sum(axis=1, keepdims=True) + _PRIOR))
 
 
+def _frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
+    """The words that are seen most, at most ``most`` of them, by falling count.
+
+    Words are cut off at a count: steps of a sixty-fourth of a power of two are counted
+    first (some thousands at most), so that only the chosen words reach the driver.
+    """
+    often = vocabulary.where((F.col("n") >= OFTEN) & (F.octet_length("word") <= LONG)).withColumn(
+        "step", F.floor(F.log2("n") * 64).cast("int")
+    )
+    steps = sorted((r["step"], r["count"]) for r in often.groupBy("step").count().collect())
+    cut, room = (steps[-1][0] + 1 if steps else 0), most
+    for step, count in reversed(steps):
+        if count > room:
+            break
+        cut, room = step, room - count
+    chosen = often.where(F.col("step") >= cut).select("word", "n").toPandas()
+    return chosen.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def train(
     texts: DataFrame, symbols: int = SYMBOLS, bundles: int = BUNDLES, classes: int = CLASSES, rounds: int = ROUNDS,
 ) -> tuple[Model, DataFrame]:
@@ -266,12 +292,10 @@ def train(
     of = vocabulary.agg(
         F.count("*"), F.sum("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
     ).first()
-    often = vocabulary.where((F.col("n") >= OFTEN) & (F.octet_length("word") <= LONG))
-    top = often.orderBy(F.col("n").desc(), "word").limit(symbols).toPandas()
+    top = _frequent(vocabulary, symbols)
     table = Symbols({w.encode(): i + 1 for i, w in enumerate(top["word"])}, bundles)
     bigrams = stored(symbol_bigrams(texts, table), "bigrams")
-    own = exchange(bigrams, table.size, classes, rounds)
-    counts = class_bigrams(bigrams, own, classes)
+    own, counts = exchange(bigrams, table.size, classes, rounds)
     discount = (of[2] / (of[2] + 2 * of[3])) if of[2] else 0.5
     # Rare words and their number by class: a bundle's class is that of its words.
     shared = texts.sparkSession.sparkContext.broadcast((table, own))
