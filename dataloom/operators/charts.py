@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dataloom.functions.columns import (
@@ -192,31 +195,68 @@ def violin(df: DataFrame, y: str, by: str, grid: int = 64, bins: int | None = No
     )
 
 
+# A variance below this share of the mean square is rounding: the column is constant there.
+_ROUNDING = 1e-13
+
+
+def _pair_sums(doubles: DataFrame, pairs: list[tuple[int, int]], shifts: list[float]) -> DataFrame:
+    """(pair, n, x, y, xx, yy, xy, odd): sums over the rows where both columns have a value,
+    and the number of infinite ones among them.
+
+    Each task multiplies matrices of its batches and sends one row per pair, so neither
+    rows nor pairs of values are multiplied out.
+    """
+    k, base = len(shifts), np.array(shifts)
+    left, right = (np.array([p[side] for p in pairs]) for side in (0, 1))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares, products, odd = (np.zeros((k, k)) for _ in range(5))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = (~np.isnan(values)).astype(float)
+            moved = np.where(np.isfinite(values), values - base, 0.0)
+            odd += np.isinf(values).T.astype(float) @ there
+            n += there.T @ there
+            sums += moved.T @ there
+            squares += (moved * moved).T @ there
+            products += moved.T @ moved
+        found = [n[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left], products[left, right]]
+        found.append(odd[left, right] + odd[right, left])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(pairs), dtype=np.int32)), *(pa.array(f) for f in found)], ["pair", *names]
+        )
+
+    names = ["n", "x", "y", "xx", "yy", "xy", "odd"]
+    parts = doubles.mapInArrow(add_up, ", ".join(["pair int", *[f"{c} double" for c in names]]))
+    return parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def _pairwise(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """(feature_1, feature_2, correlation) of the given pairs, each over the rows where
-    both columns have a value; NULL where either is constant there.
+    both columns have a value; NULL where either is constant or infinite there.
 
-    Rows are unpivoted to one (pair, x, y) per pair and grouped by pair. Partial sums are
-    kept per task, so nothing but one row per pair and task is shuffled, and the plan
-    stays small however many columns there are.
+    A first pass takes each column's smallest value, from which values are measured; one
+    row of them goes to the tasks.
     """
     doubles = df.select(*[quoted(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    at = {n: f"c{i}" for i, n in enumerate(names)}
-    listed = ", ".join(f"({at[a]}, {at[b]}) AS `{i}`" for i, (a, b) in enumerate(pairs))
-    long = df.sparkSession.sql(
-        f"SELECT pair, x, y FROM {{doubles}} UNPIVOT ((x, y) FOR pair IN ({listed}))",
-        doubles=doubles,
-    ).filter("x is not null and y is not null")
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    least = doubles.agg(*[F.min(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in doubles.columns]).first()
+    place = {n: i for i, n in enumerate(names)}
+    sums = _pair_sums(doubles, [(place[a], place[b]) for a, b in pairs], [0.0 if v is None else v for v in least])
+
+    def spread(squares: str, total: str) -> Column:
+        variance = F.col(squares) - F.col(total) * F.try_divide(total, "n")
+        return F.when(variance <= F.col(squares) * _ROUNDING, 0.0).otherwise(F.sqrt(variance))
+
+    joint = F.col("xy") - F.col("x") * F.try_divide("y", "n")
+    r = F.when(F.col("odd") == 0, F.try_divide(joint, spread("xx", "x") * spread("yy", "y")))
     # greatest and least skip NULL, so a constant column needs its own branch.
     clamped = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    found = long.groupBy(F.col("pair").cast("int").alias("pair")).agg(clamped.alias("correlation"))
     labels = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(pairs)],
         "pair int, feature_1 string, feature_2 string",
     )
     # One row per pair of columns on both sides.
-    return labels.join(F.broadcast(found), "pair", "left").select(
+    return labels.join(F.broadcast(sums.select("pair", clamped.alias("correlation"))), "pair", "left").select(
         "feature_1", "feature_2", "correlation"
     )
 

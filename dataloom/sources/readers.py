@@ -25,8 +25,8 @@ def read_csv(
     Quoted values may hold line breaks, so a file is read by one task. For huge files
     known to hold none, ``line_breaks=False`` lets Spark split them. A row with a value of
     another type or with more or fewer fields than the header stops the job (see
-    ``MALFORMED``); every row is read whole, so that this does not depend on the columns
-    a query uses.
+    ``MALFORMED``): fields are counted in every row, types are checked in the columns that
+    a query reads.
     """
     reader = _reader(spark, malformed).option("header", True).option("multiLine", line_breaks)
     reader = reader.option("escape", '"').option("columnPruning", False)
