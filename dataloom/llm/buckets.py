@@ -12,33 +12,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.llm.components import components
 from dataloom.plans.shared import stored
 
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    members: DataFrame, sketches: DataFrame, near: Callable[[Column, Column], Column],
+    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+) -> DataFrame:
     """``node, root`` of every node linked to another.
 
-    ``members(bucket, node)`` is read more than once and should be a stored table; rows
-    may repeat. ``verified`` gets ``a, b`` pairs, each once, and returns those linked.
+    ``members(bucket, node)`` and ``sketches(node, sketch)`` are read more than once and
+    should be stored tables; rows may repeat. ``near`` tells from two sketches whether a
+    link is possible; it must not deny any, and only pairs that pass become rows.
+    ``verifier`` gets the nodes that share a bucket with others and returns a function
+    that takes ``a, b`` pairs, each once, and gives those linked.
     """
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     shared = stored(members.join(hubs.drop("top"), "bucket").select("bucket", "node", "hub").distinct(), "buckets")
+    nodes = stored(shared.select("node").distinct(), "nodes")
+    verified = verifier(nodes)
+    known = stored(sketches.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    of_a, of_b = (known.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in "ab")
     pairs = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sure = stored(verified(pairs), "links")
+    possible = pairs.join(of_b, "b").join(of_a, (pairs["a"] == of_a["a"]) & near(of_a["a_sketch"], F.col("b_sketch")))
+    sure = stored(verified(possible.select(pairs["a"], pairs["b"])), "links")
     roots = components(sure)
     of_node = roots.select("node", F.col("root").alias("node_root"))
     of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     tagged = stored(
-        shared.where("node <> hub").join(of_node, "node", "left").join(of_hub, "hub", "left").select(
-            "bucket", "node", F.coalesce("node_root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")
+        shared.where("node <> hub").join(of_node, "node", "left").join(of_hub, "hub", "left").join(known, "node").select(
+            "bucket", "node", "sketch", F.coalesce("node_root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")
         ), "tagged",
     )
-    stray = tagged.where("root <> hub_root").select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    rest = stray.join(tagged, "bucket").where(
-        (F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("hub_root")) | (F.col("a") < F.col("node")))
+    stray = tagged.where("root <> hub_root").select(
+        F.col("bucket").alias("of"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("sketch").alias("a_sketch")
+    )
+    rest = stray.join(
+        tagged, (F.col("of") == F.col("bucket")) & (F.col("a_root") != F.col("root"))
+        & ((F.col("root") == F.col("hub_root")) | (F.col("a") < F.col("node"))) & near(F.col("a_sketch"), F.col("sketch")),
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     late = stored(verified(rest), "links")
     return components(sure.unionAll(late)) if not late.isEmpty() else roots

@@ -2,8 +2,9 @@
 
 Lines are compared without case (A-Z) and with white space made single. A line's MinHash
 values are cut into bands; lines that agree in a band share a bucket. Members of a bucket
-are compared by the exact Jaccard similarity of their shingle sets, links are joined by a
-distributed union-find, and of every component the first line stays.
+whose parity maps allow it are compared by the exact Jaccard similarity of their shingle
+sets, links are joined by a distributed union-find, and of every component the first line
+stays.
 
 With 12 bands of 3 values two lines of similarity 0.8 share a bucket with probability
 1 - (1 - 0.8 ** 3) ** 12 = 0.9998; shingles of 9 characters keep unrelated lines apart.
@@ -12,11 +13,12 @@ With 12 bands of 3 values two lines of similarity 0.8 share a bucket with probab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.llm.buckets import linked
 from dataloom.llm.common import by_place, picked, place, text_or_empty
@@ -32,18 +34,22 @@ _FILTER_BITS = 26
 _MEMORY = 200_000
 # Characters signed at once.
 _AT_ONCE = 1 << 18
-_ODD = np.random.default_rng(20240229).integers(1 << 32, 1 << 63, BANDS * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP, _ODD = np.random.default_rng(20240229).integers(0, 1 << 32, (2, BANDS * VALUES), dtype=np.uint32) | np.array([[0], [1]], np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def plain_lines(text: str) -> list[bytes]:
+    """The lines of a text in the form in which they are compared."""
+    return [b" ".join(line.split()) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
 def plain_line(line: str) -> str:
-    """The form in which lines are compared."""
-    return b" ".join(line.encode("utf-8", "surrogatepass").lower().split()).decode("utf-8", "surrogatepass")
+    return plain_lines(line)[0].decode("utf-8", "surrogatepass")
 
 
-def line_key(line: str) -> int:
+def line_key(line: bytes) -> int:
     """64-bit identity of a compared line, as a signed long."""
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+    return xxhash.xxh64_intdigest(line, 42) - (1 << 63)
 
 
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
@@ -61,31 +67,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """Buckets of every line: (lines, BANDS) signed longs."""
-    codes = [np.frombuffer(l.encode("utf-32-le", "surrogatepass"), np.uint32) for l in lines]
+def signed(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line: its buckets (lines, BANDS); the number of its shingles; and their
+    parity map (lines, 8), in which each shingle turns over one of 512 bits. Two maps
+    differ in at most as many bits as the sets differ in shingles."""
+    codes = [np.frombuffer(l.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32) for l in lines]
     # A line shorter than a shingle is filled up, with a character that texts do not hold.
     codes = [c if len(c) >= size else np.pad(c, (0, size - len(c)), constant_values=0x110000) for c in codes]
     lengths = np.array([len(c) for c in codes])
-    ends = np.cumsum(lengths)
     text = np.concatenate(codes).astype(np.uint64)
     hashes = np.zeros(len(text) - size + 1, np.uint64)
     for j in range(size):
         hashes *= _STEP
         hashes += text[j:len(text) - size + 1 + j]
     hashes = _mixed(hashes)
-    # The last windows of a line reach into the next one: they repeat its own last window.
-    starts, counts = ends - lengths, lengths - size + 1
-    own = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes, firsts = hashes[own], np.cumsum(counts) - counts
-    out = np.empty((len(lines), BANDS), np.uint64)
+    # The last windows of a line reach into the next one and are left out. Sorted, a
+    # line's repeated shingles stand together.
+    begins, windows = np.cumsum(lengths) - lengths, lengths - size + 1
+    for begin, end in zip(begins.tolist(), (begins + windows).tolist()):
+        hashes[begin:end].sort()
+    before = np.cumsum(windows) - windows
+    hashes = hashes[np.repeat(begins - before, windows) + np.arange(windows.sum())]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[before] = True
+    counts = np.add.reduceat(new, before, dtype=np.int64)
+    firsts = np.cumsum(counts) - counts
+    all_of = hashes[new]
+    bits = np.repeat(np.arange(len(lines)) * 512, counts) + (all_of >> np.uint64(55)).astype(np.int64)
+    parity = np.packbits(np.bincount(bits, minlength=len(lines) * 512).astype(np.uint8) & 1).reshape(-1, 64)
+    low = all_of.astype(np.uint32)
+    turned, out = np.empty_like(low), np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64) * _STEP
         for i in range(band * VALUES, (band + 1) * VALUES):
-            low = np.minimum.reduceat(((hashes * _ODD[i]) >> np.uint64(32)).astype(np.uint32), firsts)
-            key = _mixed((key ^ low) * _STEP)
+            np.multiply(low ^ _FLIP[i], _ODD[i], out=turned)
+            key = _mixed((key ^ np.minimum.reduceat(turned, firsts)) * _STEP)
         out[:, band] = key
-    return out.view(np.int64)
+    return out.view(np.int64), counts, parity.view(np.int64)
+
+
+def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+    """Buckets of every line: (lines, BANDS) signed longs."""
+    return signed([line.encode("utf-8", "surrogatepass") for line in lines], size)[0]
+
+
+def may_be_near(left: Column, right: Column, least: float) -> Column:
+    """Whether two sketches allow the similarity: sets of a and b shingles that are so
+    near differ in at most (a + b) * (1 - least) / (1 + least) of them."""
+    differing = reduce(Column.__add__, [
+        F.bit_count(F.get(left["parity"], F.lit(i)).bitwiseXOR(F.get(right["parity"], F.lit(i)))) for i in range(8)
+    ])
+    allowed = (left["n"] + right["n"]) * ((1 - least) / (1 + least)) + 1e-9
+    return (F.abs(left["n"] - right["n"]) <= allowed) & (differing <= allowed)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,9 +128,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame, size: int) -> DataFrame:
-    """``id, mark, line, node, buckets``: every line that is not blank; the buckets only
-    where a task meets a line for the first time."""
+    """``id, mark, line, node, buckets, n, parity``: every line that is not blank; its
+    signature only where a task meets the line for the first time."""
     kind = rows.schema["id"].dataType.simpleString()
+    longs = pa.list_(pa.int64())
+
+    def lists(table: np.ndarray, first: list[bool]) -> pa.Array:
+        """Rows of the table where ``first``, else NULL."""
+        width = np.where(first, table.shape[1], 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()), mask=pa.array(~np.array(first, bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,18 +147,19 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             def flush():
                 if not at:
                     return None
-                signed = signatures(fresh, size) if fresh else np.empty((0, BANDS), np.int64)
-                places = iter(range(len(fresh)))
-                buckets = [signed[next(places)] if f else None for f in first]
+                empty = np.empty((0, BANDS), np.int64), np.empty(0, np.int64), np.empty((0, 8), np.int64)
+                buckets, counts, parity = signed(fresh, size) if fresh else empty
+                n = np.zeros(len(first), np.int32)
+                n[np.array(first, bool)] = counts
                 take = pa.array(at, pa.int64())
                 return pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()),
-                    pa.array(nodes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())),
-                ], ["id", "mark", "line", "node", "buckets"])
+                    pa.array(nodes, pa.int64()), lists(buckets, first).cast(longs), pa.array(n), lists(parity, first).cast(longs),
+                ], ["id", "mark", "line", "node", "buckets", "n", "parity"])
 
             for i, text in enumerate(batch.column(2)):
-                for number, line in enumerate(text.as_py().split("\n")):
-                    if not (line := plain_line(line)):
+                for number, line in enumerate(plain_lines(text.as_py())):
+                    if not line:
                         continue
                     key = line_key(line)
                     if new := key not in seen:
@@ -133,7 +175,9 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             if (rest := flush()) is not None:
                 yield rest
 
-    return rows.mapInArrow(run, f"id {kind}, mark long, line int, node long, buckets array<long>")
+    return rows.mapInArrow(
+        run, f"id {kind}, mark long, line int, node long, buckets array<long>, n int, parity array<long>"
+    )
 
 
 def _bit(node: np.ndarray) -> np.ndarray:
@@ -164,8 +208,8 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             nodes, texts = [], []
             for text in batch.column(0):
-                for line in text.as_py().split("\n"):
-                    if line := plain_line(line):
+                for line in plain_lines(text.as_py()):
+                    if line:
                         key = line_key(line)
                         if key not in seen:
                             if len(seen) >= _MEMORY:
@@ -195,16 +239,16 @@ def _verifier(rows: DataFrame, size: int, least: float):
                 keep.append(similarity(own, shingles(right.as_py(), size)) >= least)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    def verifier(nodes: DataFrame):
         texts = stored(_texts(rows, nodes), "texts")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a"
-        )
-        return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+        of_a, of_b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "left"), ("b", "right")))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+
+        return verified
 
-    return verified
+    return verifier
 
 
 def kept_lines(
@@ -219,8 +263,10 @@ def kept_lines(
     """
     rows = _rows(docs, id_col, text_col)
     lines = stored(_signed(rows, size), "lines")
-    members = lines.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "node")
-    roots = linked(members, _verifier(rows, size, least))
+    firsts = lines.where("buckets IS NOT NULL")
+    members = firsts.select(F.explode("buckets").alias("bucket"), "node")
+    sketches = firsts.select("node", F.struct("n", "parity").alias("sketch"))
+    roots = linked(members, sketches, partial(may_be_near, least=least), _verifier(rows, size, least))
     rooted = lines.select("id", "mark", "line", "node").join(roots, "node", "left")
     stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")).alias("first")

@@ -132,15 +132,20 @@ def near_duplicates(
         F.explode(F.array(part, part + 1)).alias("part"), F.col("s.sign").alias("sign"), "node"
     ).select(F.xxhash64("part", "sign").alias("bucket"), "node"), "spots")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("signs").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("signs").alias("right"))
-        both = pairs.join(left, "a").join(right, "b")
-        short, long = F.least(F.size("left"), F.size("right")), F.greatest(F.size("left"), F.size("right"))
-        # Lengths prune before the sets are compared.
-        return both.where(short >= long * least - 1e-9).where(likeness(F.col("left"), F.col("right")) >= least).select("a", "b")
-
-    roots = linked(members, verified)
+    def near(left: Column, right: Column) -> Column:
+        """Lengths prune before the sets are compared."""
+        return F.least(left, right) >= F.greatest(left, right) * least - 1e-9
+
+    def verifier(nodes: DataFrame):
+        own = stored(sets.select("node", "signs").join(nodes, "node", "left_semi"), "sets")
+        left, right = (own.select(F.col("node").alias(n), F.col("signs").alias(s)) for n, s in (("a", "left"), ("b", "right")))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            return pairs.join(left, "a").join(right, "b").where(likeness(F.col("left"), F.col("right")) >= least).select("a", "b")
+
+        return verified
+
+    roots = linked(members, sets.select("node", F.size("signs").alias("sketch")), near, verifier)
     named = sets.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     tagged = keyed.select("id", "key").join(named, "key")
     classes = tagged.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))

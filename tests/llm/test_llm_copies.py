@@ -195,3 +195,22 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(no_docs(spark)).count() == 0
     assert simhash.drop_near_duplicates(no_docs(spark)).count() == 0
     assert fuzzy_lines.kept_lines(no_docs(spark)).count() == 0
+
+
+def test_parity_maps_never_deny_a_link(spark):
+    own = np.random.default_rng(13)
+    letters = np.array(list("abcdefghij "))
+    lines = []
+    for k in range(60):
+        line = own.choice(letters, int(own.integers(20, 400)))
+        other = line.copy()
+        other[own.integers(0, len(line), int(own.integers(0, 6)))] = "#"
+        lines += ["".join(line), "".join(other)]
+    _, n, parity = fuzzy_lines.signed([x.encode() for x in lines])
+    assert n.tolist() == [len(fuzzy_lines.shingles(x)) for x in lines]
+    sketches = [(int(a), p.tolist()) for a, p in zip(n, parity)]
+    frame = spark.createDataFrame([(k, *(sketches[k + i] for i in (0, 1))) for k in range(0, 120, 2)], "k int, a struct<n:int,parity:array<long>>, b struct<n:int,parity:array<long>>")
+    may = {r.k: r.may for r in frame.select("k", fuzzy_lines.may_be_near(frame["a"], frame["b"], 0.8).alias("may")).collect()}
+    near = {k: fuzzy_lines.similarity(fuzzy_lines.shingles(lines[k]), fuzzy_lines.shingles(lines[k + 1])) >= 0.8 for k in may}
+    assert 10 < sum(near.values()) < 50 and all(may[k] for k in may if near[k])
+    assert not all(may.values())
