@@ -31,6 +31,16 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def hash_share(key: Column, wanted: int, of: int) -> Column:
+    """Whether a key is in a sample of about ``wanted`` of ``of`` keys, by its hash alone.
+
+    The rows are chosen where they are; an ordered limit would bring ``wanted`` rows of
+    every partition to one place.
+    """
+    steps = 1 << 40
+    return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(steps)) < F.lit(min(steps, steps * wanted // max(1, of)))
+
+
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """NULL-safe equality of column pairs."""
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from dataloom.llm.common import by_place, picked, place, text_or_empty
+from dataloom.llm.common import by_place, hash_share, picked, place, text_or_empty
 
 # Rows of the labelled sample and of the pool; rounds; share of the pool taken a round.
 LABELLED = 8_000
@@ -170,17 +170,18 @@ def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     metadata: tuple[str, ...] = ("source", "lang"), labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS,
 ) -> Model:
-    """Co-train on at most ``labelled`` labelled documents and ``pool`` others, the first
+    """Co-train on about ``labelled`` labelled documents and ``pool`` others at most, chosen
     by a hash of the id. Several labels of one id count as good if their mean is above one
     half; NULL ids and labels are left out."""
     rows = _inputs(docs, id_col, text_col, list(metadata))
     marks = picked(labels, id=id_col, label=label_col).dropna().groupBy("id").agg(
         (F.avg("label") > 0.5).cast("double").alias("label")
     )
-    order = [F.xxhash64("id"), "id"]
-    ids = rows.select("id").dropna().distinct()
-    some = ids.join(marks, "id").orderBy(*order).limit(labelled)
-    rest = ids.join(marks, "id", "left_anti").withColumn("label", F.lit(None).cast("double")).orderBy(*order).limit(pool)
+    n_marked, n_all = labels.count(), docs.count()
+    some = marks.where(hash_share(F.col("id"), labelled, n_marked))
+    in_pool = hash_share(F.col("id"), pool, max(pool, n_all - n_marked))
+    ids = rows.select("id").where(F.col("id").isNotNull() & in_pool).distinct()
+    rest = ids.join(marks.where(in_pool), "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
     schema = T.StructType([
         T.StructField("at", T.LongType()), T.StructField("label", T.DoubleType()),
         T.StructField("content", T.ArrayType(T.FloatType())), T.StructField("metadata", T.ArrayType(T.FloatType())),

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dataloom.llm.common import picked, rows_of, text_or_empty
+from dataloom.llm.common import hash_share, picked, rows_of, text_or_empty
 from dataloom.llm.components import components
 from dataloom.plans.shared import stored
 
@@ -179,16 +179,17 @@ def links(
     """``a, b``: links that connect all distinct ``print`` values at most ``reach`` bits apart.
 
     The tree has about one leaf for each ``shard_points`` values and at most
-    ``2 ** max_depth``; it is grown from ``sample_points`` values at most (the smallest by
-    hash). Both bound what reaches the driver and a broadcast, and decide only how the
+    ``2 ** max_depth``; it is grown from about ``sample_points`` values at most, chosen by
+    hash. Both bound what reaches the driver and a broadcast, and decide only how the
     work is cut: every value is stored and searched whatever the tree.
     """
     n = prints.count()
     depth = max(0, min(max_depth, int(np.ceil(np.log2(max(1, n) / shard_points)))))
     tree: Node | int = 0
     if depth:
-        sample = prints.orderBy(F.xxhash64("print"), "print").limit(min(sample_points, 64 << depth)).toPandas()
-        tree, _ = grow(sample["print"].to_numpy(np.int64).view(np.uint64), depth)
+        chosen = prints.select("print").where(hash_share(F.col("print"), min(sample_points, 64 << depth), n)).toPandas()
+        sample = np.random.default_rng(0).permutation(np.sort(chosen["print"].to_numpy(np.int64)))
+        tree, _ = grow(sample.view(np.uint64), depth)
     shared = prints.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
