@@ -18,7 +18,7 @@ from dataloom.operators.profile import _bytes
 from dataloom.plans.long_form import spread
 from dataloom.plans.one_row import as_struct
 from dataloom.plans.positions import with_position
-from dataloom.plans.shared import checkpoint
+from dataloom.plans.shared import checkpoint, drop_folder
 
 MANIFEST = (
     "dataset_id long, version_id string, parent_version_id string, description string, "
@@ -27,8 +27,9 @@ MANIFEST = (
 # One more column pair in the stored table: what happened, and in which order.
 STORED = MANIFEST + ", event string, seq long"
 
-# Shape of a version id.
+# Shape of a version id; what a restored version says of itself.
 ID_TIME, HASH_DIGITS, SHORT_ID = "%Y%m%d%H%M%S", 8, 8
+RESTORED = "Restored from version"
 
 
 # Sums of 22-bit pieces stay exact in a long for more than 10^12 rows.
@@ -344,8 +345,18 @@ class VersionStore:
         df.write.mode("errorifexists").parquet(path)
         snapshot = self.spark.read.parquet(path)
         mark = fingerprint(snapshot, F.coalesce(F.sum(_bytes(snapshot)), F.lit(0)).alias("size")).first()
-        size = mark["size"]
-        version_id = f"{now.strftime(ID_TIME)}_{mark['content_hash']}"
+        details = dict(metadata or {})
+        details |= {
+            "rows": mark["rows"], "columns": len(df.columns), "column_names": df.columns,
+            "content_hash": mark["content_hash"],
+            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema}, "bytes": mark["size"],
+        }
+        return self._record(dataset_id, path, details, description, parent, now)
+
+    def _record(
+        self, dataset_id: int, path: str, details: dict, description: str, parent: str | None, now: dt.datetime
+    ) -> str:
+        version_id = f"{now.strftime(ID_TIME)}_{details['content_hash']}"
         # Equal content twice in a second: the later one has a number behind its id.
         given = self._stored().filter((F.col("dataset_id") == dataset_id) & F.col("version_id").startswith(version_id))
         again = given.select("version_id").distinct().count()
@@ -354,12 +365,6 @@ class VersionStore:
         if parent is None:
             before = self.latest(dataset_id)
             parent = before["version_id"] if before else None
-        details = dict(metadata or {})
-        details |= {
-            "rows": mark["rows"], "columns": len(df.columns), "column_names": df.columns,
-            "content_hash": mark["content_hash"],
-            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema}, "bytes": size,
-        }
         self._append([(
             dataset_id, version_id, parent, description, now, json.dumps(details), path,
             "created", self._next_seq(),
@@ -373,12 +378,13 @@ class VersionStore:
         self, dataset_id: int, version_id: str, description: str | None = None,
         now: dt.datetime | None = None,
     ) -> str:
-        """The data of an old version as a new one, whose parent is the old one."""
+        """The data of an old version as a new one, whose parent is the old one. Snapshots
+        do not change, so both versions share the folder; nothing is copied."""
         old = self._one(dataset_id, version_id)
         details = json.loads(old["metadata"]) | {"restored_from": version_id}
-        return self.create(
-            dataset_id, self.spark.read.parquet(old["file_path"]),
-            description or f"Restored from version {version_id}", details, version_id, now,
+        return self._record(
+            dataset_id, old["file_path"], details, description or f"{RESTORED} {version_id}", version_id,
+            now or dt.datetime.now(),
         )
 
     def delete(self, dataset_id: int, version_id: str, drop_data: bool = True) -> bool:
@@ -398,8 +404,9 @@ class VersionStore:
         # Read before it is appended to: the plan must not read the rows it adds.
         events = checkpoint(moved.unionByName(gone))
         events.coalesce(1).write.mode("append").parquet(self._events)
-        if drop_data:
-            _drop_folder(self.spark, old["file_path"])
+        # A folder that a restored version shares stays.
+        if drop_data and self.manifest().filter(F.col("file_path") == old["file_path"]).isEmpty():
+            drop_folder(self.spark, old["file_path"])
         return True
 
     def compare(self, dataset_id: int, first: str, second: str) -> dict[str, DataFrame]:
@@ -411,8 +418,3 @@ class VersionStore:
         if last is None:
             return None
         return pending_changes(self.spark.read.parquet(last["file_path"]), df)
-
-
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -29,7 +29,7 @@ from dataloom.plans.shared import checkpoint
 ACCURACY = 10_000
 WIDTHS = 256
 LARGE_GROUP = 100_000
-BROADCAST_GROUPS = 100_000
+BROADCAST_GROUPS, BROADCAST_BYTES = 100_000, 64 << 20
 HEAVY_GROUPS = 10_000
 
 
@@ -39,18 +39,22 @@ def attach(
     """Join rows with a table of one row per group; ``size`` is its column of group sizes.
 
     ``bounded`` says the number of groups is fixed by the schema: the table is broadcast.
-    Otherwise it is checkpointed and counted, and broadcast if small. If not, the groups
+    Otherwise it is checkpointed and counted, and broadcast if rows and keys are few. If not, the groups
     that hold more than one row in HEAVY_GROUPS - there can be no more than that many -
     are broadcast, and only the other rows are shuffled, none of whose groups is large.
     """
     if bounded:
         return rows.join(F.broadcast(table), keys)
     table = checkpoint(table)
-    if table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+    length = reduce(Column.__add__, [F.coalesce(F.octet_length(quoted(k).cast("string")), F.lit(0)) for k in keys])
+    of = table.agg(F.count("*"), F.sum(length), F.sum(size), F.max(length)).first()
+    if of[0] <= BROADCAST_GROUPS and (of[1] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), keys)
-    total = table.agg(F.sum(size)).first()[0]
-    heavy = table.filter(F.col(size) * HEAVY_GROUPS > total)
-    others = table.filter(F.col(size) * HEAVY_GROUPS <= total)
+    if of[3] * HEAVY_GROUPS > BROADCAST_BYTES:
+        # Keys too long to be sent even for the heavy groups: AQE splits those.
+        return rows.join(table, keys)
+    heavy = table.filter(F.col(size) * HEAVY_GROUPS > of[2])
+    others = table.filter(F.col(size) * HEAVY_GROUPS <= of[2])
     names = F.broadcast(heavy.select(*[quoted(k) for k in keys]))
     shuffled = rows.join(names, keys, "left_anti").join(others, keys)
     return rows.join(F.broadcast(heavy), keys).unionByName(shuffled)
