@@ -18,23 +18,33 @@ from dataloom.llm.components import components
 from dataloom.plans.shared import stored
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """``bucket, node, hub`` of the buckets with more than one node.
+
+    Most buckets have one member. A count over short hashes of the buckets, a few bytes a
+    row, leaves those out before nodes are looked at.
+    """
+    hashed = members.withColumn("short", F.hash("bucket"))
+    often = hashed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
+    some = hashed.join(often, "short", "left_semi").select("bucket", "node")
+    hubs = some.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    return some.join(hubs.drop("top"), "bucket").select("bucket", "node", "hub").distinct()
+
+
 def linked(
-    members: DataFrame, sketches: DataFrame, near: Callable[[Column, Column], Column],
-    verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    members: DataFrame, near: Callable[[Column, Column], Column],
+    prepared: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
 ) -> DataFrame:
     """``node, root`` of every node linked to another.
 
-    ``members(bucket, node)`` and ``sketches(node, sketch)`` are read more than once and
-    should be stored tables; rows may repeat. ``near`` tells from two sketches whether a
-    link is possible; it must not deny any, and only pairs that pass become rows.
-    ``verifier`` gets the nodes that share a bucket with others and returns a function
-    that takes ``a, b`` pairs, each once, and gives those linked.
+    ``members(bucket, node)`` is read more than once and should be a stored table; rows
+    may repeat. ``prepared`` gets the nodes that share a bucket with others, each once. It
+    returns their stored ``node, sketch`` and a function that takes ``a, b`` pairs, each
+    once, and gives those linked. ``near`` tells from two sketches whether a link is
+    possible; it must not deny any, and only pairs that pass become rows.
     """
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    shared = stored(members.join(hubs.drop("top"), "bucket").select("bucket", "node", "hub").distinct(), "buckets")
-    nodes = stored(shared.select("node").distinct(), "nodes")
-    verified = verifier(nodes)
-    known = stored(sketches.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    shared = stored(_shared(members), "buckets")
+    known, verified = prepared(stored(shared.select("node").distinct(), "nodes"))
     of_a, of_b = (known.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in "ab")
     pairs = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     possible = pairs.join(of_b, "b").join(of_a, (pairs["a"] == of_a["a"]) & near(of_a["a_sketch"], F.col("b_sketch")))
@@ -55,4 +65,7 @@ def linked(
         & ((F.col("root") == F.col("hub_root")) | (F.col("a") < F.col("node"))) & near(F.col("a_sketch"), F.col("sketch")),
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     late = stored(verified(rest), "links")
-    return components(sure.unionAll(late)) if not late.isEmpty() else roots
+    if late.isEmpty():
+        return roots
+    # What the first links have joined is a star by now.
+    return components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))

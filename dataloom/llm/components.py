@@ -17,7 +17,7 @@ def _hung(links: DataFrame) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("low"))
     return (
         both.join(least, "a").where("b > a")
-        .select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
+        .select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
     )
 
 
@@ -28,6 +28,15 @@ def _tied(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("low").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root on another node."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(
+        links.select(F.col("b").alias("node"), F.lit(0), F.lit(1))
+    )
+    found = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return found.where("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``links(a, b)``; the root is the smallest node.
 
@@ -39,12 +48,8 @@ def components(links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "links",
     )
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        mark = now
+    while not _settled(edges):
         edges = stored(_tied(_hung(edges)), "links")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )

@@ -127,18 +127,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked(docs, id=id_col, text=text_col).select("id", F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _signed(rows: DataFrame, size: int) -> DataFrame:
-    """``id, mark, line, node, buckets, n, parity``: every line that is not blank; its
-    signature only where a task meets the line for the first time."""
-    kind = rows.schema["id"].dataType.simpleString()
-    longs = pa.list_(pa.int64())
+def _lists(table: np.ndarray, there: np.ndarray) -> pa.Array:
+    """The rows of the table, one where ``there``, NULL elsewhere."""
+    offsets = np.concatenate([[0], np.cumsum(np.where(there, table.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()), mask=pa.array(~there))
 
-    def lists(table: np.ndarray, first: list[bool]) -> pa.Array:
-        """Rows of the table where ``first``, else NULL."""
-        width = np.where(first, table.shape[1], 0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()), mask=pa.array(~np.array(first, bool)))
 
+def _signed(rows: DataFrame, size: int) -> DataFrame:
+    """``id, mark, line, node, buckets``: every line that is not blank; its buckets only
+    where a task meets the line for the first time."""
+    kind = rows.schema["id"].dataType.simpleString()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -147,15 +145,12 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             def flush():
                 if not at:
                     return None
-                empty = np.empty((0, BANDS), np.int64), np.empty(0, np.int64), np.empty((0, 8), np.int64)
-                buckets, counts, parity = signed(fresh, size) if fresh else empty
-                n = np.zeros(len(first), np.int32)
-                n[np.array(first, bool)] = counts
+                buckets = signed(fresh, size)[0] if fresh else np.empty((0, BANDS), np.int64)
                 take = pa.array(at, pa.int64())
                 return pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()),
-                    pa.array(nodes, pa.int64()), lists(buckets, first).cast(longs), pa.array(n), lists(parity, first).cast(longs),
-                ], ["id", "mark", "line", "node", "buckets", "n", "parity"])
+                    pa.array(nodes, pa.int64()), _lists(buckets, np.array(first, bool)),
+                ], ["id", "mark", "line", "node", "buckets"])
 
             for i, text in enumerate(batch.column(2)):
                 for number, line in enumerate(plain_lines(text.as_py())):
@@ -175,9 +170,7 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             if (rest := flush()) is not None:
                 yield rest
 
-    return rows.mapInArrow(
-        run, f"id {kind}, mark long, line int, node long, buckets array<long>, n int, parity array<long>"
-    )
+    return rows.mapInArrow(run, f"id {kind}, mark long, line int, node long, buckets array<long>")
 
 
 def _bit(node: np.ndarray) -> np.ndarray:
@@ -228,7 +221,22 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _verifier(rows: DataFrame, size: int, least: float):
+def _sketched(texts: DataFrame, size: int) -> DataFrame:
+    """``node, text, n, parity`` of every text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                _, n, parity = signed([t.as_py().encode("utf-8", "surrogatepass") for t in part.column(1)], size)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n, pa.int32()), _lists(parity, np.ones(len(part), bool))],
+                    ["node", "text", "n", "parity"],
+                )
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text string, n int, parity array<long>")
+
+
+def _preparer(rows: DataFrame, size: int, least: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, set()
         for batch in batches:
@@ -239,16 +247,16 @@ def _verifier(rows: DataFrame, size: int, least: float):
                 keep.append(similarity(own, shingles(right.as_py(), size)) >= least)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def verifier(nodes: DataFrame):
-        texts = stored(_texts(rows, nodes), "texts")
+    def prepared(nodes: DataFrame):
+        texts = stored(_sketched(_texts(rows, nodes), size), "texts")
         of_a, of_b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "left"), ("b", "right")))
 
         def verified(pairs: DataFrame) -> DataFrame:
             return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
-        return verified
+        return texts.select("node", F.struct("n", "parity").alias("sketch")), verified
 
-    return verifier
+    return prepared
 
 
 def kept_lines(
@@ -263,10 +271,8 @@ def kept_lines(
     """
     rows = _rows(docs, id_col, text_col)
     lines = stored(_signed(rows, size), "lines")
-    firsts = lines.where("buckets IS NOT NULL")
-    members = firsts.select(F.explode("buckets").alias("bucket"), "node")
-    sketches = firsts.select("node", F.struct("n", "parity").alias("sketch"))
-    roots = linked(members, sketches, partial(may_be_near, least=least), _verifier(rows, size, least))
+    members = lines.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "node")
+    roots = linked(members, partial(may_be_near, least=least), _preparer(rows, size, least))
     rooted = lines.select("id", "mark", "line", "node").join(roots, "node", "left")
     stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")).alias("first")

@@ -136,16 +136,16 @@ def near_duplicates(
         """Lengths prune before the sets are compared."""
         return F.least(left, right) >= F.greatest(left, right) * least - 1e-9
 
-    def verifier(nodes: DataFrame):
+    def prepared(nodes: DataFrame):
         own = stored(sets.select("node", "signs").join(nodes, "node", "left_semi"), "sets")
         left, right = (own.select(F.col("node").alias(n), F.col("signs").alias(s)) for n, s in (("a", "left"), ("b", "right")))
 
         def verified(pairs: DataFrame) -> DataFrame:
             return pairs.join(left, "a").join(right, "b").where(likeness(F.col("left"), F.col("right")) >= least).select("a", "b")
 
-        return verified
+        return own.select("node", F.size("signs").alias("sketch")), verified
 
-    roots = linked(members, sets.select("node", F.size("signs").alias("sketch")), near, verifier)
+    roots = linked(members, near, prepared)
     named = sets.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     tagged = keyed.select("id", "key").join(named, "key")
     classes = tagged.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
