@@ -17,4 +17,6 @@ def test_sql(spark, folder, name):
 def test_rows(spark, folder, name):
     docs = spark.read.parquet(f"{folder}/documents.parquet").count()
     rows = QUERIES[name](spark, folder)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert rows.count() == docs if name != "op7_tool_calls" else rows.count() > 0
