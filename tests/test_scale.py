@@ -7,14 +7,14 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
-from dataloom.operators import charts, pairs, validate
-from dataloom.operators.catalog import latest_state
+from dataloom.operators import charts, pairs, profile, validate
 from dataloom.operators.profile import duplicate_count, top_values
 from dataloom.operators.runs import log_tail
 from dataloom.plans import quantiles
 from dataloom.plans.positions import with_position
 from dataloom.plans.quantiles import group_quantiles
+from dataloom.plans.states import latest_state
+from dataloom.queries import all_queries
 
 PROBS = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "p99": 0.99, "high": 1.0}
 
@@ -129,7 +129,19 @@ def test_correlation_shuffles_sums_only(spark, folder):
     assert "l_shipdate" not in text
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_plan_multiplies_rows(spark, folder, name):
-    text = plan(entry_module.queries()[name](spark, folder))
+    text = plan(all_queries()[name](spark, folder))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+
+
+def scans(df):
+    """How often the optimised plan reads a table."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_each_table_is_read_few_times(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert scans(validate.quality_metrics(orders)) == 1
+    assert scans(profile.dataset_info(orders)) == 1
+    assert scans(charts.date_like_columns(orders.drop("o_orderdate"), ["o_orderkey"])) == 1
