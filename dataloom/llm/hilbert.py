@@ -42,19 +42,30 @@ def _turned(axes: Column, step: Column) -> Column:
     )
 
 
-def curve_index(axes: Column, dimensions: int, depth: int) -> Column:
-    """Place on the Hilbert curve of ``dimensions`` coordinates of ``depth`` bits each."""
-    turned = F.aggregate(_steps(dimensions, depth), axes, _turned) if depth > 1 else axes
+def with_curve(df: DataFrame, axes: str, name: str, dimensions: int, depth: int) -> DataFrame:
+    """Adds the place on the Hilbert curve of ``dimensions`` coordinates of ``depth`` bits,
+    given as the array column ``axes``. Each step is a column that the next one reads."""
+    turned = F.aggregate(_steps(dimensions, depth), F.col(axes), _turned) if depth > 1 else F.col(axes)
+    df = df.withColumn(f"{name}_turned", turned)
     # Gray code along the axes, then the correction that the last axis carries.
-    gray = F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0), lambda a, x: a.bitwiseXOR(x)))
-    bits = F.array(*[F.lit(1 << b) for b in range(depth - 1, 0, -1)]) if depth > 1 else None
-    out = gray
-    if bits is not None:
-        flip = F.aggregate(bits, F.lit(0), lambda a, b: F.when(F.element_at(gray, -1).bitwiseAND(b) != 0, a.bitwiseXOR(b - 1)).otherwise(a))
-        out = F.transform(gray, lambda x: x.bitwiseXOR(flip))
-    order = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(i + 1).alias("axis")) for b in range(depth - 1, -1, -1) for i in range(dimensions)])
-    shifted = lambda x, s: F.call_function("shiftright", x, s["bit"]).bitwiseAND(1)
-    return F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + shifted(F.element_at(out, s["axis"]), s).cast("long"))
+    gray, last = [], None
+    for i in range(dimensions):
+        own = F.get(f"{name}_turned", F.lit(i))
+        last = own if last is None else last.bitwiseXOR(own)
+        gray.append(last)
+    df = df.withColumn(f"{name}_gray", F.array(*gray))
+    flip = F.lit(0)
+    for b in range(depth - 1, 0, -1):
+        bit = F.element_at(f"{name}_gray", -1).bitwiseAND(F.lit(1 << b))
+        flip = flip.bitwiseXOR(F.when(bit != 0, (1 << b) - 1).otherwise(0))
+    df = df.withColumn(f"{name}_flip", flip)
+    index = F.lit(0).cast("long")
+    for b in range(depth):
+        for i in range(dimensions):
+            own = F.get(f"{name}_gray", F.lit(i)).bitwiseXOR(F.col(f"{name}_flip"))
+            place = b * dimensions + dimensions - 1 - i
+            index = index + F.shiftleft(F.shiftright(own, b).bitwiseAND(F.lit(1)).cast("long"), place)
+    return df.withColumn(name, index).drop(f"{name}_turned", f"{name}_gray", f"{name}_flip")
 
 
 def _coordinates(rows: DataFrame, dimension: str, depth: int) -> DataFrame:
@@ -94,8 +105,8 @@ def shards(
     for name in names:
         cells = _coordinates(rows, name, depth)
         found = found.join(cells, found[name].eqNullSafe(cells["value"])).drop("value")
-    axes = F.array(*[F.col(f"cell_{n}") for n in names])
-    indexed = found.withColumn("curve", curve_index(axes, len(names), depth)).drop(*[f"cell_{n}" for n in names])
+    placed_at = found.withColumn("axes", F.array(*[F.col(f"cell_{n}") for n in names])).drop(*[f"cell_{n}" for n in names])
+    indexed = with_curve(placed_at, "axes", "curve", len(names), depth).drop("axes")
     total = rows.count()
     runs = with_position(indexed, ["curve", "crc", "size", "id"])
     shard = F.expr(f"cast((position * {n_shards}L) div {max(1, total)}L as int)")

@@ -13,7 +13,7 @@ def test_curve_is_a_walk(spark):
     for dimensions, depth in ((2, 4), (3, 3), (4, 2), (1, 3), (3, 1)):
         points = list(itertools.product(range(1 << depth), repeat=dimensions))
         frame = spark.createDataFrame([(list(p),) for p in points], "axes array<int>")
-        rows = frame.select("axes", hilbert.curve_index(F.col("axes"), dimensions, depth).alias("at")).collect()
+        rows = hilbert.with_curve(frame, "axes", "at", dimensions, depth).collect()
         order = [r.axes for r in sorted(rows, key=lambda r: r["at"])]
         assert sorted(r["at"] for r in rows) == list(range(len(points)))
         assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(order, order[1:]))
