@@ -1,9 +1,10 @@
 """SpotSigs: fingerprints from chains of content words behind common words.
 
 Each common word (anchor) of a text that is followed by enough content words within reach
-gives one signature: the anchor and the chain of those words. The set of a text's
-signatures is its fingerprint; the likeness of two texts is the Jaccard similarity of
-their sets. Near-duplicates are found by cutting the sets into partitions by length, so
+gives one signature: the anchor and the chain of those words. Stretches that no anchor
+reaches give the plain chains of their words, so that the set grows with the text wherever
+anchors are few. The set of a text's signatures is its fingerprint; the likeness of two
+texts is the Jaccard similarity of their sets. Near-duplicates are found by cutting the sets into partitions by length, so
 that sets whose lengths alone exclude the similarity never meet, and by looking up only
 as many of a set's rarest signatures as a partner must share.
 """
@@ -37,25 +38,43 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def signatures(words: Column, chain: int = CHAIN, reach: int = REACH) -> Column:
-    """The set of signatures, sorted. A text without any takes every chain of words; one
-    with fewer words than a chain, the sequence of them: no set is empty."""
+def spots_of(words: Column, chain: int = CHAIN, reach: int = REACH) -> Column:
+    """Place and hash of each anchor with a chain, in the order of the text."""
     follows = F.transform(words, lambda w, i: F.when(
         w.isin(ANCHORS),
-        F.struct(w.alias("anchor"), F.slice(F.filter(F.slice(words, i + 2, F.lit(reach)), lambda x: ~x.isin(ANCHORS)), 1, chain).alias("chain")),
+        F.struct(
+            i.alias("at"), w.alias("anchor"),
+            F.slice(F.filter(F.slice(words, i + 2, F.lit(reach)), lambda x: ~x.isin(ANCHORS)), 1, chain).alias("chain"),
+        ),
     ))
-    spots = F.transform(F.filter(follows, lambda s: F.size(s["chain"]) == chain), lambda s: F.hash(s["anchor"], s["chain"]))
-    every = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - chain)), lambda i: F.hash(F.slice(words, i, F.lit(chain + 1)))
+    return F.transform(
+        F.filter(follows, lambda s: F.size(s["chain"]) == chain),
+        lambda s: F.struct(s["at"].alias("at"), F.hash(s["anchor"], s["chain"]).alias("sign")),
     )
-    return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, spots).otherwise(every)))
+
+
+def signatures(words: Column, spots: Column, chain: int = CHAIN, reach: int = REACH) -> Column:
+    """The set of signatures, sorted: those of the spots, and where a word lies out of every
+    spot's reach and begins a plain chain that meets no spot, that chain. So there is one
+    at least for every ``reach + chain + 1`` words of any text, repeats aside. Fewer words
+    than a chain give the sequence of them: no set is empty."""
+    places = F.transform(spots, lambda s: s["at"])
+    plain = F.flatten(F.zip_with(
+        F.concat(F.array(F.lit(-reach - 1)), places), F.concat(places, F.array(F.size(words))),
+        lambda a, b: F.when(b - a > reach + chain + 1, F.sequence(a + reach + 1, b - chain - 1)).otherwise(F.array().cast("array<int>")),
+    ))
+    found = F.concat(
+        F.transform(spots, lambda s: s["sign"]), F.transform(plain, lambda i: F.hash(F.slice(words, i + 1, F.lit(chain + 1))))
+    )
+    return F.array_sort(F.array_distinct(F.when(F.size(words) > chain, found).otherwise(F.array(F.hash(words)))))
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the signature set of a text column. The words stand in a column of their own,
-    so that they are taken once."""
-    words = f"{name}_words"
-    return df.withColumn(words, words_of(F.col(text))).withColumn(name, signatures(F.col(words))).drop(words)
+    """Adds the signature set of a text column. The words and spots stand in columns of
+    their own, so that they are taken once."""
+    words, spots = f"{name}_words", f"{name}_spots"
+    taken = df.withColumn(words, words_of(F.col(text))).withColumn(spots, spots_of(F.col(words)))
+    return taken.withColumn(name, signatures(F.col(words), F.col(spots))).drop(words, spots)
 
 
 def likeness(left: Column, right: Column) -> Column:

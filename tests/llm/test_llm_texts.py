@@ -96,6 +96,24 @@ def test_edited_pairs_edges(spark):
     assert lone.edited == "abcdab"
 
 
+def test_spots_are_dense(spark):
+    own = [f"w{k}" for k in range(900)]
+    texts = [
+        own[:10] + ["the"] + own[10:300], own[:300] + ["the"] + own[300:302], own[:90] + ["the"] * 40 + own[90:180],
+        [x for w in own[:60] for x in (w, *["of"] * 9)], own[:300], ["the", "w1", "w2"], ["w1", "the"],
+    ]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id int, text string")
+    found = {r.id: set(r.signs) for r in spotsigs.with_signatures(docs, "text", "signs").collect()}
+    assert all(len(found[k]) * (spotsigs.REACH + spotsigs.CHAIN + 1) >= len(set(t)) for k, t in enumerate(texts))
+    assert [len(found[k]) for k in (0, 1, 4, 5, 6)] == [1 + 8 + 280, 298 + 1, 298, 1, 1]
+    rest = [["the"] + own[600 + 9 * k:609 + 9 * k] for k in range(11)]
+    pairs = [(2, " ".join(texts[0])), (1, " ".join(x for r in rest for x in r))]
+    got = spotsigs.edited_pairs(spark.createDataFrame(pairs, "doc_id int, text string")).select(
+        "id", spotsigs.likeness(F.col("signs"), F.col("edited_signs")).alias("near")
+    )
+    assert 0.4 < {r.id: r.near for r in got.collect()}[2] < 0.75
+
+
 def test_spot_near_duplicates(spark):
     base = [" ".join(f"the {words(1, 100 * b + j)} of" for j in range(60)) for b in range(3)]
     rows = [(b * 100 + k, " ".join(x for j, x in enumerate(base[b].split(" ")) if j // 3 != 10 * k)) for b in range(3) for k in range(6)]
