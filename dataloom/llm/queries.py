@@ -43,7 +43,8 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM ranke
 
 
 def raked_mix(spark: SparkSession, folder: str) -> DataFrame:
-    rows = mixing.mixture(_table(spark, folder, "documents"))
+    # The SQL of this query fixes unfilled goals and the number of rounds.
+    rows = mixing.mixture(_table(spark, folder, "documents"), rounds=mixing.ROUNDS)
     return rows.withColumnRenamed("id", "doc_id").withColumn("probability", F.round("probability", 6))
 
 

@@ -3,6 +3,7 @@
 import itertools
 import zlib
 
+import pytest
 from edges import edge_docs, edge_rows, no_docs
 from pyspark.sql import functions as F
 
@@ -53,6 +54,26 @@ def test_raking_meets_targets(spark):
             assert abs(sum(r.w for r in rows if r[m] == value) - total * weight / 4) < total * 1e-3
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_raking_passes_on_what_values_cannot_fill(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "_ON_DRIVER", few)
+    cells = spark.createDataFrame(
+        [(s, l, t, n) for s in "abcd" for l in "xy" for t, n in (("prose", 9000), ("marked", 400), ("legal", 20))],
+        "s string, l string, t string, n long",
+    )
+    rows = mixing.raked_cells(cells, ["s", "l", "t"]).collect()
+    total = sum(r.n for r in rows)
+    assert abs(sum(r.w for r in rows) - 0.7 * total) < 1e-3 * total
+    for m in ("s", "l", "t"):
+        for value in {r[m] for r in rows}:
+            own = [r for r in rows if r[m] == value]
+            assert abs(sum(r.w for r in own) / own[0][f"to_{m}"] - 1) <= mixing.TOLERANCE
+    assert all(r.probability <= 1 and r.error <= mixing.TOLERANCE for r in rows)
+    assert {round(r.probability, 3) for r in rows if r.t == "legal"} == {1.0}
+    few = mixing.raked_cells(cells, ["s", "t"], {"t": {"legal": 1, "marked": 1}}, share=0.7).collect()
+    assert abs(sum(r.w for r in few) - 4 * 2 * 420) < 5 and not any(r.w for r in few if r.t == "prose")
+
+
 def test_mixture(spark):
     got = mixing.mixture(edge_docs(spark)).collect()
     rows = edge_rows()
