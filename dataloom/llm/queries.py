@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloom.llm import (
-    block_naming, brown_lm, byte_bpe, fuzzy_lines, hilbert, mixing, quality, simhash, spotsigs, tool_calls,
+    block_naming, brown_lm, byte_bpe, fuzzy_lines, hilbert, mixing, quality, resampling, simhash, spotsigs,
+    token_files, tool_calls, turn_repair,
 )
+from dataloom.plans.shared import scratch_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -148,6 +150,75 @@ def calls_linked(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("faults", F.array_join("faults", "; ")).withColumnRenamed("conversation", "conv_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the faults that the CRC-32 of ``conv_id:turn`` deals; NULLs are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    dealt = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("dealt") == 1, "").when(F.col("dealt") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    return conversations.withColumn("dealt", dealt).where("dealt <> 0").select(
+        "conv_id", "turn", F.when(F.col("dealt") == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("dealt") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def turns_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations")
+    report, turns = turn_repair.repair(damaged(conversations))
+    texts = turn_repair.joined_turns(turns).select(
+        F.col("conversation").alias("told"), F.sha2("joined", 256).alias("sha")
+    )
+    every = conversations.groupBy("conv_id").agg(F.count("*").alias("rows")).select("conv_id")
+    found = every.join(report, every["conv_id"].eqNullSafe(report["conversation"]), "left").join(
+        texts, F.col("conv_id").eqNullSafe(F.col("told")), "left"
+    )
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return resampling.resample(docs, target, percent=10).withColumnRenamed("id", "doc_id")
+
+
+RESAMPLED_SQL = """
+WITH steps AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+    FROM range(256) AS t(i)),
+words_of AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word, 0 AS target FROM documents
+    UNION ALL SELECT NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), 1 FROM benchmark),
+vocabulary AS (SELECT word, hex(word) AS digits FROM (SELECT DISTINCT word FROM words_of)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(digits), 2),
+        lambda i: (instr('0123456789ABCDEF', digits[i]) - 1) * 16 + instr('0123456789ABCDEF', digits[i + 1]) - 1)),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM vocabulary, steps),
+counts AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t
+    FROM words_of JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+        / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, sums),
+weighed AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight
+    FROM words_of JOIN hashed USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE)
+        / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT *, CASE WHEN n_features >= 20
+    THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM ranked
+"""
+
+
+def token_stream(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.write_tokens(
+        _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-files"), end=2,
+    )
+    return token_files.read_documents(files, ids=False)
+
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_simhash_vptree": (simhash_vptree, None),
     "op2_hilbert_shards": (hilbert_shards, None),
@@ -159,6 +230,9 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op8_byte_bpe": (bpe, None),
     "op9_co_training": (co_training, None),
     "op10_spotsigs": (spots, None),
+    "op11_turn_repair": (turns_repaired, None),
+    "op12_resampling": (resampled, RESAMPLED_SQL),
+    "op13_token_files": (token_stream, None),
 }
 
 
