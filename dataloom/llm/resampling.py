@@ -64,7 +64,7 @@ def line_features(words: Column, longest: int, buckets: int) -> Column:
 def cross_features(text: Column, longest: int, buckets: int) -> Column:
     """Buckets of the runs of words that begin in one line and end in another."""
     tagged = F.flatten(F.transform(
-        lines_of(text), lambda line, i: F.transform(words_of(line), lambda w: F.struct(w.alias("word"), i.alias("line")))
+        lines_of(text), lambda line, i: F.transform(words_of(line), lambda w: F.named_struct(F.lit("word"), w, F.lit("line"), i))
     ))
 
     def runs(own: Column, n: int) -> Column:
