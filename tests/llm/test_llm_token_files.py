@@ -29,7 +29,8 @@ def encoder():
         return tf.Encoder(source.read())
 
 
-TEXT = st.text(st.sampled_from(list("ab'st1.é漢🙂\n\t\r   \u001c\u0085") + [" ", "  ", " a", "<|endoftext|>"]), max_size=40)
+PARTS = [*"ab'st1.é漢🙂\n\t\r \u001c\u0085\u3000", "  ", " a", " b", " word", "'ll", "<|endoftext|>"]
+TEXT = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 
 
 @given(st.lists(st.one_of(TEXT, st.text(max_size=20)), max_size=5))
