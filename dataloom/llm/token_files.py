@@ -33,14 +33,18 @@ from dataloom.llm.common import picked, text_or_empty
 LENGTH = 2048
 SEQUENCES = 256
 # Pieces of text, and ids of them, that a task remembers.
-MEMORY = 500_000
-MEMORY_IDS = 8_000_000
-# Texts that are encoded together.
-_TOGETHER = 256
+MEMORY = 1_000_000
+MEMORY_IDS = 16_000_000
+# Texts, and bytes of them, that are encoded together, and pieces in one call.
+_TEXTS, _BYTES, _PIECES = 4096, 8_000_000, 500
 
 # A space between two characters that are no white space begins a new piece: whatever
 # stands before it does not change the tokens behind it.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
+# Fixed value: how byte-level vocabularies write a space.
+_SPACE = "Ġ"
+# A piece that is empty or has white space at an end: not every space was such a one.
+_ODD = "^$|^[\\s\\p{Z}\\x{85}\\x1c-\\x1f]|[\\s\\p{Z}\\x{85}\\x1c-\\x1f]$"
 
 
 class TokenFiles(NamedTuple):
@@ -61,21 +65,45 @@ class Encoder:
         self.model = Tokenizer.from_str(vocabulary)
         # The strings of special tokens are ordinary text.
         self.model.encode_special_tokens = True
+        tokens = self.model.get_vocab(with_added_tokens=True)
+        self.spaces = np.zeros(max(tokens.values()) + 1, bool)
+        self.spaces[[i for token, i in tokens.items() if token.startswith(_SPACE)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
+    def _learn(self, piece: str, ids: list[int]) -> None:
+        self.known[piece] = len(self.known)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def _learn_all(self, new: list[str]) -> None:
+        # Pieces with one space, at the beginning, are encoded many at a time: of their
+        # tokens just the first begins with a space.
+        spaced = [p for p in new if p.rfind(" ") == 0]
+        other = [p for p in new if p.rfind(" ") != 0]
+        for piece, coded in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False)):
+            self._learn(piece, coded.ids)
+        groups = [spaced[at: at + _PIECES] for at in range(0, len(spaced), _PIECES)]
+        for group, coded in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
+            starts = np.flatnonzero(self.spaces[ids])
+            if len(starts) != len(group):
+                raise ValueError("a token runs over two pieces")
+            first = len(self.known)
+            self.known.update(zip(group, range(first, first + len(group))))
+            self.ends.extend((len(self.ids) + np.append(starts[1:], len(ids))).tolist())
+            self.ids.frombytes(ids.tobytes())
+
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in the memory, which learns those it does not know."""
         if len(self.known) + len(pieces) > MEMORY or len(self.ids) > MEMORY_IDS:
             self._forget()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for piece, coded in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = len(self.known)
-            self.ids.extend(coded.ids)
-            self.ends.append(len(self.ids))
+        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
+        if new:
+            self._learn_all(new)
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +112,10 @@ class Encoder:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         cut = pc.split_pattern(texts, " ")
         pieces = cut.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
+        if pc.any(pc.match_substring_regex(pieces.dictionary, _ODD)).as_py():
             cut = pa.array([_CUT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
             pieces = cut.flatten().dictionary_encode()
-            words = pieces.dictionary.to_pylist()
+        words = pieces.dictionary.to_pylist()
         codes = pieces.indices.to_numpy()
         offsets = cut.offsets.to_numpy()
         firsts = offsets[:-1] - offsets[0]
@@ -116,6 +143,16 @@ def _encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a bounded number of texts and, but for single texts, of bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < len(batch):
+        to = max(at + 1, min(at + _TEXTS, int(np.searchsorted(ends, before + _BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path and the path in it; plain paths and ``file:`` are folders
     that all executors share."""
@@ -201,8 +238,7 @@ def write_tokens(
         encoder, writer, task = _encoder(shared.value), None, TaskContext.get()
         part = task.partitionId()
         for batch in batches:
-            for at in range(0, len(batch), _TOGETHER):
-                some = batch.slice(at, _TOGETHER)
+            for some in _parts(batch):
                 if writer is None:
                     name = f"part-{part:06d}-{task.taskAttemptId()}"
                     writer = _FileWriter(folder, name, some.column(0).type, width, length)

@@ -41,6 +41,15 @@ def test_encoder(library, encoder, texts):
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_parts_cover_a_batch(monkeypatch):
+    monkeypatch.setattr(tf, "_BYTES", 10)
+    monkeypatch.setattr(tf, "_TEXTS", 3)
+    texts = ["", "abc", "x" * 40, "abcdefghij", "k", "", "", "", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["id", "text"])
+    parts = [p.column(1).to_pylist() for p in tf._parts(batch)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or (len(p) <= 3 and sum(map(len, p)) <= 10) for p in parts)
+
+
 def test_memory_is_bounded(monkeypatch, library):
     monkeypatch.setattr(tf, "MEMORY", 5)
     with open(VOCABULARY, encoding="utf-8") as source:
