@@ -41,6 +41,8 @@ _TEXTS, _BYTES, _PIECES = 4096, 8_000_000, 500
 # A space between two characters that are no white space begins a new piece: whatever
 # stands before it does not change the tokens behind it.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
+# Fixed value: how the library cuts printable ASCII texts before the merges.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 # Fixed value: how byte-level vocabularies write a space.
 _SPACE = "Ġ"
 # A piece that is empty or has white space at an end: not every space was such a one.
@@ -80,10 +82,22 @@ class Encoder:
         self.ends.append(len(self.ids))
 
     def _learn_all(self, new: list[str]) -> None:
-        # Pieces with one space, at the beginning, are encoded many at a time: of their
+        """Learn pieces by their words and signs, most of which have been met before."""
+        parts = {p: _WORDS.findall(p) if p.isascii() and p.replace("\n", " ").isprintable() else [p] for p in new}
+        self._learn_words([w for w in dict.fromkeys(w for ws in parts.values() for w in ws) if w not in self.known])
+        for piece, words in parts.items():
+            if len(words) != 1:
+                ids = array("I")
+                for word in words:
+                    place = self.known[word]
+                    ids += self.ids[self.ends[place]: self.ends[place + 1]]
+                self._learn(piece, ids)
+
+    def _learn_words(self, new: list[str]) -> None:
+        # Words with one space, at the beginning, are encoded many at a time: of their
         # tokens just the first begins with a space.
-        spaced = [p for p in new if p.rfind(" ") == 0]
-        other = [p for p in new if p.rfind(" ") != 0]
+        spaced = [p for p in new if p.rfind(" ") == 0 and len(p) > 1]
+        other = [p for p in new if p.rfind(" ") != 0 or len(p) == 1]
         for piece, coded in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False)):
             self._learn(piece, coded.ids)
         groups = [spaced[at: at + _PIECES] for at in range(0, len(spaced), _PIECES)]
