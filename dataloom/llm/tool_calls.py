@@ -2,22 +2,30 @@
 
 Calls and results meet by conversation and call id in a hash join, after repeated ones
 have been reduced to the first. Calls are then layered: a call's level is one more than
-the highest level among the calls it needs, found round by round over id columns only, so
-that no conversation has to fit into one task. Arguments are checked against the tool's
-schema and everything is written as canonical JSON (sorted keys, no spaces, UTF-8).
+the highest level among the calls it needs. Only id columns take part. A conversation with
+a bounded number of needs is ordered by one task, whatever its depth; larger ones are
+layered round by round by all tasks, so that no conversation has to fit into one.
+Arguments are checked against the tool's schema and everything is written as canonical
+JSON (sorted keys, no spaces, UTF-8).
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.llm.common import picked
-from dataloom.plans.shared import stored
+from dataloom.plans.shared import scratch_path, stored
+
+# Needs of a conversation that one task orders.
+LOCAL_NEEDS = 50_000
 
 # The types of a schema.
 _TYPES = {
@@ -31,10 +39,30 @@ def canonical(value: Any) -> str:
 
 
 def parsed(text: str) -> Any:
+    """The value of a JSON text; ValueError also for numbers beyond the doubles and for
+    escapes of half a character, which UTF-8 cannot write."""
+
     def refused(name: str):
         raise ValueError(f"{name} is not JSON")
 
-    return json.loads(text, parse_constant=refused)
+    def finite(number: str) -> float:
+        value = float(number)
+        return value if math.isfinite(value) else refused(number)
+
+    value = json.loads(text, parse_constant=refused, parse_float=finite)
+    canonical(value).encode()
+    return value
+
+
+def _equal(a: Any, b: Any) -> bool:
+    """Equality of JSON values: ``true`` is not 1, but 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_equal(a[k], b[k]) for k in a)
+    return a == b
 
 
 def faults(value: Any, schema: dict, path: str = "$") -> list[str]:
@@ -49,7 +77,7 @@ def faults(value: Any, schema: dict, path: str = "$") -> list[str]:
         if not fits:
             return [f"{path}: not {' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_equal(value, own) for own in schema["enum"]):
         found.append(f"{path}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if "minimum" in schema and value < schema["minimum"]:
@@ -75,25 +103,67 @@ def faults(value: Any, schema: dict, path: str = "$") -> list[str]:
     return found
 
 
-def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
+def levels(edges: DataFrame, calls: DataFrame, local: int = LOCAL_NEEDS) -> DataFrame:
     """``conversation, call_id, level`` of every call that no cycle holds up.
 
     ``edges(conversation, call_id, needs)`` must be among ``calls(conversation, call_id)``.
-    There are as many rounds as levels; each is written, so a lost executor repeats one.
+    Conversations of more than ``local`` edges take as many rounds as they have levels;
+    each round is written, so a lost executor repeats one, and reads what the last one
+    wrote, so plans do not grow.
     """
-    key = ["conversation", "call_id"]
-    left = stored(edges.distinct(), "edges")
-    ready = calls.join(left, key, "left_anti").select(*key)
-    done, level = ready.withColumn("level", F.lit(0)), 0
+    edges = stored(edges.distinct(), "edges")
+    ready = calls.join(edges, ["conversation", "call_id"], "left_anti").select("conversation", "call_id").withColumn("level", F.lit(0))
+    # There are at most edges / local of them.
+    large = stored(edges.groupBy("conversation").count().where(F.col("count") > local).select("conversation"), "large")
+    if large.isEmpty():
+        return ready.unionByName(_ordered(edges))
+    small = edges.join(F.broadcast(large), "conversation", "left_anti")
+    return ready.unionByName(_ordered(small)).unionByName(_layered(edges.join(F.broadcast(large), "conversation", "left_semi")))
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Levels of the calls that need others, a conversation at a time."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        needed_by, open_needs, level = defaultdict(list), defaultdict(int), {}
+        for call, need in zip(own["call_id"], own["needs"]):
+            needed_by[need].append(call)
+            open_needs[call] += 1
+        waiting = [(need, 0) for need in needed_by if need not in open_needs]
+        while waiting:
+            done, at = waiting.pop()
+            for call in needed_by[done]:
+                open_needs[call] -= 1
+                level[call] = max(level.get(call, 0), at + 1)
+                if not open_needs[call]:
+                    waiting.append((call, level[call]))
+        placed = [c for c, n in open_needs.items() if not n]
+        return pd.DataFrame({
+            "conversation": own["conversation"].iloc[0], "call_id": pd.Series(placed, dtype=object),
+            "level": pd.Series([level[c] for c in placed], dtype="int32"),
+        })
+
+    return edges.groupBy("conversation").applyInPandas(run, "conversation string, call_id string, level int")
+
+
+def _layered(edges: DataFrame) -> DataFrame:
+    """The same of large conversations: each round takes the calls whose needs are met."""
+    spark, key, path = edges.sparkSession, ["conversation", "call_id"], scratch_path(edges.sparkSession, "levels")
+    schema = "conversation string, call_id string, level int"
+    left = stored(edges, "edges")
+    others = left.select("conversation", F.col("needs").alias("call_id")).distinct()
+    ready, level = stored(others.join(left, key, "left_anti"), "ready"), 0
+    spark.createDataFrame([], schema).write.parquet(path)
     while not left.isEmpty():
         met = ready.select("conversation", F.col("call_id").alias("needs"))
         rest = stored(left.join(met, ["conversation", "needs"], "left_anti").select(*left.columns), "edges")
         level += 1
-        ready = stored(left.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti"), "ready")
+        ready = stored(left.select(*key).distinct().join(rest, key, "left_anti"), "ready")
         if ready.isEmpty():
             break
-        done, left = done.unionAll(ready.withColumn("level", F.lit(level))), rest
-    return done
+        ready.withColumn("level", F.lit(level)).write.mode("append").parquet(path)
+        left = rest
+    return spark.read.schema(schema).parquet(path)
 
 
 def _first(rows: DataFrame, fields: list[str], count: str) -> DataFrame:
