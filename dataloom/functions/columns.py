@@ -88,24 +88,51 @@ def row_hash(df: DataFrame, names: list[str] | None = None, seed: int = 0) -> Co
 
 
 def _hashable(value: Column, dtype: T.DataType) -> list[Column]:
-    """What of a value is hashed, so that unequal values differ in it.
+    """What of a value is hashed, so that unequal values differ in it and equal ones agree.
 
     The hash passes over NULLs inside arrays and structs, so their places are added: by
-    a mask where the elements are flat, else by JSON, which writes them. Maps, which Spark
-    does not hash, are their sorted entries.
+    a mask where the elements are flat, else by JSON, which writes them.
     """
+    if isinstance(dtype, T.ArrayType) and not _nested(dtype.elementType):
+        plain = canonical_value(value, dtype)
+        return [F.size(value), F.transform(plain, lambda x: x.isNull()), plain]
+    if isinstance(dtype, T.StructType) and not any(_nested(f.dataType) for f in dtype.fields):
+        fields = [canonical_value(value[f.name], f.dataType) for f in dtype.fields]
+        return [value.isNull(), *[p for f in fields for p in (f.isNull(), f)]]
+    return [canonical_json(value, dtype)] if _nested(dtype) else [value]
+
+
+def canonical_json(value: Column, dtype: T.DataType) -> Column:
+    """JSON of a nested value, the same for equal values: see ``canonical_value``."""
+    return F.to_json(canonical_value(value, dtype), {"ignoreNullFields": "false"})
+
+
+def canonical_value(value: Column, dtype: T.DataType) -> Column:
+    """The value with NaN as NULL and -0.0 as 0.0 at every depth, and with maps, whose
+    entries have no order, as entries sorted by key."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.nanvl(value, F.lit(None).cast(dtype)) + F.lit(0.0).cast(dtype)
+    if not _nested(dtype):
+        return value
+    if isinstance(dtype, T.ArrayType):
+        if not _holds_floats_or_maps(dtype.elementType):
+            return value
+        return F.transform(value, lambda x: canonical_value(x, dtype.elementType))
     if isinstance(dtype, T.MapType):
-        entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
-        return _hashable(F.array_sort(F.map_entries(value)), T.ArrayType(entry))
+        entry = lambda e: F.named_struct(
+            F.lit("key"), canonical_value(e["key"], dtype.keyType), F.lit("value"), canonical_value(e["value"], dtype.valueType)
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    fields = [x for i, f in enumerate(dtype.fields) for x in (F.lit(f"f{i}"), canonical_value(value[f.name], f.dataType))]
+    return F.when(value.isNotNull(), F.named_struct(*fields))
+
+
+def _holds_floats_or_maps(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.ArrayType):
-        if not _nested(dtype.elementType):
-            return [F.size(value), F.transform(value, lambda x: x.isNull()), value]
-        return [F.to_json(value, {"ignoreNullFields": "false"})]
+        return _holds_floats_or_maps(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        if any(_nested(f.dataType) for f in dtype.fields):
-            return [F.to_json(value, {"ignoreNullFields": "false"})]
-        return [value.isNull(), *[p for f in dtype.fields for p in (value[f.name].isNull(), value[f.name])]]
-    return [value]
+        return any(_holds_floats_or_maps(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.FloatType, T.DoubleType, T.MapType))
 
 
 def _nested(dtype: T.DataType) -> bool:

@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as a number, and the accepted layouts of a day: their pattern
-# and the places of year, month and day in it.
+# What counts as a number; names of months and week days; the accepted
+# layouts of a day as patterns with the places of year, month and day in them.
 NUMBER_PATTERN = (
     r"^[ \t\n\r]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)[ \t\n\r]*$"
 )
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?)[.]?"
+)
+_WEEKDAY = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? )?"
 DAYS = {
-    r"(\d{4})-(\d{1,2})-(\d{1,2})": "$1-$2-$3",
-    r"(\d{4})/(\d{1,2})/(\d{1,2})": "$1-$2-$3",
-    r"(\d{1,2})/(\d{1,2})/(\d{4})": "$3-$1-$2",
-    r"(\d{1,2})\.(\d{1,2})\.(\d{4})": "$3-$2-$1",
+    r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})": "$1-$3-$4",
+    r"(\d{4})(\d{2})(\d{2})": "$1-$2-$3",
+    rf"{_WEEKDAY}{_MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})": "$3-$1-$2",
+    rf"{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH}(?:,? |-)(\d{{4}})": "$3-$2-$1",
+    # The month comes first, unless it can only be a day.
+    r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})": "$4-$1-$3",
 }
-CLOCK = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
+CLOCK = r"[ T](\d{1,2})(?::(\d{2})(?::(\d{2}(?:\.\d{1,9})?))?)? ?([AaPp][Mm])?"
 ZONE = r" ?(Z|UTC|GMT|([+-])(\d{2}):?(\d{2})?)"
+# Most texts are no dates: one look at the beginning decides that.
+_BEGINNING = r"^(?:\d{1,4}[-/. a-z]|\d{8}|[a-z]{3,9}[., ])"
 
 
 def looks_numeric(text: Column) -> Column:
@@ -27,26 +37,42 @@ def looks_numeric(text: Column) -> Column:
 def parse_datetime(text: Column) -> Column:
     """The text as timestamp without zone, or NULL if it is in no accepted layout.
 
-    A day in one of the layouts above, with one or two digits for day and month, may be
-    followed by a clock with a fraction and by a zone; the time is then moved to UTC. No
-    session setting takes part.
+    A day is year, month and day, also in one number of eight digits; month, day and year,
+    or day, month and year where the first number is above 12; or has the month's name.
+    One or two digits stand for day and month. A clock of 24 or, with AM or PM, 12 hours
+    may follow, with a fraction, and then a zone: the time is moved to UTC. No session
+    setting takes part.
     """
-    tail = f"(?:{CLOCK}(?:{ZONE})?)?$"
-    day = F.lit(None).cast("string")
+    text = F.trim(text)
+    # A clock has minutes, or AM or PM.
+    tail = F.regexp_extract(text, f"(?:{CLOCK}(?<=:[0-9.]{{2,12}}|[AaPp][Mm])(?:{ZONE})?)$", 0)
+    day = F.lower(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(tail)))
+    written = F.lit(None).cast("string")
     for pattern, parts in reversed(DAYS.items()):
-        written = F.regexp_replace(text, f"^{pattern}.*$", parts)
-        day = F.when(text.rlike(f"^{pattern}{tail}"), written).otherwise(day)
-    clock = F.regexp_extract(text, f"{CLOCK}(?:{ZONE})?$", 1)
-    moment = F.when(clock == "", day).otherwise(F.concat(day, F.lit(" "), clock)).try_cast("timestamp_ntz")
+        written = F.when(day.rlike(f"^{pattern}$"), F.regexp_replace(day, f"^{pattern}$", parts)).otherwise(written)
+    parts = F.split(written, "-")
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(parts[1], 1, 3)).cast("string")
+    month = F.when(parts[1].rlike("^[a-z]"), named).otherwise(parts[1])
+    first_is_day = day.rlike(r"^(?:1[3-9]|[23]\d)[-/.]\d{1,2}[-/.]\d{4}$")
+    date = F.when(first_is_day, F.concat_ws("-", parts[0], parts[2], parts[1])).otherwise(
+        F.concat_ws("-", parts[0], month, parts[2])
+    )
 
     def part(i: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, f"{CLOCK}{ZONE}$", i).try_cast("int"), F.lit(0))
+        return F.regexp_extract(tail, f"^{CLOCK}(?:{ZONE})?$", i)
+
+    def number(i: int) -> Column:
+        return F.coalesce(part(i).try_cast("int"), F.lit(0))
 
-    ahead = F.when(F.regexp_extract(text, f"{CLOCK}{ZONE}$", 3) == "-", -1).otherwise(1)
-    offset = F.make_dt_interval(F.lit(0), ahead * part(4), ahead * part(5))
-    moved = F.when((clock != "") & text.rlike(r"[+-]\d{2}:?(\d{2})?$"), moment - offset).otherwise(moment)
-    # Most texts are no dates: one look at the beginning decides that.
-    return F.when(text.rlike(r"^\d{1,4}[-/.]\d"), moved)
+    half = F.lower(part(4))
+    hour = F.when(half == "", number(1)).when(number(1).between(1, 12), number(1) % 12 + F.when(half == "pm", 12).otherwise(0))
+    # concat of a missing hour is missing: there is no hour 13 PM.
+    clock = F.concat(hour.cast("string"), F.lit(":"), F.lpad(number(2).cast("string"), 2, "0"), F.lit(":"), F.when(part(3) == "", "00").otherwise(part(3)))
+    moment = F.when(tail == "", date).otherwise(F.concat(date, F.lit(" "), clock)).try_cast("timestamp_ntz")
+    ahead = F.when(part(6) == "-", -1).otherwise(1)
+    offset = F.make_dt_interval(F.lit(0), ahead * number(7), ahead * number(8))
+    moved = F.when(tail.rlike(r":.*[+-]\d{2}:?(\d{2})?$"), moment - offset).otherwise(moment)
+    return F.when(F.lower(text).rlike(_BEGINNING) & written.isNotNull(), moved)
 
 
 def stripped(text: Column) -> Column:

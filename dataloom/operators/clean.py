@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloom.functions.columns import canonicalise, numeric_columns, quoted, text_columns
-from dataloom.plans.long_form import numeric_long, top_texts
+from dataloom.plans.heavy import top_texts
+from dataloom.plans.long_form import numeric_long
 from dataloom.plans.one_row import with_row
 from dataloom.plans.quantiles import column_quantiles
 from dataloom.plans.shared import stored

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from dataloom.functions.columns import canonicalise, free_names, numeric_columns, quoted, text_columns
 from dataloom.plans.one_row import with_row
+from dataloom.plans.shared import stored
+from dataloom.plans.smallest import smallest_texts
 
 # Limits and name endings of the generated columns. Five columns are paired
 # where none are named; MAX_CATEGORIES is the default of a parameter and an error, not a cut.
@@ -62,23 +64,21 @@ def pair_features(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _with_pairs(df, columns, [_product, _ratio])
 
 
-def _categories(df: DataFrame, names: list[str], most: int) -> dict[str, list[str]]:
-    """The sorted values of each column, of columns with more than ``most`` the first
-    ``most + 1``.
+def _categories(df: DataFrame, names: list[str], most: int) -> dict[str, list[str] | None]:
+    """The sorted values of each column; None of columns with more than ``most``.
 
-    One pass. The rank limit stands right above the window, so each task sends at most
-    ``most + 1`` values of a column, however many it has met.
+    A task sends at most ``most + 1`` different values of a column, however many rows and
+    values it has met; values of columns that have too many do not come to the driver.
     """
     if not names:
         return {}
-    cells = [x for i, n in enumerate(names) for x in (F.lit(i), quoted(n))]
-    long = df.select(F.stack(F.lit(len(names)), *cells).alias("at", "value")).filter("value is not null")
-    first = Window.partitionBy("at").orderBy("value")
-    few = long.withColumn("rank", F.dense_rank().over(first)).filter(F.col("rank") <= most + 1)
-    found: dict[str, list[str]] = {n: [] for n in names}
-    for row in few.select("at", "value").distinct().collect():
-        found[names[row["at"]]].append(row["value"])
-    return {n: sorted(values) for n, values in found.items()}
+    few = stored(smallest_texts(df, names, most + 1), "categories")
+    sizes = few.groupBy("column").agg(F.count("*").alias("n")).collect()
+    over = [r["column"] for r in sizes if r["n"] > most]
+    found: dict[str, list[str] | None] = {n: None if i in over else [] for i, n in enumerate(names)}
+    for row in few.filter(~F.col("column").isin(over)).collect():
+        found[names[row["column"]]].append(row["value"])
+    return {n: None if values is None else sorted(values) for n, values in found.items()}
 
 
 def _indicators(name: str, values: list[str]) -> list[tuple[str, Column]]:
@@ -87,7 +87,7 @@ def _indicators(name: str, values: list[str]) -> list[tuple[str, Column]]:
 
 def _low_card_indicators(df: DataFrame, max_card: int) -> list[tuple[str, Column]]:
     found = _categories(df, text_columns(df), max_card)
-    return [c for n, values in found.items() if len(values) <= max_card for c in _indicators(n, values[1:])]
+    return [c for n, values in found.items() if values is not None for c in _indicators(n, values[1:])]
 
 
 def one_hot_low_card(df: DataFrame, max_card: int = LOW_CARDINALITY) -> DataFrame:
@@ -106,8 +106,7 @@ def one_hot_all(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> DataFram
     if not names:
         return df
     found = _categories(df, names, max_categories)
-    total = sum(map(len, found.values()))
-    if total > max_categories:
+    if None in found.values() or sum(map(len, found.values())) > max_categories:
         raise ValueError(f"more than {max_categories} categories would make as many columns")
     # The names of the replaced columns become free.
     rest = df.drop(*[quoted(n) for n in names])

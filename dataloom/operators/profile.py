@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from dataloom.functions.columns import (
     canonicalise, datetime_columns, missing, numeric_columns, quoted, row_hash, text_columns,
 )
-from dataloom.plans.long_form import (
-    frequencies, named, numeric_long, numeric_of, spread, top_texts,
-)
+from dataloom.plans.heavy import top_texts
+from dataloom.plans.long_form import frequencies, named, numeric_long, numeric_of, spread
 from dataloom.plans.one_row import as_struct
 from dataloom.plans.quantiles import ACCURACY, column_quantiles
+from dataloom.plans.shared import stored
 
 # Thresholds of the text and category detection.
 LONG_TEXT = 100
@@ -25,6 +25,10 @@ MIB = 1024 * 1024
 
 def missing_by_column(df: DataFrame) -> DataFrame:
     """(column, missing, missing_pct): one wide aggregate, no shuffle of rows."""
+    return _missing_and_rows(df).drop("rows")
+
+
+def _missing_and_rows(df: DataFrame) -> DataFrame:
     df = canonicalise(df)
     total = df.agg(
         F.count("*").alias("rows"),
@@ -32,7 +36,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     )
     groups = {c: {"missing": f"m{i}", "rows": "rows"} for i, c in enumerate(df.columns)}
     return spread(total, groups).select(
-        "column", "missing", (F.try_divide("missing", "rows") * 100).alias("missing_pct")
+        "column", "missing", (F.try_divide("missing", "rows") * 100).alias("missing_pct"), "rows"
     )
 
 
@@ -126,8 +130,12 @@ def distinct_by_column(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(df.columns)
         ])
         return spread(one, {c: {"unique_values": f"d{i}"} for i, c in enumerate(df.columns)})
-    counted = frequencies(df).groupBy("column").agg(F.count("*").alias("unique_values"))
-    return _every_column(df.columns, counted, {"unique_values": F.lit(0).cast("long")})
+    return _distinct(frequencies(df), df.columns)
+
+
+def _distinct(counted: DataFrame, names: list[str]) -> DataFrame:
+    counts = counted.groupBy("column").agg(F.count("*").alias("unique_values"))
+    return _every_column(names, counts, {"unique_values": F.lit(0).cast("long")})
 
 
 def _every_column(names: list[str], table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -208,11 +216,17 @@ def likely_categorical(df: DataFrame) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
+def top_values(
+    df: DataFrame, columns: list[str] | None = None, k: int = 5, counted: DataFrame | None = None
+) -> DataFrame:
     """(column, value, n, rank): the k most frequent values of each text column; of
-    equally frequent ones the smallest."""
+    equally frequent ones the smallest. ``counted``, if there is one, holds the stored
+    ``frequencies`` of all columns of the table."""
     names = columns or text_columns(df)
-    top = named(top_texts(df, names, k), names)
+    if counted is not None:
+        place = F.array_position(F.array(*[F.lit(df.columns.index(n)) for n in names]), F.col("column"))
+        counted = counted.select((place.cast("int") - 1).alias("column"), "h1", "h2", "n").filter("column >= 0")
+    top = named(top_texts(df, names, k, counted), names)
     return top.select("column", F.col("string_value").alias("value"), "n", "rank")
 
 
@@ -223,8 +237,10 @@ def column_info(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)],
         "position int, column string, type string",
     )
-    report = types.join(F.broadcast(missing_by_column(df)), "column")
-    report = report.join(F.broadcast(distinct_by_column(df)), "column")
+    report = types.join(F.broadcast(_missing_and_rows(df)), "column")
+    # One table of frequencies gives the distinct counts and the frequent values.
+    counted = stored(frequencies(df).select("column", "h1", "h2", "n"), "frequencies")
+    report = report.join(F.broadcast(_distinct(counted, df.columns)), "column")
     numeric = numeric_columns(df, booleans=True)
     texts = text_columns(df)
     if numeric:
@@ -238,7 +254,7 @@ def column_info(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     if texts:
         # At most five entries per column.
         pairs = F.array_sort(F.collect_list(F.struct("rank", "value", "n")))
-        tops = top_values(df, texts).groupBy("column").agg(
+        tops = top_values(df, texts, counted=counted).groupBy("column").agg(
             F.concat_ws(", ", F.transform(
                 pairs, lambda p: F.concat(p["value"], F.lit(": "), p["n"].cast("string"))
             )).alias("top_values")
@@ -246,12 +262,11 @@ def column_info(df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
         report = report.join(F.broadcast(tops), "column", "left")
     else:
         report = report.withColumn("top_values", F.lit(None).cast("string"))
-    rows = as_struct(df.agg(F.count("*").alias("rows"))).getField("rows")
-    share = F.try_divide(F.col("unique_values"), rows)
+    share = F.try_divide("unique_values", "rows")
     return report.withColumn(
         "likely_categorical",
         F.when(F.col("type") == "string", F.coalesce(share < CATEGORY_SHARE, F.lit(False))),
-    )
+    ).drop("rows")
 
 
 def dataset_info(df: DataFrame) -> DataFrame:

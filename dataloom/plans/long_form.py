@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dataloom.functions.columns import epoch_micros, is_datetime, is_numeric, quoted
+from dataloom.functions.columns import canonical_json, epoch_micros, is_datetime, is_numeric, quoted
 from dataloom.plans.shared import stored
 
 
@@ -48,17 +48,11 @@ def _family(dtype: T.DataType) -> str:
     return "string"
 
 
-# Texts above this length are grouped by digest. It decides what is shuffled, not what
-# comes out: values, counts and the order of ties are those of the whole texts.
-SHORT_TEXT = 64
-
-
 def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, value fields, h1, h2, n): how often each value of each column occurs.
 
-    Columns are stacked by type family, so no number is turned into text. A short text
-    stands for itself; of a long one its beginning is ``string_value`` and 128 bits of
-    hash (h1, h2) tell it from others, so that profiling a corpus shuffles some bytes per
+    Columns are stacked by type family, so no number is turned into text. Of a text 128
+    bits of hash (h1, h2) are grouped, so that profiling a corpus shuffles some bytes per
     distinct text instead of the corpus. Hot values meet in the map-side combine.
     """
     names = list(names or df.columns)
@@ -81,22 +75,21 @@ def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             "column",
             *[
                 (F.col("value") if f == family else nothing).cast(f).alias(f"{f}_value")
-                for f in ("bigint", "double", "string")
+                for f in ("bigint", "double")
             ],
             "h1", "h2", "n",
         ))
     return reduce(DataFrame.unionAll, parts)
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits of hash that stand for a text in two columns."""
+    return [F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)]
+
+
 def _digested(long: DataFrame) -> DataFrame:
-    value = F.col("value")
-    is_long = F.length(value) > SHORT_TEXT
-    return long.select(
-        "column",
-        F.substring(value, 1, SHORT_TEXT).alias("value"),
-        F.when(is_long, F.xxhash64(F.lit(1), value)).alias("h1"),
-        F.when(is_long, F.xxhash64(F.lit(2), value)).alias("h2"),
-    )
+    h1, h2 = text_key(F.col("value"))
+    return long.select("column", F.lit(None).cast("string").alias("value"), h1.alias("h1"), h2.alias("h2"))
 
 
 def first_texts(df: DataFrame, names: list[str], order_by: list[str], k: int) -> DataFrame:
@@ -111,47 +104,10 @@ def first_texts(df: DataFrame, names: list[str], order_by: list[str], k: int) ->
     return long.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("column", "text")
 
 
-def top_texts(df: DataFrame, names: list[str], k: int) -> DataFrame:
-    """(column, string_value, n, rank): the k most frequent texts of each column, of
-    equally frequent ones the smallest.
-
-    Beginnings of texts leave k rows per column, and more only where texts of one count
-    begin alike; whole texts decide among those.
-    """
-    first = Window.partitionBy("column").orderBy(F.desc("n"), "string_value")
-    # A rank limit right above the window: Spark keeps few rows per column and task
-    # before the shuffle.
-    chosen = stored(frequencies(df, names).withColumn("rank", F.rank().over(first)).filter(F.col("rank") <= k), "top")
-    last = Window.partitionBy("column").orderBy(F.desc("n"), "string_value")
-    whole = with_long_texts(chosen.select("column", "string_value", "h1", "h2", "n"), df, names)
-    return whole.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select(
-        "column", "string_value", "n", "rank"
-    )
-
-
-def with_long_texts(chosen: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
-    """Put the whole texts back into chosen rows of ``frequencies``, a stored table.
-
-    Spark broadcasts the chosen rows where their written size allows; of each matching
-    text one copy per task comes back.
-    """
-    columns = {i: _as_family(df, n, "string") for i, n in enumerate(names)}
-    long = _stacked(df, columns, "text").filter(F.length("text") > SHORT_TEXT)
-    hashed = long.withColumns({
-        "h1": F.xxhash64(F.lit(1), F.col("text")), "h2": F.xxhash64(F.lit(2), F.col("text"))
-    })
-    keys = ["column", "h1", "h2"]
-    wanted = chosen.filter("h1 is not null").select(*keys).distinct()
-    texts = hashed.join(wanted, keys).groupBy(*keys).agg(F.first("text").alias("text"))
-    return chosen.join(texts, keys, "left").withColumn(
-        "string_value", F.coalesce("text", "string_value")
-    ).drop("text")
-
-
 def _as_family(df: DataFrame, name: str, family: str):
     dtype = df.schema[name].dataType
     if family == "string" and isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(quoted(name))
+        return canonical_json(quoted(name), dtype)
     if family == "bigint" and isinstance(dtype, T.DateType):
         return F.unix_date(quoted(name)).cast("bigint")
     if family == "bigint" and isinstance(dtype, T.TimestampType):

@@ -21,12 +21,16 @@ FROM {documents})
 """
 
 MIXED_DATES = """
-(SELECT o_orderkey, o_totalprice, CASE o_orderkey % 5
+(SELECT o_orderkey, o_totalprice, CASE o_orderkey % 9
     WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
     WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T10:00:00.5'
     WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 1:30:00+01:00'
-    WHEN 3 THEN CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING)
-    ELSE CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(year(o_orderdate) AS STRING)
+    WHEN 3 THEN date_format(o_orderdate, 'M/d/yyyy')
+    WHEN 4 THEN date_format(o_orderdate, 'M.d.yyyy')
+    WHEN 5 THEN date_format(o_orderdate, 'MMM d, yyyy')
+    WHEN 6 THEN date_format(o_orderdate, 'd MMMM yyyy h:mm a')
+    WHEN 7 THEN date_format(o_orderdate, 'yyyyMMdd')
+    WHEN 8 THEN date_format(o_orderdate, CASE WHEN day(o_orderdate) > 12 THEN 'd/M/yyyy' ELSE 'yyyy/M/d' END)
   END AS moment FROM {orders})
 """
 

@@ -10,13 +10,6 @@ from dataloom.queries.tables import (
 
 _DIRTY = duck(DIRTY_ORDERS)
 
-NUMBER = (
-    r"^[ \t\n\r]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
-    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)[ \t\n\r]*$"
-)
-DATES = "['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y/%m/%d', '%m/%d/%Y', '%d.%m.%Y']"
-
-
 def _quality_sql(columns, table: str) -> str:
     cells = " + ".join(f"(count(*) - count({c}))" for c in columns)
     return f"""
@@ -61,9 +54,8 @@ QUERIES = {
             END AS suggested_type FROM ("""
         + per_column(["num_text", "date_text", "mixed_text"], duck(TYPED_TEXT),
                      """SELECT '{c}' AS "column",
-            avg(CASE WHEN regexp_matches({c}, '"""
-                     + NUMBER.replace("{", "{{").replace("}", "}}") + """') THEN 1.0 ELSE 0.0 END) AS numbers,
-            avg(CASE WHEN try_strptime({c}, """ + DATES + """) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS dates
+            avg(CASE WHEN TRY_CAST({c} AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS numbers,
+            avg(CASE WHEN TRY_CAST({c} AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS dates
           FROM {t} WHERE {c} IS NOT NULL""")
         + ")) WHERE suggested_type IS NOT NULL",
     ),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
+from dataloom.sources.record_ranges import csv_records, has_open_lines, json_records
 
 # What happens to a row that cannot be read: the job stops, or, on request, the row is
 # left out or its unreadable fields are NULL.
@@ -16,30 +17,63 @@ def _reader(spark: SparkSession, malformed: str) -> DataFrameReader:
     return spark.read.option("mode", MALFORMED[malformed])
 
 
+def _strings(records: DataFrame):
+    """The records as Spark's dataset of strings, which its readers take."""
+    return getattr(records._jdf, "as")(records.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None,
     line_breaks: bool = True, malformed: str = "raise",
 ) -> DataFrame:
     """Header row; types from ``schema``, else inferred by one extra pass.
 
-    Quoted values may hold line breaks, so a file is read by one task. For huge files
-    known to hold none, ``line_breaks=False`` lets Spark split them. A row with a value of
-    another type or with more or fewer fields than the header stops the job (see
-    ``MALFORMED``): fields are counted in every row, types are checked in the columns that
-    a query reads.
+    Quoted values may hold line breaks. One parallel pass looks whether any does; if so,
+    the records are put together from byte ranges (``record_ranges``), stored, and parsed;
+    if not, or with ``line_breaks=False``, Spark reads the lines. Either way a file is the
+    work of as many tasks as it has ranges. A row with a value of another type or with
+    more or fewer fields than the header stops the job (see ``MALFORMED``): fields are
+    counted in every row, types are checked in the columns that a query reads. Blank lines
+    are left out; a quoted value that is not closed at a file's end stops the reading.
     """
-    reader = _reader(spark, malformed).option("header", True).option("multiLine", line_breaks)
-    reader = reader.option("escape", '"').option("columnPruning", False)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    reader = lambda: _reader(spark, malformed).option("escape", '"').option("columnPruning", False)
+    if not line_breaks or not has_open_lines(spark, path):
+        lines = reader().option("header", True)
+        return (lines.schema(schema) if schema is not None else lines.option("inferSchema", True)).csv(path)
+    records = csv_records(spark, path)
+    rows = _strings(records.where("not head").select("value"))
+    if schema is None:
+        heads = _strings(records.where("head").select(F.min("value").alias("value")))
+        names = _names(DataFrame(reader()._jreader.csv(heads), spark).head())
+        found = DataFrame(reader().option("inferSchema", True)._jreader.csv(rows), spark).schema
+        kinds = [f.dataType for f in found] or [T.StringType()] * len(names)
+        schema = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)])
+        if len(kinds) != len(names):
+            raise ValueError(f"the header has {len(names)} fields, a row {len(kinds)}")
+    return DataFrame(reader().schema(schema)._jreader.csv(rows), spark)
+
+
+def _names(head: T.Row | None) -> list[str]:
+    """Column names of a header: fields without a name and repeated names get their place."""
+    fields = [f"_c{i}" if name is None else name for i, name in enumerate(head or ())]
+    lower = [f.lower() for f in fields]
+    return [f"{f}{i}" if lower.count(f.lower()) > 1 else f for i, f in enumerate(fields)]
 
 
 def read_json(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, malformed: str = "raise"
 ) -> DataFrame:
-    """Files that each hold one JSON array of records (or one record)."""
-    reader = _reader(spark, malformed).option("multiLine", True)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """Files that each hold one JSON array of records (or one record).
+
+    Arrays are cut into byte ranges and their records put together (``record_ranges``),
+    whatever their line ends, so that many tasks read one file. If a file begins with
+    something else, each file is one task's work."""
+    reader = _reader(spark, malformed)
+    reader = reader.schema(schema) if schema is not None else reader
+    records = json_records(spark, path)
+    if records is None:
+        return reader.option("multiLine", True).json(path)
+    return DataFrame(reader._jreader.json(_strings(records)), spark)
 
 
 def read_jsonl(

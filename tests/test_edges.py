@@ -143,6 +143,28 @@ def test_date_texts(spark):
     assert got == [None, "2024-02-28 00:00:00", "2024-02-28 10:00:00", "2024-02-28 00:00:00", None, None]
 
 
+def test_dates_are_read_as_pandas_reads_them(spark):
+    days = [
+        "2024-01-05", "2024/1/5", "2024.01.05", "20240105", "1/5/2024", "5.1.2024", "05-01-2024", "13/1/2024", "31.12.2024",
+        "Jan 5, 2024", "January 5 2024", "Sep 5, 2024", "5 Jan 2024", "5-Jan-2024", "05 December, 2024", "Fri, 5 Jan 2024",
+        "Friday, January 5, 2024", "MAY 3rd, 2024", "3rd may 2024",
+    ]
+    clocks = ["", " 10:00", " 19:15:27", " 23:59:59.125", " 10:00 PM", " 12:30 am", " 12:30:15 PM", " 7PM"]
+    zones = ["", "Z", " UTC", "+02:00", "-0530"]
+    texts = [d + c for d in days for c in clocks]
+    texts += [f"2024-01-05T10:11:12{z}" for z in zones] + [f"Jan 5, 2024 1:02 PM{z}" for z in ("", " UTC")]
+    bad = [
+        "2024-13-05", "2024-02-30", "31/31/2024", "0/5/2024", "Jun 31, 2024", "2024-01-05 25:00", "2024-01-05 13:00 PM",
+        "2024-01-05 0:30 PM", "soon", "", "Januar 5, 2024", "12", "1234567", "20241301", "Jan", "5", "Marvellous day, 2024",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "t string")
+    got = {r.t: r.m for r in df.select("t", parse_datetime(F.col("t")).alias("m")).collect()}
+    for text in texts:
+        want = pd.to_datetime(text, utc=True).tz_localize(None).to_pydatetime()
+        assert got[text] == want, text
+    assert {t: got[t] for t in bad} == dict.fromkeys(bad)
+
+
 def test_type_suggestions_on_a_sample(spark):
     rows = [(i, "x" if i >= 100 else str(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, t string")
@@ -270,8 +292,25 @@ def test_nested_nulls_count(spark):
         assert profile.duplicate_count(df).first()[0] == 0
 
 
+@pytest.mark.parametrize("kind, left, right", [
+    ("array<map<string, int>>", "array(map('a', 1, 'b', 2))", "array(map('b', 2, 'a', 1))"),
+    ("struct<m: map<string, array<double>>>", "named_struct('m', map('a', array(1D), 'b', array(double('NaN'))))",
+     "named_struct('m', map('b', array(NULL), 'a', array(1D)))"),
+    ("array<double>", "array(1D, double('NaN'), 0D)", "array(1D, NULL, -0D)"),
+    ("array<array<float>>", "array(array(float('NaN')))", "array(array(float(NULL)))"),
+    ("map<int, map<int, int>>", "map(1, map(1, 2, 3, 4), 2, NULL)", "map(2, NULL, 1, map(3, 4, 1, 2))"),
+    ("struct<a: struct<x: double>>", "named_struct('a', named_struct('x', double('NaN')))", "named_struct('a', named_struct('x', NULL))"),
+])
+def test_equal_nested_values_are_equal_at_every_depth(spark, kind, left, right):
+    cast = lambda v: f"select cast({v} as {kind}) x"
+    df = spark.sql(f"{cast(left)} union all {cast(right)} union all {cast('NULL')} union all {cast('NULL')}")
+    assert df.select(row_hash(df)).distinct().count() == 2
+    assert profile.duplicate_count(df).first()[0] == 2
+    assert profile.distinct_by_column(df).first()["unique_values"] == 1
+
+
 def test_unread_dates_stop_the_series(spark):
-    texts = ["2024-01-05T10:00:00.5", "2024-01-06T23:30:00-01:00", "1/7/2024", "2024-1-8", "9.1.2024 8:15", None]
+    texts = ["2024-01-05T10:00:00.5", "2024-01-06T23:30:00-01:00", "1/7/2024", "2024-1-8", "1.9.2024 8:15 PM", None]
     df = spark.createDataFrame([(t, 1) for t in texts], "t string, y int")
     days = [str(r.period) for r in charts.time_series(df, "t", "y", "day", "count").collect()]
     assert days == ["2024-01-05", "2024-01-07", "2024-01-08", "2024-01-09"]

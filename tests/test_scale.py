@@ -125,8 +125,14 @@ def test_latest_state_has_no_window(spark):
 def test_correlation_shuffles_sums_only(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     text = plan(charts.correlation_pairs(lines))
-    assert "partial_covar_pop" in text.replace("partial_covpopulation", "partial_covar_pop")
-    assert "l_shipdate" not in text
+    # Sums of matrix products leave a task: one row for each pair, added up by pair.
+    assert "hashpartitioning(pair" in text and text.index("partial_sum(xy") < text.index("MapInArrow")
+    assert "l_shipdate" not in text and "covar" not in text
+    doubles = lines.selectExpr("l_quantity c0", "l_discount c1", "l_tax c2").repartition(5)
+    sums = charts._pair_sums(doubles, [(0, 1), (0, 2), (1, 2)], [0.0, 0.0, 0.0])
+    tasks = sums._jdf.queryExecution().optimizedPlan().children().head()
+    assert "MapInArrow" in tasks.nodeName()
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, tasks).count() == 5 * 3
 
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
