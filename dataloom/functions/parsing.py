@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # What counts as a number; names of months and week days; the accepted
@@ -45,18 +47,40 @@ def parse_datetime(text: Column) -> Column:
     """
     text = F.trim(text)
     # A clock has minutes, or AM or PM.
-    tail = F.regexp_extract(text, f"(?:{CLOCK}(?<=:[0-9.]{{2,12}}|[AaPp][Mm])(?:{ZONE})?)$", 0)
-    day = F.lower(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(tail)))
+    clocked = f"(?:{CLOCK}(?<=:[0-9.]{{2,12}}|[AaPp][Mm])(?:{ZONE})?)$"
+
+    def read(own: Column) -> Column:
+        return _let(F.regexp_extract(own, clocked, 0), lambda tail: _let(
+            F.lower(F.substring(own, F.lit(1), F.char_length(own) - F.char_length(tail))),
+            lambda day: _let(F.split(_written(day), "-"), lambda parts: _moment(day, parts, tail)),
+        ))
+
+    return F.when(F.lower(text).rlike(_BEGINNING), _let(text, read))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a column used twice would be written out
+    twice, and so on in what is made of it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _written(day: Column) -> Column:
+    """Year, month or its name, and day with dashes between them, or NULL."""
     written = F.lit(None).cast("string")
     for pattern, parts in reversed(DAYS.items()):
         written = F.when(day.rlike(f"^{pattern}$"), F.regexp_replace(day, f"^{pattern}$", parts)).otherwise(written)
-    parts = F.split(written, "-")
-    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(parts[1], 1, 3)).cast("string")
-    month = F.when(parts[1].rlike("^[a-z]"), named).otherwise(parts[1])
+    return written
+
+
+def _moment(day: Column, parts: Column, tail: Column) -> Column:
+    year, second, third = (F.get(parts, F.lit(i)) for i in range(3))
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(second, 1, 3)).cast("string")
+    month = F.when(second.rlike("^[a-z]"), named).otherwise(second)
     first_is_day = day.rlike(r"^(?:1[3-9]|[23]\d)[-/.]\d{1,2}[-/.]\d{4}$")
-    date = F.when(first_is_day, F.concat_ws("-", parts[0], parts[2], parts[1])).otherwise(
-        F.concat_ws("-", parts[0], month, parts[2])
+    date = F.when(first_is_day, F.concat(year, F.lit("-"), third, F.lit("-"), second)).otherwise(
+        F.concat(year, F.lit("-"), month, F.lit("-"), third)
     )
+    at_day = date.try_cast("timestamp_ntz")
 
     def part(i: int) -> Column:
         return F.regexp_extract(tail, f"^{CLOCK}(?:{ZONE})?$", i)
@@ -65,14 +89,14 @@ def parse_datetime(text: Column) -> Column:
         return F.coalesce(part(i).try_cast("int"), F.lit(0))
 
     half = F.lower(part(4))
+    # No branch fits an hour 13 PM, which is missing then.
     hour = F.when(half == "", number(1)).when(number(1).between(1, 12), number(1) % 12 + F.when(half == "pm", 12).otherwise(0))
-    # concat of a missing hour is missing: there is no hour 13 PM.
-    clock = F.concat(hour.cast("string"), F.lit(":"), F.lpad(number(2).cast("string"), 2, "0"), F.lit(":"), F.when(part(3) == "", "00").otherwise(part(3)))
-    moment = F.when(tail == "", date).otherwise(F.concat(date, F.lit(" "), clock)).try_cast("timestamp_ntz")
+    seconds = F.when(part(3) == "", "00").otherwise(part(3))
+    clock = F.concat(hour.cast("string"), F.lit(":"), F.lpad(number(2).cast("string"), 2, "0"), F.lit(":"), seconds)
+    moment = F.concat(date, F.lit(" "), clock).try_cast("timestamp_ntz")
     ahead = F.when(part(6) == "-", -1).otherwise(1)
     offset = F.make_dt_interval(F.lit(0), ahead * number(7), ahead * number(8))
-    moved = F.when(tail.rlike(r":.*[+-]\d{2}:?(\d{2})?$"), moment - offset).otherwise(moment)
-    return F.when(F.lower(text).rlike(_BEGINNING) & written.isNotNull(), moved)
+    return F.when(tail == "", at_day).when(tail.rlike(r":.*[+-]\d{2}:?(\d{2})?$"), moment - offset).otherwise(moment)
 
 
 def stripped(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dataloom.functions.columns import quoted
 from dataloom.operators.profile import column_info, estimated_mb
+from dataloom.operators.profile_sketches import SKETCHES, merged, profile_of, sketch_rows
 from dataloom.operators.runs import Runs
 from dataloom.operators.versions import VersionStore
 from dataloom.plans.append_only import AppendOnly
@@ -28,6 +29,7 @@ COLUMNS = (
     "missing_percentage double, unique_values long, min_value double, max_value double, "
     "mean_value double, median_value double, std_value double"
 )
+_PARTS = f"dataset_id int, part int, {SKETCHES}"
 
 # What the search shows for absent fields.
 NO_DESCRIPTION, NO_AUTHOR = "No description available", "Unknown"
@@ -120,10 +122,11 @@ class Catalog(AppendOnly):
         """Profile a table and append its dataset row and column rows; returns the id."""
         now = now or dt.datetime.now()
         dataset_id, seq = self._next("id"), self._next("seq")
-        rows = df.count()
+        # One pass for both numbers.
+        size = estimated_mb(df, rows=True).first()
+        rows = size["rows"]
         details = {
-            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema},
-            "memory_usage": estimated_mb(df).first()[0],
+            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema}, "memory_usage": size["estimated_mb"],
         }
         profile = profile_rows(df)
         order = {c: i for i, c in enumerate(df.columns)}
@@ -139,6 +142,19 @@ class Catalog(AppendOnly):
         )], DATASETS + ", seq long"))
         return dataset_id
 
+    def append_profile(self, dataset_id: int, rows: DataFrame) -> None:
+        """Sketch rows that were added to a dataset; the rows before them are not read.
+        The first call may hold all rows of the dataset."""
+        parts = self._table("dataset_sketches", _PARTS)
+        part = (parts.filter(F.col("dataset_id") == dataset_id).agg(F.max("part")).first()[0] or 0) + 1
+        own = [F.lit(dataset_id).alias("dataset_id"), F.lit(part).alias("part")]
+        self._append("dataset_sketches", sketch_rows(rows).select(*own, "*"))
+
+    def merged_profile(self, dataset_id: int) -> DataFrame:
+        """The profile of all rows that were sketched, from their sketches alone."""
+        parts = without_removed(self._table("dataset_sketches", _PARTS), self._removed(), {"dataset_id": "id"})
+        return profile_of(merged(parts.filter(F.col("dataset_id") == dataset_id).drop("dataset_id", "part")))
+
     def update(self, dataset_id: int, now: dt.datetime | None = None, **changes) -> bool:
         """Append the dataset's row with some fields changed; unknown fields are ignored."""
         current = by_id(self.datasets(), dataset_id).first()

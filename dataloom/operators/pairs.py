@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from dataloom.functions.columns import quoted
 from dataloom.functions.parsing import stripped
 from dataloom.plans.one_row import as_struct
-from dataloom.plans.shared import checkpoint
+from dataloom.plans.shared import checkpoint, stored
 
 # Task prefixes, lengths, limits.
 TASK_PREFIXES = {
@@ -148,19 +148,19 @@ def encode_pairs(
 ) -> DataFrame:
     """Fixed-length id arrays of both texts: input_ids, attention_mask, labels.
 
-    A word has the ``token_id`` that ``vocab`` gives it. The vocabulary has a bounded size
-    and goes to every task; texts are looked up in Arrow batches where they are, without
-    a shuffle.
+    A word has the ``token_id`` that ``vocab`` gives it, each word once. Up to
+    ``max_vocabulary`` words go to every task, and texts are looked up in Arrow batches
+    where they are, without a shuffle; a larger vocabulary stays where it is and is joined.
     """
     entries = vocab.select("token", "token_id").orderBy("token_id").limit(max_vocabulary + 1).collect()
-    if len(entries) > max_vocabulary:
-        raise ValueError(f"vocabulary above {max_vocabulary} words")
-    shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in entries], [r[1] for r in entries]))
     split = df.select(
         *[quoted(k) for k in keep],
         F.slice(words(F.coalesce(F.col("input"), F.lit(""))), 1, max_in).alias("_in"),
         F.slice(words(F.coalesce(F.col("target"), F.lit(""))), 1, max_tgt).alias("_tgt"),
     )
+    if len(entries) > max_vocabulary:
+        return _encode_by_join(split, vocab, keep, max_in, max_tgt)
+    shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in entries], [r[1] for r in entries]))
     ids = T.ArrayType(T.IntegerType())
     schema = T.StructType([
         *split.schema.fields[:len(keep)],
@@ -195,6 +195,44 @@ def encode_pairs(
     return split.mapInArrow(encode, schema)
 
 
+# A word with more than this share of all words is broadcast: there are at most 1 / HOT.
+HOT = 0.001
+
+
+def _encode_by_join(split: DataFrame, vocab: DataFrame, keep: list[str], max_in: int, max_tgt: int) -> DataFrame:
+    """``encode_pairs`` with a vocabulary of any size.
+
+    The different words of the texts meet the vocabulary, one row each; their ids then
+    meet the words' places: those of the few hot words, known to the vocabulary or not,
+    by a broadcast, all others by a shuffle, so that no task gets a hot word's places.
+    """
+    rows = stored(split.withColumn("_row", F.monotonically_increasing_id()), "pairs")
+    each = rows.select("_row", F.posexplode(F.concat("_in", "_tgt")).alias("_at", "token"))
+    used = each.groupBy("token").agg(F.count("*").alias("_times")).join(vocab.select("token", "token_id"), "token", "left")
+    known = stored(used.select("token", F.coalesce("token_id", F.lit(UNKNOWN_ID)).cast("int").alias("_id"), "_times"), "words")
+    hot = F.col("_times") > known.agg(F.sum("_times")).scalar() * HOT
+    few = F.broadcast(known.filter(hot).select("token", F.col("_id").alias("_hot")))
+    most = known.filter(~hot).select(F.col("token").alias("_word"), F.col("_id").alias("_rare"))
+    # Places of hot words need no second look-up: keys of their own, which no word has, spread them.
+    placed = each.join(few, "token", "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col("token")).otherwise(F.concat(F.lit(" "), F.col("_row").cast("string")))
+    ).join(most, F.col("_key") == F.col("_word"), "left")
+    # At most ``max_in + max_tgt`` ids a row.
+    packed = placed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_hot", "_rare").alias("_id")))).alias("_ids"))
+    ids = F.transform(F.coalesce("_ids", F.array().cast("array<struct<_at: int, _id: int>>")), lambda p: p["_id"])
+    n_in, n_tgt = F.size("_in"), F.size("_tgt")
+
+    def padded(values: Column, used: Column, width: int) -> Column:
+        return F.concat(values, F.array_repeat(F.lit(PAD_ID), F.lit(width) - used))
+
+    return rows.join(packed, "_row", "left").select(
+        *[quoted(k) for k in keep],
+        padded(F.slice(ids, F.lit(1), n_in), n_in, max_in).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), n_in), F.array_repeat(F.lit(0), F.lit(max_in) - n_in)).alias("attention_mask"),
+        padded(F.slice(ids, n_in + 1, n_tgt), n_tgt, max_tgt).alias("labels"),
+    )
+
+
 def score_predictions(df: DataFrame) -> DataFrame:
     """Add match_score: 1 - edit distance / longer length; equal empty texts score 1."""
     expected = F.coalesce(F.col("expected"), F.lit("")) if "expected" in df.columns else F.lit("")

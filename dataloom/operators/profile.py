@@ -111,9 +111,11 @@ def _bytes(df: DataFrame) -> Column:
     return size
 
 
-def estimated_mb(df: DataFrame) -> DataFrame:
-    """Logical size: fixed widths plus the bytes of every text, in MiB."""
-    return df.agg((F.coalesce(F.sum(_bytes(df)), F.lit(0)) / MIB).alias("estimated_mb"))
+def estimated_mb(df: DataFrame, rows: bool = False) -> DataFrame:
+    """Logical size: fixed widths plus the bytes of every text, in MiB; with ``rows`` their
+    number, too."""
+    counted = [F.count("*").alias("rows")] if rows else []
+    return df.agg((F.coalesce(F.sum(_bytes(df)), F.lit(0)) / MIB).alias("estimated_mb"), *counted)
 
 
 def type_histogram(df: DataFrame) -> DataFrame:

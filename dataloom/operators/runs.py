@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dataloom.functions.columns import epoch_micros, quoted
+from dataloom.functions.columns import epoch_micros, free_names, quoted
 from dataloom.plans.append_only import AppendOnly
 from dataloom.plans.shared import stored
 from dataloom.plans.states import latest_state, without_removed
@@ -86,6 +87,45 @@ def metric_series(rows: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
+def metric_columns(rows: DataFrame, name: str = "metrics") -> DataFrame:
+    """The other columns and one for each metric that any row's JSON object has.
+
+    Metrics may be nested, in any mixture: a column is called by its path (``loss.train``)
+    and has the type that holds all its values; values of types that have nothing in
+    common, and lists, are JSON texts. One pass finds the paths. A text that is not JSON,
+    or no object, has no metrics.
+    """
+    variant = F.try_parse_json(quoted(name))
+    found = rows.select(variant.alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT<"))
+    shape = found.agg(F.schema_of_variant_agg("v")).first()[0]
+    rest = [quoted(c) for c in rows.columns if c != name]
+    if not shape.startswith("OBJECT<"):
+        return rows.select(*rest)
+    # The session's own parser reads the shape, whose objects are structs.
+    struct = rows.sparkSession.createDataFrame([], f"v {shape.replace('OBJECT<', 'STRUCT<')}").schema["v"].dataType
+    paths = list(_leaves(struct, ()))
+    names = free_names(rows.select(*rest), [".".join(p) for p, _ in paths])
+
+    def value(path: tuple[str, ...], dtype: T.DataType) -> Column:
+        at = "$" + "".join("[" + repr(p) + "]" for p in path)
+        if isinstance(dtype, (T.ArrayType, T.VariantType)):
+            return F.to_json(F.try_variant_get(variant, at, "variant"))
+        # JSON has one kind of fractions, which a variant keeps as decimals.
+        kind = "double" if isinstance(dtype, T.DecimalType) else dtype.simpleString()
+        return F.try_variant_get(variant, at, kind)
+
+    return rows.select(*rest, *[value(p, t).alias(n) for n, (p, t) in zip(names, paths)])
+
+
+def _leaves(struct: T.StructType, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
+    for field in struct:
+        own = (*path, field.name)
+        if isinstance(field.dataType, T.StructType) and field.dataType.fields:
+            yield from _leaves(field.dataType, own)
+        else:
+            yield own, field.dataType
+
+
 def save_config(rows: DataFrame, fields: list[str], name: str = "config") -> DataFrame:
     return rows.withColumn(name, F.to_json(F.struct(*[quoted(f) for f in fields])))
 

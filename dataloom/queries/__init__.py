@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dataloom.queries import (
-    charts, cleaning, hard_inputs, pairs_runs, preview_sources, profiling, validation,
+    charts, cleaning, hard_inputs, large_inputs, pairs_runs, preview_sources, profiling, validation,
     versions_catalog,
 )
 from dataloom.queries.tables import Tables
 
 _MODULES = (
     preview_sources, profiling, validation, charts, cleaning, versions_catalog, pairs_runs,
-    hard_inputs,
+    hard_inputs, large_inputs,
 )
 
 

@@ -12,7 +12,7 @@ from dataloom.plans.shared import scratch_path
 from dataloom.queries.tables import JOB_EVENTS, PAIRS, Tables, duck, rounded, text_list
 
 _EVENTS = duck(JOB_EVENTS)
-_VOCABULARY = 2_000
+VOCABULARY = 2_000
 
 # Expected and generated texts to score.
 ANSWERS = """
@@ -32,7 +32,7 @@ CHECKS = """
 """
 
 
-def _pairs(t: Tables) -> DataFrame:
+def pairs_of(t: Tables) -> DataFrame:
     return pairs.to_pairs(t.sql(PAIRS), "question", "answer", keep=["conv_id", "turn"])
 
 
@@ -42,8 +42,8 @@ def _split_sizes(t: Tables) -> DataFrame:
 
 
 def _encoded(t: Tables) -> DataFrame:
-    text = _pairs(t)
-    vocab = pairs.build_vocab(text, ["input", "target"], _VOCABULARY)
+    text = pairs_of(t)
+    vocab = pairs.build_vocab(text, ["input", "target"], VOCABULARY)
     ready = pairs.add_prefix(text, "Comment to Code")
     rows = pairs.encode_pairs(ready, vocab, ["conv_id", "turn"], max_in=64, max_tgt=32)
     return rows.withColumns({c: text_list(c) for c in ("input_ids", "attention_mask", "labels")})
@@ -51,8 +51,8 @@ def _encoded(t: Tables) -> DataFrame:
 
 def _encoded_filtered(t: Tables) -> DataFrame:
     """Ids under a vocabulary from which every other word was taken: ids stay as given."""
-    text = _pairs(t)
-    vocab = pairs.build_vocab(text, ["input", "target"], _VOCABULARY).where("token_id % 2 = 0")
+    text = pairs_of(t)
+    vocab = pairs.build_vocab(text, ["input", "target"], VOCABULARY).where("token_id % 2 = 0")
     rows = pairs.encode_pairs(text, vocab, ["conv_id", "turn"])
     used = F.filter("input_ids", lambda i: i != 0)
     return rows.select("conv_id", "turn", F.concat_ws(" ", used.cast("array<string>")).alias("input_ids"))
@@ -65,7 +65,7 @@ def _vocabulary_sql(texts: str, size: int) -> str:
       GROUP BY token ORDER BY n DESC, token LIMIT {size})"""
 
 
-def _encoded_sql() -> str:
+def encoded_sql() -> str:
     def ids(column: str, width: int) -> str:
         return f"""(SELECT conv_id, turn, list(coalesce(token_id, 1) ORDER BY place) AS ids FROM (
           SELECT conv_id, turn, unnest(ws) AS token, unnest(range(len(ws))) AS place FROM (
@@ -81,7 +81,7 @@ def _encoded_sql() -> str:
     p AS (SELECT conv_id, turn, 'translate comment to code: ' || question AS input,
       answer AS target FROM q),
     vocab AS ({_vocabulary_sql("(SELECT question AS text FROM q UNION ALL SELECT answer FROM q)",
-                               _VOCABULARY)}),
+                               VOCABULARY)}),
     i AS {ids("input", 64)}, o AS {ids("target", 32)}
     SELECT p.conv_id, p.turn, {padded("i.ids", 64)} AS input_ids,
       {padded("list_transform(i.ids, lambda x: 1)", 64)} AS attention_mask,
@@ -160,15 +160,15 @@ QUERIES = {
           UNION ALL SELECT 'train', count(*) - CAST(ceil(count(*) * 0.1) AS BIGINT) FROM documents)""",
     ),
     "pairs_prefixed": (
-        lambda t: pairs.add_prefix(_pairs(t), "Code to Comment"),
+        lambda t: pairs.add_prefix(pairs_of(t), "Code to Comment"),
         f"""SELECT conv_id, turn, 'translate code to comment: ' || question AS input,
           answer AS target FROM {duck(PAIRS)}""",
     ),
     "build_vocab": (
-        lambda t: pairs.build_vocab(t.documents, ["text"], _VOCABULARY),
-        _vocabulary_sql("documents", _VOCABULARY),
+        lambda t: pairs.build_vocab(t.documents, ["text"], VOCABULARY),
+        _vocabulary_sql("documents", VOCABULARY),
     ),
-    "encode_pairs": (_encoded, _encoded_sql()),
+    "encode_pairs": (_encoded, encoded_sql()),
     "score_predictions": (
         lambda t: rounded(pairs.score_predictions(t.sql(ANSWERS))),
         f"""SELECT p_partkey, input, expected, generated, round(match_score, 6) + 0.0 AS match_score
@@ -256,7 +256,7 @@ QUERIES = {
     "encode_filtered_vocab": (
         _encoded_filtered,
         f"""WITH q AS (SELECT * FROM {duck(PAIRS)}), vocab AS (SELECT * FROM ({_vocabulary_sql(
-            "(SELECT question AS text FROM q UNION ALL SELECT answer FROM q)", _VOCABULARY)}) WHERE token_id % 2 = 0),
+            "(SELECT question AS text FROM q UNION ALL SELECT answer FROM q)", VOCABULARY)}) WHERE token_id % 2 = 0),
         w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')[1:256] AS ws FROM q),
         e AS (SELECT conv_id, turn, unnest(ws) AS token, unnest(range(len(ws))) AS place FROM w)
         SELECT conv_id, turn, array_to_string(list(coalesce(token_id, 1) ORDER BY place), ' ') AS input_ids

@@ -17,7 +17,7 @@ from dataloom.queries.tables import (
 )
 from dataloom.sources import readers, writers
 
-def as_documents(df: DataFrame, opening: str, closing: str, path: str) -> None:
+def as_documents(df: DataFrame, opening: str, closing: str, path: str, ending: str = "\n") -> None:
     """Write files that each hold one JSON document around a list of one partition's rows."""
     def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
@@ -29,7 +29,7 @@ def as_documents(df: DataFrame, opening: str, closing: str, path: str) -> None:
         yield pd.DataFrame({"line": [opening + closing if first else closing]})
 
     lines = df.select(F.to_json(F.struct(*df.columns)).alias("line"))
-    lines.mapInPandas(framed, "line string").write.text(path)
+    lines.mapInPandas(framed, "line string").write.text(path, lineSep=ending)
 
 
 def csv_roundtrip(t: Tables) -> DataFrame:
