@@ -125,21 +125,31 @@ def symbol_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
     return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _contexts(bigrams: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
+def sided(bigrams: DataFrame) -> DataFrame:
+    """``symbol, other, before, n``, a stored table: each bigram for both of its symbols,
+    dealt by symbol, so that a task holds nearly all neighbours of its symbols. A symbol
+    has at most as many rows as there are symbols, twice."""
+    behind = bigrams.select(F.col("a").alias("symbol"), F.col("b").alias("other"), F.lit(False).alias("before"), "n")
+    before = bigrams.where("a <> b").select(F.col("b").alias("symbol"), F.col("a").alias("other"), F.lit(True).alias("before"), "n")
+    return stored(behind.unionByName(before).repartition("symbol"), "sided")
+
+
+def _contexts(neighbours: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
     """``symbol, slot, n``, a stored table: neighbours by class. Slots below k: behind it;
     from k: before it; 2k: the symbol itself behind itself. A task adds up a table of all
-    symbols and slots, whose size is a parameter."""
-    shared = bigrams.sparkSession.sparkContext.broadcast(classes)
+    symbols and slots, whose size is a parameter; a symbol that two tasks hold has its
+    slots twice, to be added up."""
+    shared = neighbours.sparkSession.sparkContext.broadcast(classes)
     wide = 2 * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.astype(np.int64)
         sums = np.zeros(len(own) * wide, np.int64)
         for batch in batches:
-            a, b, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            itself = a == b
-            np.add.at(sums, a * wide + np.where(itself, 2 * k, own[b]), n)
-            np.add.at(sums, (b * wide + k + own[a])[~itself], n[~itself])
+            symbol, other, before, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            symbol = symbol.astype(np.int64)
+            slot = np.where(symbol == other, 2 * k, own[other] + k * before)
+            np.add.at(sums, symbol * wide + slot, n)
         found = np.flatnonzero(sums)
         for at in range(0, len(found), 50_000):
             some = found[at:at + 50_000]
@@ -148,8 +158,7 @@ def _contexts(bigrams: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
                 ["symbol", "slot", "n"],
             )
 
-    rows = bigrams.mapInArrow(run, "symbol int, slot int, n long").groupBy("symbol", "slot").agg(F.sum("n").alias("n"))
-    return stored(rows, "contexts")
+    return stored(neighbours.mapInArrow(run, "symbol int, slot int, n long"), "contexts")
 
 
 def class_bigrams(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
@@ -202,20 +211,30 @@ def gains(counts: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.nda
     return gain
 
 
+def likelihood(counts: np.ndarray) -> float:
+    """The logarithm of the likelihood of class bigrams, but for what classes do not change."""
+    return float(_xlog(counts).sum() - _xlog(counts.sum(axis=0)).sum() - _xlog(counts.sum(axis=1)).sum())
+
+
 def exchange(
     bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS
 ) -> tuple[np.ndarray, np.ndarray]:
     """The class of each symbol, and how often class j follows class i.
 
     Class 0 holds the end alone; other symbols begin dealt by rank. A turn is one pass over
-    the bigrams; then a part of the symbols moves.
+    the bigrams; then a part of the symbols moves, all against the same counts. Should a
+    turn lower the likelihood, it is taken back and the exchange ends.
     """
     classes = np.concatenate([[0], 1 + np.arange(size - 1) % (k - 1)]).astype(np.int32)
+    neighbours, last = sided(bigrams), None
     for turn in range(rounds * _PARTS + 1):
-        everything = _contexts(bigrams, classes, k)
+        everything = _contexts(neighbours, classes, k)
         counts = class_bigrams(everything, classes, k)
+        if last is not None and likelihood(counts) < likelihood(last[1]):
+            return last
         if turn == rounds * _PARTS:
             break
+        last = classes.copy(), counts
         shared = bigrams.sparkSession.sparkContext.broadcast((counts, classes))
 
         def move(part: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +315,8 @@ def train(
     table = Symbols({w.encode(): i + 1 for i, w in enumerate(top["word"])}, bundles)
     bigrams = stored(symbol_bigrams(texts, table), "bigrams")
     own, counts = exchange(bigrams, table.size, classes, rounds)
-    discount = (of[2] / (of[2] + 2 * of[3])) if of[2] else 0.5
+    # From the words seen once and twice; below 1 also where none was seen twice.
+    discount = (of[2] + 0.5) / (of[2] + 2 * of[3] + 1)
     # Rare words and their number by class: a bundle's class is that of its words.
     shared = texts.sparkSession.sparkContext.broadcast((table, own))
 
