@@ -14,10 +14,11 @@ from __future__ import annotations
 import json
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -123,27 +124,38 @@ def levels(edges: DataFrame, calls: DataFrame, local: int = LOCAL_NEEDS) -> Data
 
 def _ordered(edges: DataFrame) -> DataFrame:
     """Levels of the calls that need others, a conversation at a time."""
+    names = ["conversation", "call_id", "level"]
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        needed_by, open_needs, level = defaultdict(list), defaultdict(int), {}
-        for call, need in zip(own["call_id"], own["needs"]):
-            needed_by[need].append(call)
-            open_needs[call] += 1
-        waiting = [(need, 0) for need in needed_by if need not in open_needs]
-        while waiting:
-            done, at = waiting.pop()
-            for call in needed_by[done]:
-                open_needs[call] -= 1
-                level[call] = max(level.get(call, 0), at + 1)
-                if not open_needs[call]:
-                    waiting.append((call, level[call]))
-        placed = [c for c, n in open_needs.items() if not n]
-        return pd.DataFrame({
-            "conversation": own["conversation"].iloc[0], "call_id": pd.Series(placed, dtype=object),
-            "level": pd.Series([level[c] for c in placed], dtype="int32"),
-        })
-
-    return edges.groupBy("conversation").applyInPandas(run, "conversation string, call_id string, level int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found: list[tuple[str, str, int]] = []
+        for conversation, own in groupby(rows, key=itemgetter(0)):
+            found += [(conversation, call, level) for call, level in _local_levels(own)]
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
+
+    kinds = [pa.string(), pa.string(), pa.int32()]
+    together = edges.select("conversation", "call_id", "needs").repartition("conversation").sortWithinPartitions("conversation")
+    return together.mapInArrow(run, "conversation string, call_id string, level int")
+
+
+def _local_levels(edges: Iterable[tuple[str, str, str]]) -> list[tuple[str, int]]:
+    needed_by, open_needs, level = defaultdict(list), defaultdict(int), {}
+    for _, call, need in edges:
+        needed_by[need].append(call)
+        open_needs[call] += 1
+    waiting = [(need, 0) for need in needed_by if need not in open_needs]
+    while waiting:
+        done, at = waiting.pop()
+        for call in needed_by[done]:
+            open_needs[call] -= 1
+            level[call] = max(level.get(call, 0), at + 1)
+            if not open_needs[call]:
+                waiting.append((call, level[call]))
+    return [(call, level[call]) for call, n in open_needs.items() if not n]
 
 
 def _layered(edges: DataFrame) -> DataFrame:
