@@ -97,13 +97,16 @@ def chance(odds: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """Two views, their calibrations and the model that joins them; without two classes
-    of labels there is nothing to learn and every score is ``prior``."""
+    of labels there is nothing to learn, every score is ``prior`` and every document is kept."""
 
     views: list[Logistic]
     calibrations: list[Logistic]
     joined: Logistic | None
     prior: float
 
+    def kept(self, score: Column, threshold: float = 0.5) -> Column:
+        return F.lit(True) if self.joined is None else score >= threshold
+
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.joined is None:
             flat = np.full(len(content), self.prior)
@@ -116,10 +119,12 @@ def co_train(
     content: np.ndarray, metadata: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, taken: float = TAKEN,
     sure: float = SURE,
 ) -> Model:
-    """Rows with a NaN label are the pool; every third labelled row is kept for calibration."""
+    """Rows with a NaN label are the pool; every third labelled row of each label is kept
+    for calibration. Without two rows of either label there is no model."""
     marked = np.flatnonzero(~np.isnan(label))
     pool = np.flatnonzero(np.isnan(label))
-    held, own = marked[::3], np.setdiff1d(marked, marked[::3])
+    held = np.sort(np.concatenate([marked[label[marked] == c][::3] for c in (0, 1)]))
+    own = np.setdiff1d(marked, held)
     prior = float(label[marked].mean()) if len(marked) else 1.0
     if len(own) < 2 or len(set(label[own])) < 2 or len(set(label[held])) < 2:
         return Model([], [], None, prior)
@@ -172,7 +177,8 @@ def train(
 ) -> Model:
     """Co-train on about ``labelled`` labelled documents and ``pool`` others at most, chosen
     by a hash of the id. Several labels of one id count as good if their mean is above one
-    half; NULL ids and labels are left out."""
+    half; NULL ids and labels are left out. Of rows that repeat an id the one with the
+    smallest text is taken."""
     rows = _inputs(docs, id_col, text_col, list(metadata))
     marks = picked(labels, id=id_col, label=label_col).dropna().groupBy("id").agg(
         (F.avg("label") > 0.5).cast("double").alias("label")
@@ -198,7 +204,9 @@ def train(
 
     # Both samples are bounded by their parameters, so they are broadcast.
     wanted = F.broadcast(some.unionAll(rest))
-    sample = rows.join(wanted, "id").withColumn("at", F.xxhash64("id", "text")).drop("id")
+    own = [c for c in rows.columns if c != "id"]
+    one = rows.join(wanted, "id").groupBy("id").agg(F.min(F.struct(*own, "label")).alias("row"))
+    sample = one.select("id", "row.*").withColumn("at", F.xxhash64("id", "text")).drop("id")
     found = sample.mapInPandas(features, schema).toPandas().sort_values("at", kind="stable")
     if not len(found):
         return Model([], [], None, 1.0)
@@ -244,7 +252,10 @@ def keep_good(
     docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text",
     metadata: tuple[str, ...] = ("source", "lang"),
 ) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, with all columns."""
+    """The rows of ``docs`` whose score is at least ``threshold``, with all columns; all
+    rows where no model could be learnt."""
+    if model.joined is None:
+        return docs
     rows = by_place(docs)
     at = lambda name: F.col(place(docs, name))
     found = _scored(model, docs, at(text_col), [at(m) for m in metadata])

@@ -63,7 +63,7 @@ def co_training(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.scores(docs, model)
     return rows.select(
         F.col("id").alias("doc_id"), F.col("content").alias("content_score"),
-        F.col("metadata").alias("metadata_score"), "score", (F.col("score") >= 0.5).alias("kept"),
+        F.col("metadata").alias("metadata_score"), "score", model.kept(F.col("score")).alias("kept"),
     )
 
 

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from edges import edge_docs, edge_rows, no_docs, words
+from pyspark.sql import functions as F
 
 from dataloom.llm import brown_lm, quality
 
@@ -45,6 +47,26 @@ def test_quality_without_labels(spark):
     assert quality.scores(no_docs(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("marks", [[0] * 5, [1] * 5, [0, 0, 0, 1], [1]])
+def test_quality_without_a_model_keeps_all(spark, marks):
+    docs = spark.createDataFrame([(k, words(30, k), "s", "en") for k in range(50)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.joined is None and quality.keep_good(docs, model).count() == 50
+    assert quality.scores(docs, model).where(model.kept(F.col("score"))).count() == 50
+
+
+def test_quality_with_few_of_one_label_and_one_id_repeated(spark):
+    good, bad = (lambda k: words(80, k)), (lambda k: "!!! 000 " * 30 + str(k))
+    rows = [(k, good(k) if k % 9 else bad(k), "s", "en") for k in range(120)] + [(1, good(999 + k), "s", "en") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 9 > 0)) for k in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.joined is not None
+    kept = {r.doc_id for r in quality.keep_good(docs, model).collect()}
+    assert {k for k in range(120) if k % 9} <= kept and not kept & set(range(0, 120, 9))
+
+
 def plain_base(rows):
     def tokens(text):
         return (text or "").encode().lower().split() + [None]
