@@ -31,6 +31,8 @@ ZONE = r" ?(Z|UTC|GMT|([+-])(\d{2}):?(\d{2})?)"
 # Most texts are no dates: one look at the beginning decides that.
 _BEGINNING = r"^(?:\d{1,4}[-/. a-z]|\d{8}|[a-z]{3,9}[., ])"
 
+_PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)?$"
+
 
 def looks_numeric(text: Column) -> Column:
     return text.rlike(NUMBER_PATTERN)
@@ -55,7 +57,8 @@ def parse_datetime(text: Column) -> Column:
             lambda day: _let(F.split(_written(day), "-"), lambda parts: _moment(day, parts, tail)),
         ))
 
-    return F.when(F.lower(text).rlike(_BEGINNING), _let(text, read))
+    # Spark's own parser reads the plainest layout, at a fraction of the work.
+    return F.when(text.rlike(_PLAIN), text.try_cast("timestamp_ntz")).when(F.lower(text).rlike(_BEGINNING), _let(text, read))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
