@@ -22,7 +22,7 @@ def plain_levels(edges, calls):
 @pytest.mark.parametrize("local", [0, 6, tool_calls.LOCAL_NEEDS])
 def test_levels_of_random_graphs(spark, local):
     own, calls, edges = random.Random(local), [], []
-    for c in range(12):
+    for c in range(7):
         names = [f"{k}" for k in range(own.randint(1, 9))]
         calls += [(f"v{c}", n) for n in names]
         pairs = {(own.choice(names), own.choice(names)) for _ in range(own.randint(0, 9))}
