@@ -125,13 +125,35 @@ def symbol_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
     return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def sided(bigrams: DataFrame) -> DataFrame:
-    """``symbol, other, before, n``, a stored table: each bigram for both of its symbols,
-    dealt by symbol, so that a task holds nearly all neighbours of its symbols. A symbol
-    has at most as many rows as there are symbols, twice."""
-    behind = bigrams.select(F.col("a").alias("symbol"), F.col("b").alias("other"), F.lit(False).alias("before"), "n")
-    before = bigrams.where("a <> b").select(F.col("b").alias("symbol"), F.col("a").alias("other"), F.lit(True).alias("before"), "n")
-    return stored(behind.unionByName(before).repartition("symbol"), "sided")
+def neighbours_of(bigrams: DataFrame) -> DataFrame:
+    """``symbols, others, counts``, a stored table of packed arrays (32-bit integers, the
+    counts 64): each bigram for both of its symbols, dealt by symbol, so that a task holds
+    nearly all neighbours of its symbols. A neighbour before the symbol is written as its
+    complement. A symbol has at most as many rows as there are symbols, twice; a pack has
+    a bounded number of them, and reading packs costs no work for each row."""
+    twice = bigrams.select("n", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("symbol"), F.col("b").alias("other")))).otherwise(
+        F.array(F.struct(F.col("a").alias("symbol"), F.col("b").alias("other")), F.struct(F.col("b").alias("symbol"), F.bitwise_not("a").alias("other")))
+    )).alias("of")).select("of.symbol", "of.other", "n").repartition("symbol")
+    names = ["symbols", "others", "counts"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+
+        def rows():
+            parts = [np.concatenate([h[i] for h in held]) for i in range(3)]
+            kinds = (np.int32, np.int32, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([p.astype(t).tobytes()], pa.binary()) for p, t in zip(parts, kinds)], names)
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            room += len(batch)
+            if room >= _ENTRIES:
+                yield rows()
+                held, room = [], 0
+        if held:
+            yield rows()
+
+    return stored(twice.mapInArrow(pack, "symbols binary, others binary, counts binary"), "neighbours")
 
 
 def _contexts(neighbours: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
@@ -146,10 +168,11 @@ def _contexts(neighbours: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
         own = shared.value.astype(np.int64)
         sums = np.zeros(len(own) * wide, np.int64)
         for batch in batches:
-            symbol, other, before, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            symbol = symbol.astype(np.int64)
-            slot = np.where(symbol == other, 2 * k, own[other] + k * before)
-            np.add.at(sums, symbol * wide + slot, n)
+            for row in zip(*batch.columns):
+                symbol, other = (np.frombuffer(row[i].as_buffer(), np.int32).astype(np.int64) for i in range(2))
+                before = other < 0
+                slot = np.where(symbol == other, 2 * k, own[np.where(before, ~other, other)] + k * before)
+                np.add.at(sums, symbol * wide + slot, np.frombuffer(row[2].as_buffer(), np.int64))
         found = np.flatnonzero(sums)
         for at in range(0, len(found), 50_000):
             some = found[at:at + 50_000]
@@ -226,7 +249,7 @@ def exchange(
     turn lower the likelihood, it is taken back and the exchange ends.
     """
     classes = np.concatenate([[0], 1 + np.arange(size - 1) % (k - 1)]).astype(np.int32)
-    neighbours, last = sided(bigrams), None
+    neighbours, last = neighbours_of(bigrams), None
     for turn in range(rounds * _PARTS + 1):
         everything = _contexts(neighbours, classes, k)
         counts = class_bigrams(everything, classes, k)
@@ -313,8 +336,7 @@ def train(
     ).first()
     top = _frequent(vocabulary, symbols)
     table = Symbols({w.encode(): i + 1 for i, w in enumerate(top["word"])}, bundles)
-    bigrams = stored(symbol_bigrams(texts, table), "bigrams")
-    own, counts = exchange(bigrams, table.size, classes, rounds)
+    own, counts = exchange(symbol_bigrams(texts, table), table.size, classes, rounds)
     # From the words seen once and twice; below 1 also where none was seen twice.
     discount = (of[2] + 0.5) / (of[2] + 2 * of[3] + 1)
     # Rare words and their number by class: a bundle's class is that of its words.

@@ -57,7 +57,7 @@ def test_contexts(spark):
     bigrams = spark.createDataFrame([(*p, n) for p, n in pairs.items()], "a int, b int, n long").repartition(3)
     classes, k = np.array([0, 1, 2, 1, 2, 3, 3, 1, 2], np.int32), 4
     got = {}
-    for r in brown_lm._contexts(brown_lm.sided(bigrams), classes, k).collect():
+    for r in brown_lm._contexts(brown_lm.neighbours_of(bigrams), classes, k).collect():
         got[r.symbol, r.slot] = got.get((r.symbol, r.slot), 0) + r.n
     want = {}
     for (a, b), n in pairs.items():
@@ -68,7 +68,7 @@ def test_contexts(spark):
     counts = np.zeros((k, k))
     for (a, b), n in pairs.items():
         counts[classes[a], classes[b]] += n
-    assert (brown_lm.class_bigrams(brown_lm._contexts(brown_lm.sided(bigrams), classes, k), classes, k) == counts).all()
+    assert (brown_lm.class_bigrams(brown_lm._contexts(brown_lm.neighbours_of(bigrams), classes, k), classes, k) == counts).all()
     better, after = brown_lm.exchange(bigrams, 9, k, 3)
     start = np.concatenate([[0], 1 + np.arange(8) % (k - 1)])
     begin = np.zeros((k, k))
