@@ -228,9 +228,9 @@ QUERIES = {
         FROM documents""",
     ),
     "detect_format_pages": (
-        lambda t: profile.detect_format(t.pages.select("html", "url")),
-        """SELECT CASE WHEN ((avg(length(html)) > 100)::INT + (avg(length(url)) > 100)::INT) / 2.0
-          > 0.5 THEN 'text' ELSE 'categorical' END AS format FROM pages""",
+        lambda t: profile.detect_format(t.pages),
+        """SELECT CASE WHEN ((avg(length(html)) > 100)::INT + (avg(length(url)) > 100)::INT) / 3.0
+          > 0.5 THEN 'text' ELSE 'mixed' END AS format FROM pages""",
     ),
     "pair_stats": (
         lambda t: rounded(profile.pair_stats(to_pairs(t.sql(PAIRS), "question", "answer"))),

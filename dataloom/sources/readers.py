@@ -84,13 +84,8 @@ def read_jsonl(
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def explode_records(
-    documents: DataFrame, column: str, record_schema: str, record_path: str | None = None,
-    keep: list[str] = (),
-) -> DataFrame:
-    """Rows from the list field of JSON documents: the named one, else the first in
-    document order that holds a list. A document without a list gives one row itself; one
-    that is not a JSON object stops the job."""
+def _record_lists(documents: DataFrame, column: str, record_path: str | None, keep: list[str]) -> DataFrame:
+    """``_records``: the JSON text of each document's list of records."""
     fields = F.from_json(column, "map<string,string>")
     stop = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(F.trim(column), 1, 100)))
     names = F.json_object_keys(column)
@@ -104,9 +99,18 @@ def explode_records(
         lists = F.filter("_names", lambda n: F.try_element_at("_fields", n).startswith("["))
         body = F.try_element_at("_fields", F.try_element_at(lists, F.lit(1)))
     whole = F.concat(F.lit("["), F.col("_text"), F.lit("]"))
-    records = F.when(body.startswith("["), body).otherwise(whole)
-    return parsed.select(
-        *keep, F.inline(F.from_json(records, f"array<struct<{record_schema}>>"))
+    return parsed.select(*keep, F.when(body.startswith("["), body).otherwise(whole).alias("_records"))
+
+
+def explode_records(
+    documents: DataFrame, column: str, record_schema: str, record_path: str | None = None,
+    keep: list[str] = (),
+) -> DataFrame:
+    """Rows from the list field of JSON documents: the named one, else the first in
+    document order that holds a list. A document without a list gives one row itself; one
+    that is not a JSON object stops the job."""
+    return _record_lists(documents, column, record_path, list(keep)).select(
+        *keep, F.inline(F.from_json("_records", f"array<struct<{record_schema}>>"))
     )
 
 
@@ -123,23 +127,18 @@ def read_json_nested(
     if isinstance(record_schema, T.StructType):
         record_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in record_schema)
     if record_schema is None:
-        record_schema, record_path = _inferred(spark, path, documents, record_path)
+        record_schema = _inferred(documents, record_path)
     return explode_records(documents, "value", record_schema, record_path)
 
 
-def _inferred(
-    spark: SparkSession, path: str, documents: DataFrame, record_path: str | None
-) -> tuple[str, str | None]:
-    whole = spark.read.option("multiLine", True).json(path).schema
-    types = {f.name: f.dataType for f in whole}
-    # Inference sorts the fields; their order in the document decides.
-    names = documents.select(F.json_object_keys("value")).head()[0] or []
-    lists = [n for n in names if isinstance(types.get(n), T.ArrayType)]
-    record_path = record_path or (lists[0] if lists else None)
-    record = types[record_path].elementType if record_path else whole
-    if not isinstance(record, T.StructType):
-        raise ValueError(f"the list {record_path!r} does not hold records")
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in record), record_path
+def _inferred(documents: DataFrame, record_path: str | None) -> str:
+    """The fields of the records of all documents, each with its own list."""
+    lists = _record_lists(documents, "value", record_path, [])
+    records = lists.select(F.explode(F.from_json("_records", "array<string>")).alias("value")).filter("value is not null")
+    fields = DataFrame(documents.sparkSession.read._jreader.json(_strings(records)), documents.sparkSession).schema
+    if not fields or "_corrupt_record" in fields.names:
+        raise ValueError(f"the list {record_path or 'of a document'!r} does not hold records")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
 
 def read_dataset(
