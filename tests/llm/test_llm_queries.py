@@ -19,4 +19,5 @@ def test_rows(spark, folder, name):
     rows = QUERIES[name](spark, folder)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    assert rows.count() == docs if name != "op7_tool_calls" else rows.count() > 0
+    of_conversations = name in ("op7_tool_calls", "op11_turn_repair")
+    assert rows.count() > 0 if of_conversations else rows.count() == docs
