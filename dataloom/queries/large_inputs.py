@@ -1,4 +1,4 @@
-"""Inputs that one task should not hold: single files of many ranges, texts that begin alike,
+"""Inputs that one task should not hold: files of many ranges, texts that begin alike,
 tables that grow, vocabularies beyond a broadcast, metrics of any shape."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from dataloom.operators import catalog, pairs, profile, runs
 from dataloom.plans.shared import scratch_path
 from dataloom.queries.pairs_runs import VOCABULARY, encoded_sql, pairs_of
-from dataloom.queries.preview_sources import as_documents
+from dataloom.queries.preview_sources import as_documents, in_files
 from dataloom.queries.tables import Tables, duck, text_list, union_all
 from dataloom.sources import readers, writers
 
@@ -21,18 +21,18 @@ FROM {orders})
 
 
 def _csv_multiline(t: Tables) -> DataFrame:
-    """One file; the types are inferred."""
+    """Files of many ranges; the types are inferred."""
     path = scratch_path(t.spark, "csv")
-    writers.write_csv(t.sql(NOTES).repartition(1), path)
+    writers.write_csv(in_files(t.sql(NOTES)), path)
     return readers.read_csv(t.spark, path).select(
         F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", F.col("o_custkey").cast("long").alias("o_custkey")
     )
 
 
 def _json_one_line(t: Tables) -> DataFrame:
-    """One file without a line end."""
+    """Files of many ranges without a line end."""
     path = scratch_path(t.spark, "json")
-    as_documents(t.documents.repartition(1), "[", "]", path, ending=" ")
+    as_documents(in_files(t.documents), "[", "]", path, ending=" ")
     return readers.read_json(t.spark, path, t.documents.schema)
 
 

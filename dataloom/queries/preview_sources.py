@@ -17,6 +17,17 @@ from dataloom.queries.tables import (
 )
 from dataloom.sources import readers, writers
 
+# Bytes of JSON text in a file: two ranges or more of Spark's usual size.
+FILE_BYTES = 1 << 28
+
+
+def in_files(rows: DataFrame, least: int = 1) -> DataFrame:
+    """The rows dealt to the tasks that write a file each: ``least`` files while these hold
+    FILE_BYTES each at most, and more when they would not."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return rows.repartition(max(least, -(-size // FILE_BYTES)))
+
+
 def as_documents(df: DataFrame, opening: str, closing: str, path: str, ending: str = "\n") -> None:
     """Write files that each hold one JSON document around a list of one partition's rows."""
     def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
