@@ -11,7 +11,7 @@ from dataloom.functions.columns import require_columns
 from dataloom.operators import charts, clean, features, pairs, preview, profile, versions
 from dataloom.plans.shared import scratch_path
 from dataloom.queries.preview_sources import as_documents
-from dataloom.queries.tables import Tables, duck, rounded, union_all
+from dataloom.queries.tables import Tables, dealt_anew, duck, rounded, union_all
 from dataloom.sources import readers
 
 # Three texts of equal number that differ behind their hundredth character.
@@ -93,7 +93,7 @@ def _sample_holds(t: Tables) -> DataFrame:
     """Size, distinctness, origin and repeatability of a sample."""
     key = ["l_orderkey", "l_linenumber"]
     lines = t.lineitem.groupBy(*key).agg(F.count("*").alias("copies"))
-    one, again = preview.sample(lines, key, 100, 3), preview.sample(lines.repartition(5, "l_linenumber"), key, 100, 3)
+    one, again = preview.sample(lines, key, 100, 3), preview.sample(dealt_anew(lines, "l_linenumber", "l_orderkey"), key, 100, 3)
     return one.withColumn("own", F.lit(1)).join(again, key, "full").join(lines.select(*key, F.lit(1).alias("there")), key, "left").agg(
         F.count("*").alias("rows"), F.count("own").alias("sampled"), F.count("there").alias("found")
     )
@@ -101,7 +101,7 @@ def _sample_holds(t: Tables) -> DataFrame:
 
 def _hash_holds(t: Tables) -> DataFrame:
     """A fingerprint does not see row order and sees one edit."""
-    moved = t.lineitem.repartition(7, "l_partkey").sortWithinPartitions("l_tax")
+    moved = dealt_anew(t.lineitem, "l_partkey", "l_orderkey").sortWithinPartitions("l_tax")
     edited = t.lineitem.withColumn("l_tax", F.when(
         (F.col("l_orderkey") == t.lineitem.agg(F.max("l_orderkey")).first()[0]), F.col("l_tax") + 1
     ).otherwise(F.col("l_tax")))
@@ -116,7 +116,7 @@ def _hash_holds(t: Tables) -> DataFrame:
 def _split_holds(t: Tables) -> DataFrame:
     """Exact test size; the same split after the rows were dealt anew."""
     one = pairs.train_test_split(t.orders, "o_orderkey", 0.1, seed=1).select("o_orderkey", "split")
-    again = pairs.train_test_split(t.orders.repartition(6, "o_custkey"), "o_orderkey", 0.1, seed=1)
+    again = pairs.train_test_split(dealt_anew(t.orders, "o_custkey", "o_orderkey"), "o_orderkey", 0.1, seed=1)
     both = one.join(again.select("o_orderkey", F.col("split").alias("other")), "o_orderkey")
     return both.groupBy("split").agg(F.count("*").alias("rows"), F.count_if(F.col("split") == F.col("other")).alias("same"))
 

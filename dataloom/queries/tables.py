@@ -101,6 +101,12 @@ class Tables:
         return self.spark.sql(f"SELECT * FROM {text}", **used)
 
 
+def dealt_anew(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows in other tasks, as many as the session shuffles into; ``columns`` tell
+    rows apart, so that no task gets many more than others."""
+    return df.repartition(*columns)
+
+
 # The benchmark turns the rounding off: it serves the comparison, not the operator.
 ROUND = True
 

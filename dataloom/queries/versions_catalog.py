@@ -12,7 +12,7 @@ from dataloom.plans.shared import scratch_path
 from dataloom.queries.profiling import (
     ORDERS, distinct_sql, missing_sql, numbers_of, numeric_sql,
 )
-from dataloom.queries.tables import DIRTY_ORDERS, ORDERS_V2, Tables, duck, rounded, union_all
+from dataloom.queries.tables import DIRTY_ORDERS, ORDERS_V2, Tables, dealt_anew, duck, rounded, union_all
 
 # Each customer is a dataset and each order one of its versions.
 MANIFEST = """
@@ -207,7 +207,7 @@ QUERIES = {
     ),
     "pending_nothing": (
         lambda t: versions.pending_changes(
-            t.lineitem, t.lineitem.repartition(5, "l_partkey").sortWithinPartitions("l_tax")),
+            t.lineitem, dealt_anew(t.lineitem, "l_partkey", "l_orderkey").sortWithinPartitions("l_tax")),
         "SELECT 0::BIGINT AS rows_diff, 0::BIGINT AS columns_diff, true AS unchanged",
     ),
     "catalog_profile": (_stored_profile, _profile_sql()),

@@ -1,7 +1,7 @@
 """What one task reads and holds does not grow with the table."""
 
 from dataloom.plans.shared import scratch_path
-from dataloom.queries import preview_sources
+from dataloom.queries import preview_sources, tables
 from dataloom.sources import readers
 
 
@@ -15,3 +15,18 @@ def test_written_files_have_a_bounded_size(spark, monkeypatch):
     assert sorted(readers.read_json(spark, path, rows.schema).collect()) == sorted(rows.collect())
     assert preview_sources.in_files(rows.limit(3), 2).rdd.getNumPartitions() == 2
     assert preview_sources.in_files(rows.limit(0)).rdd.getNumPartitions() == 1
+
+
+def test_rows_are_dealt_anew_by_their_size(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = spark.range(1000).selectExpr("id", "nullif(id % 100, 7) AS k")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        moved = tables.dealt_anew(rows, "k", "id")
+        assert moved.rdd.getNumPartitions() == 23
+        assert sorted(r.id for r in moved.sortWithinPartitions("id").collect()) == list(range(1000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
