@@ -19,6 +19,9 @@ from dataloom.plans.one_row import as_struct, with_row
 from dataloom.plans.positions import with_running
 from dataloom.plans.quantiles import attach, group_quantiles
 
+# Positions of a sorted table that one task brings together.
+POSITIONS = 1 << 18
+
 
 def _value(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, canonicalised: the scan reads nothing else."""
@@ -75,7 +78,7 @@ def smoothed_sorted(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     The window is floor(rows / 10), or all rows when there are at most ten. Means come
     from running sums: row i needs the sum up to the last row of its window and the sum
     before the first, so each row sends its running sum to the two rows that need it
-    and one grouping by position brings the three together.
+    and one grouping by position brings the three together, in tasks of POSITIONS each.
     """
     rows = canonicalise(
         df.select(*[quoted(k).alias(k) for k in key], quoted(column).cast("double").alias("x"))
@@ -102,9 +105,11 @@ def smoothed_sorted(df: DataFrame, column: str, key: list[str]) -> DataFrame:
         part(point, "own"), part(point - above, "upto"), part(point + below + 1, "before"),
     )).alias("m")).filter((F.col("m.at") >= 0) & (F.col("m.at") < n))
     names = [*key, "x", *[f"{r}_{c}" for r in ("upto", "before") for c in ("run_sum", "run_count")]]
-    met = sent.groupBy(F.col("m.at").alias("position")).agg(
-        *[F.max(F.col("m").getField(c)).alias(c) for c in names]
-    )
+    # Dealt before it is grouped: what arrives together has few positions, where a
+    # task's own share of the rows has one for nearly each.
+    tasks = 1 + totals.first()["n"] // POSITIONS
+    dealt = sent.select("m.*").repartition(tasks, "at")
+    met = dealt.groupBy(F.col("at").alias("position")).agg(*[F.max(quoted(c)).alias(c) for c in names])
     met = with_row(met, totals)
     total = F.coalesce(F.col("upto_run_sum"), F.col("_stats.sum")) - F.coalesce(
         F.col("before_run_sum"), F.lit(0.0)

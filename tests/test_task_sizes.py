@@ -1,5 +1,6 @@
 """What one task reads and holds does not grow with the table."""
 
+from dataloom.operators import charts
 from dataloom.plans.shared import scratch_path
 from dataloom.queries import preview_sources, tables
 from dataloom.sources import readers
@@ -30,3 +31,20 @@ def test_rows_are_dealt_anew_by_their_size(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sums_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(charts, "POSITIONS", 10)
+    rows = spark.range(95).selectExpr("id", "nullif(id * 7 % 95, 3) AS v")
+    got = charts.smoothed_sorted(rows, "v", ["id"])
+    # 95 positions in ten tasks, dealt before they are grouped.
+    assert "hashpartitioning(at" in (plan := plan_of(got)) and ", 10), REPARTITION_BY_NUM" in plan
+    values = sorted(v for v in range(95) if v != 3) + [None]
+    for r in got.collect():
+        near = [v for v in values[max(0, r.position - 4):r.position + 5] if v is not None]
+        assert r.x == values[r.position] and r.smoothed == sum(near) / len(near)
+    assert charts.smoothed_sorted(rows.limit(0), "v", ["id"]).collect() == []
