@@ -42,7 +42,7 @@ def _json_ranges(t: Tables) -> DataFrame:
     rows = t.orders.select(
         "o_orderkey", F.array(F.struct(F.lit("}]\"{").alias("sign"), F.col("o_custkey").alias("key")), F.struct(F.lit(None).cast("string").alias("sign"), F.lit(1).cast("long").alias("key"))).alias("parts"),
     )
-    as_documents(rows.repartition(2), "[", "]", path)
+    as_documents(in_files(rows, 2), "[", "]", path)
     return readers.read_json(t.spark, path).select(
         "o_orderkey", F.col("parts")[0]["sign"].alias("sign"), F.col("parts")[0]["key"].alias("o_custkey"), F.size("parts").cast("long").alias("n")
     )

@@ -59,13 +59,14 @@ def _walked(pieces: DataFrame, walk: Callable[[], Callable], columns: dict[str,
 
 def _begun(pieces: DataFrame, ends: list[str], chain: Callable[[pd.DataFrame], pd.DataFrame], kinds: str) -> DataFrame:
     """How each range really begins: ``chain`` composes the last rows of a file's ranges."""
-    last = pieces.groupBy(*_KEYS).agg(F.max_by(F.struct(*ends), "row").alias("last"))
+    # Each column by itself: a struct would have the pieces sorted, not hashed, by range.
+    last = pieces.groupBy(*_KEYS).agg(*[F.max_by(c, "row").alias(c) for c in ends])
     schema = f"file string, block long, {kinds}"
 
     def run(ranges: pd.DataFrame) -> pd.DataFrame:
         return chain(ranges.sort_values("block").reset_index(drop=True))
 
-    return stored(last.select(*_KEYS, "last.*").groupBy("file").applyInPandas(run, schema), "ranges")
+    return stored(last.groupBy("file").applyInPandas(run, schema), "ranges")
 
 
 def _with_beginnings(pieces: DataFrame, begun: DataFrame) -> DataFrame:

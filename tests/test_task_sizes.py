@@ -1,9 +1,9 @@
 """What one task reads and holds does not grow with the table."""
 
 from dataloom.operators import charts
-from dataloom.plans.shared import scratch_path
+from dataloom.plans.shared import scratch_path, stored
 from dataloom.queries import preview_sources, tables
-from dataloom.sources import readers
+from dataloom.sources import readers, record_ranges
 
 
 def test_written_files_have_a_bounded_size(spark, monkeypatch):
@@ -48,3 +48,12 @@ def test_running_sums_meet_in_tasks_of_bounded_size(spark, monkeypatch):
         near = [v for v in values[max(0, r.position - 4):r.position + 5] if v is not None]
         assert r.x == values[r.position] and r.smoothed == sum(near) / len(near)
     assert charts.smoothed_sorted(rows.limit(0), "v", ["id"]).collect() == []
+
+
+def test_ends_of_ranges_are_found_without_a_sort(spark, monkeypatch, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": [{"b": 1}, {"b": 2}]}, {"a": []}]')
+    plans = []
+    monkeypatch.setattr(record_ranges, "stored", lambda df, name: (plans.append((name, plan_of(df))), stored(df, name))[1])
+    assert sorted(r.n for r in readers.read_json(spark, str(tmp_path)).selectExpr("size(a) AS n").collect()) == [0, 2]
+    (plan,) = [p for n, p in plans if n == "ranges"]
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
