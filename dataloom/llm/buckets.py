@@ -1,11 +1,16 @@
 """Links between the members of buckets, without all pairs of a bucket.
 
-A bucket's smallest member is its hub. First every member is compared with its hub only:
-n rows for n members. Verified links are joined to components. What may then still be
-missing is a link between members of different components, so the members outside their
-hub's component - the stragglers - are compared with the members of other components.
-Every pair of a bucket is in the end compared or lies in one component already: no link
-between components is lost, and a bucket of n copies costs about n comparisons.
+One member of a bucket is its hub, picked by the bucket, so that a node of several buckets
+meets several hubs. First every member is compared with its hub only: n rows for n members.
+Verified links are joined to components. What may then still be missing is a link between
+members of different components, so in one more round the members outside their hub's
+component - the stragglers - are compared with one straggler and one member at home,
+picked anew, and components are joined again: 2 n rows at most. Only the stragglers that
+still remain are compared with all members of other components. Every pair of a bucket is in
+the end compared or lies in one component already: no link between components is lost, a
+bucket of n copies costs about n comparisons, and one of n near copies a few times n. Many
+members of one bucket that allow a link by their sketches and yet have none are the
+exception: their pairs are all compared.
 """
 
 from __future__ import annotations
@@ -17,6 +22,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dataloom.llm.components import components
 from dataloom.plans.shared import stored
 
+# Turns in which stragglers are compared with picked members before those with all.
+ROUNDS = 1
+
+
+def _pick(node: Column, turn: int) -> Column:
+    """One node of a bucket, another one by bucket and turn: the smallest after bits are
+    turned over that both decide."""
+    mask = F.xxhash64("bucket", F.lit(turn))
+    return F.min(node.bitwiseXOR(mask))
+
+
+def _unmasked(picked: Column, turn: int) -> Column:
+    return picked.bitwiseXOR(F.xxhash64("bucket", F.lit(turn)))
+
 
 def _shared(members: DataFrame) -> DataFrame:
     """``bucket, node, hub`` of the buckets with more than one node.
@@ -27,8 +46,37 @@ def _shared(members: DataFrame) -> DataFrame:
     hashed = members.withColumn("short", F.hash("bucket"))
     often = hashed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
     some = hashed.join(often, "short", "left_semi").select("bucket", "node")
-    hubs = some.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    return some.join(hubs.drop("top"), "bucket").select("bucket", "node", "hub").distinct()
+    hubs = some.groupBy("bucket").agg(
+        F.min("node").alias("low"), F.max("node").alias("top"), _pick(F.col("node"), 0).alias("hub")
+    ).where("low < top").select("bucket", _unmasked(F.col("hub"), 0).alias("hub"))
+    return some.join(hubs, "bucket").select("bucket", "node", "hub").distinct()
+
+
+def _tagged(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, node, root, hub_root`` of all members but the hubs."""
+    of_node = roots.select("node", F.col("root").alias("node_root"))
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    return shared.where("node <> hub").join(of_node, "node", "left").join(of_hub, "hub", "left").select(
+        "bucket", "node", F.coalesce("node_root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")
+    )
+
+
+def _with_stragglers(tagged: DataFrame) -> DataFrame:
+    """What lies in a bucket that has stragglers."""
+    open_buckets = tagged.where("root <> hub_root").select("bucket").distinct()
+    return tagged.join(open_buckets, "bucket", "left_semi")
+
+
+def _picked_pairs(tagged: DataFrame, turn: int) -> DataFrame:
+    """``a, b``, each once: stragglers with one straggler and with one member at home."""
+    away, node = F.col("root") != F.col("hub_root"), F.col("node")
+    picks = tagged.groupBy("bucket").agg(
+        _pick(F.when(away, node), turn).alias("away"), _pick(F.when(~away, node), turn).alias("home")
+    )
+    others = F.explode(F.array(_unmasked(F.col("away"), turn), _unmasked(F.col("home"), turn))).alias("other")
+    return tagged.where(away).select("bucket", "node").join(picks, "bucket").select("node", others).where(
+        "other <> node"
+    ).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def linked(
@@ -46,17 +94,24 @@ def linked(
     shared = stored(_shared(members), "buckets")
     known, verified = prepared(stored(shared.select("node").distinct(), "nodes"))
     of_a, of_b = (known.select(F.col("node").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in "ab")
-    pairs = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    possible = pairs.join(of_b, "b").join(of_a, (pairs["a"] == of_a["a"]) & near(of_a["a_sketch"], F.col("b_sketch")))
-    sure = stored(verified(possible.select(pairs["a"], pairs["b"])), "links")
-    roots = components(sure)
-    of_node = roots.select("node", F.col("root").alias("node_root"))
-    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    tagged = stored(
-        shared.where("node <> hub").join(of_node, "node", "left").join(of_hub, "hub", "left").join(known, "node").select(
-            "bucket", "node", "sketch", F.coalesce("node_root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")
-        ), "tagged",
-    )
+
+    def links(pairs: DataFrame) -> DataFrame:
+        possible = pairs.join(of_b, "b").join(of_a, (pairs["a"] == of_a["a"]) & near(of_a["a_sketch"], F.col("b_sketch")))
+        return stored(verified(possible.select(pairs["a"], pairs["b"])), "links")
+
+    def joined(more: DataFrame) -> DataFrame:
+        # What earlier links have joined is a star by now.
+        return components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    roots = components(links(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
+    tagged = stored(_with_stragglers(_tagged(shared, roots)), "tagged")
+    for turn in range(1, ROUNDS + 1):
+        more = links(_picked_pairs(tagged, turn))
+        if more.isEmpty():
+            break
+        roots = joined(more)
+        tagged = stored(_with_stragglers(_tagged(shared, roots)), "tagged")
+    tagged = tagged.join(known, "node")
     stray = tagged.where("root <> hub_root").select(
         F.col("bucket").alias("of"), F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("sketch").alias("a_sketch")
     )
@@ -65,7 +120,4 @@ def linked(
         & ((F.col("root") == F.col("hub_root")) | (F.col("a") < F.col("node"))) & near(F.col("a_sketch"), F.col("sketch")),
     ).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     late = stored(verified(rest), "links")
-    if late.isEmpty():
-        return roots
-    # What the first links have joined is a star by now.
-    return components(late.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots if late.isEmpty() else joined(late)

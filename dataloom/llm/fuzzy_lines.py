@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 _FILTER_BITS = 26
 # Lines that one task remembers, so as not to sign a repeated line again.
 _MEMORY = 200_000
+# Bits of a line's parity map: the longest lines still tell apart in them.
+MAP_BITS = 1 << 10
 # Characters signed at once.
 _AT_ONCE = 1 << 18
 _FLIP, _ODD = np.random.default_rng(20240229).integers(0, 1 << 32, (2, BANDS * VALUES), dtype=np.uint32) | np.array([[0], [1]], np.uint32)
@@ -67,10 +69,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signed(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line: its buckets (lines, BANDS); the number of its shingles; and their
-    parity map (lines, 8), in which each shingle turns over one of 512 bits. Two maps
-    differ in at most as many bits as the sets differ in shingles."""
+def _distinct(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each line's distinct shingles, line after line, and their numbers."""
     codes = [np.frombuffer(l.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32) for l in lines]
     # A line shorter than a shingle is filled up, with a character that texts do not hold.
     codes = [c if len(c) >= size else np.pad(c, (0, size - len(c)), constant_values=0x110000) for c in codes]
@@ -91,11 +91,22 @@ def signed(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(hashes), bool)
     new[1:] = hashes[1:] != hashes[:-1]
     new[before] = True
-    counts = np.add.reduceat(new, before, dtype=np.int64)
+    return hashes[new], np.add.reduceat(new, before, dtype=np.int64)
+
+
+def sketches(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Of every line: the number of its shingles; and their parity map (lines, 16), in
+    which each shingle turns over one of 1024 bits. Two maps differ in at most as many bits
+    as the sets differ in shingles."""
+    all_of, counts = _distinct(lines, size)
+    bits = np.repeat(np.arange(len(lines)) * MAP_BITS, counts) + (all_of >> np.uint64(54)).astype(np.int64)
+    odd = np.bincount(bits, minlength=len(lines) * MAP_BITS).astype(np.uint8) & 1
+    return counts, np.packbits(odd).reshape(-1, MAP_BITS // 8).view(np.int64)
+
+
+def _buckets(lines: list[bytes], size: int) -> np.ndarray:
+    all_of, counts = _distinct(lines, size)
     firsts = np.cumsum(counts) - counts
-    all_of = hashes[new]
-    bits = np.repeat(np.arange(len(lines)) * 512, counts) + (all_of >> np.uint64(55)).astype(np.int64)
-    parity = np.packbits(np.bincount(bits, minlength=len(lines) * 512).astype(np.uint8) & 1).reshape(-1, 64)
     low = all_of.astype(np.uint32)
     turned, out = np.empty_like(low), np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
@@ -104,19 +115,24 @@ def signed(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
             np.multiply(low ^ _FLIP[i], _ODD[i], out=turned)
             key = _mixed((key ^ np.minimum.reduceat(turned, firsts)) * _STEP)
         out[:, band] = key
-    return out.view(np.int64), counts, parity.view(np.int64)
+    return out.view(np.int64)
 
 
 def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     """Buckets of every line: (lines, BANDS) signed longs."""
-    return signed([line.encode("utf-8", "surrogatepass") for line in lines], size)[0]
+    return _buckets([line.encode("utf-8", "surrogatepass") for line in lines], size)
+
+
+def signed(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line: its buckets, the number of its shingles and their parity map."""
+    return _buckets(lines, size), *sketches(lines, size)
 
 
 def may_be_near(left: Column, right: Column, least: float) -> Column:
     """Whether two sketches allow the similarity: sets of a and b shingles that are so
     near differ in at most (a + b) * (1 - least) / (1 + least) of them."""
     differing = reduce(Column.__add__, [
-        F.bit_count(F.get(left["parity"], F.lit(i)).bitwiseXOR(F.get(right["parity"], F.lit(i)))) for i in range(8)
+        F.bit_count(F.get(left["parity"], F.lit(i)).bitwiseXOR(F.get(right["parity"], F.lit(i)))) for i in range(MAP_BITS // 64)
     ])
     allowed = (left["n"] + right["n"]) * ((1 - least) / (1 + least)) + 1e-9
     return (F.abs(left["n"] - right["n"]) <= allowed) & (differing <= allowed)
@@ -145,7 +161,7 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
             def flush():
                 if not at:
                     return None
-                buckets = signed(fresh, size)[0] if fresh else np.empty((0, BANDS), np.int64)
+                buckets = _buckets(fresh, size) if fresh else np.empty((0, BANDS), np.int64)
                 take = pa.array(at, pa.int64())
                 return pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()),
@@ -227,7 +243,7 @@ def _sketched(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                _, n, parity = signed([t.as_py().encode("utf-8", "surrogatepass") for t in part.column(1)], size)
+                n, parity = sketches([t.as_py().encode("utf-8", "surrogatepass") for t in part.column(1)], size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int32()), _lists(parity, np.ones(len(part), bool))],
                     ["node", "text", "n", "parity"],
