@@ -45,11 +45,11 @@ def _shared(members: DataFrame) -> DataFrame:
     """
     hashed = members.withColumn("short", F.hash("bucket"))
     often = hashed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
-    some = hashed.join(often, "short", "left_semi").select("bucket", "node")
+    some = stored(hashed.join(often, "short", "left_semi").select("bucket", "node").distinct(), "often")
     hubs = some.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("top"), _pick(F.col("node"), 0).alias("hub")
     ).where("low < top").select("bucket", _unmasked(F.col("hub"), 0).alias("hub"))
-    return some.join(hubs, "bucket").select("bucket", "node", "hub").distinct()
+    return some.join(hubs, "bucket").select("bucket", "node", "hub")
 
 
 def _tagged(shared: DataFrame, roots: DataFrame) -> DataFrame:
