@@ -43,10 +43,19 @@ _ENTRIES = 400_000
 # Weight of the class's own frequency beside its transitions.
 _PRIOR = 10.0
 END = 0
+_PACKS = ["symbols", "others", "counts"]
+_KINDS = (np.int32, np.int32, np.int64)
+_PIECES = "part int, symbols binary, others binary, counts binary"
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | bytes) -> list[bytes]:
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """Texts as their UTF-8 bytes, some at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).cast(pa.binary()).to_pylist()
 
 
 def held_out(id_column: Column) -> Column:
@@ -66,8 +75,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
+            for text in _bytes(batch.column(0)):
+                counts.update(words_of(text))
                 if len(counts) >= _ENTRIES:
                     yield rows()
                     counts.clear()
@@ -90,70 +99,127 @@ class Symbols:
     def bundle(self, word: bytes) -> int:
         return 1 + len(self.words) + zlib.crc32(word[-3:]) % self.bundles
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of a text, between two ends."""
+    def found(self, words: list[bytes]) -> np.ndarray:
+        """The symbol of each word."""
         found = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         rare = np.flatnonzero(found < 0)
         found[rare] = np.fromiter((self.bundle(words[i]) for i in rare.tolist()), np.int64, len(rare))
-        return np.concatenate([[END], found, [END]])
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Symbols of a text, between two ends."""
+        return np.concatenate([[END], self.found(words), [END]])
+
+
+def _pieces(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """``part, symbols, others, counts``: each bigram for both of its symbols, packed by
+    part of the symbols. A neighbour before the symbol is written as its complement."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    yield from _dealt(a, b, n, parts)
+    apart = a != b
+    yield from _dealt(b[apart], ~a[apart], n[apart], parts)
+
 
+def _dealt(symbol: np.ndarray, other: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    part = (symbol % parts).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    some = max(1, parts // 16)  # parts that are passed on at once
+    for at in range(0, parts, some):
+        cut = [0, *ends.tolist()][at:at + some + 1]
+        there = [i for i in range(len(cut) - 1) if cut[i] < cut[i + 1]]
+        packs = [v[order[cut[0]:cut[-1]]].astype(kind) for v, kind in zip((symbol, other, n), _KINDS)]
+        if there:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([at + i for i in there], pa.int32()),
+                *(pa.array([v[cut[i] - cut[0]:cut[i + 1] - cut[0]].tobytes() for i in there], pa.binary()) for v in packs),
+            ], ["part", *_PACKS])
 
-def symbol_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """``a, b, n``: how often symbol b follows symbol a."""
-    shared = texts.sparkSession.sparkContext.broadcast(symbols)
+
+def _parts(texts: DataFrame) -> int:
+    """Parts of the symbols: some for each task that the session shuffles into."""
+    return min(1 << 14, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _together(pieces: DataFrame) -> DataFrame:
+    """``symbols, others, counts``, a stored table of packed arrays (32-bit integers, the
+    counts 64), dealt by symbol, so that a task holds nearly all neighbours of its symbols.
+
+    A task adds up what it meets of the same neighbours as long as that makes them fewer;
+    it holds a bounded number of them, and some may be in more than one pack. Packs are
+    moved and read without work for each row.
+    """
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        pairs, n = (np.concatenate([h[i] for h in held]) for i in range(2))
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        return pairs[first], np.add.reduceat(n[order], first)
+
+    def rows(pairs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(pairs), _ENTRIES):
+            some = pairs[at:at + _ENTRIES]
+            values = ((some >> 32), some & 0xFFFFFFFF, n[at:at + _ENTRIES])
+            kinds = (np.int32, np.uint32, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(values, kinds)], _PACKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns[1:]):
+                symbol, other, n = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, _KINDS))
+                held.append(((symbol.astype(np.int64) << 32) | other.view(np.uint32), n))
+                room += len(n)
+                if room >= 4 * _ENTRIES:
+                    held = [added(held)]
+                    room = len(held[0][0])
+                    if room >= 2 * _ENTRIES:
+                        yield from rows(*held[0])
+                        held, room = [], 0
+        if held:
+            yield from rows(*added(held))
+
+    return stored(pieces.repartition("part").mapInArrow(run, "symbols binary, others binary, counts binary"), "neighbours")
+
+
+def text_neighbours(texts: DataFrame, symbols: Symbols) -> DataFrame:
+    """``symbols, others, counts``: how often symbols follow each other in the texts (column
+    ``text``), as ``neighbours_of`` has them."""
+    shared, parts = texts.sparkSession.sparkContext.broadcast(symbols), _parts(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, held, room = shared.value.size, [], 0
 
         def rows():
             pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(n)], ["a", "b", "n"]
-            )
+            held.clear()
+            yield from _pieces(pairs // size, pairs % size, n, parts)
 
         for batch in batches:
-            for text in batch.column(0):
-                own = shared.value.of(words_of(text.as_py()))
+            for text in _bytes(batch.column(0)):
+                own = shared.value.of(words_of(text))
                 held.append(own[:-1] * size + own[1:])
                 room += len(own)
-                if room >= 8 * _ENTRIES:
-                    yield rows()
-                    held, room = [], 0
+                if room >= 4 * _ENTRIES:
+                    yield from rows()
+                    room = 0
         if held:
-            yield rows()
+            yield from rows()
 
-    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _together(texts.select("text").mapInArrow(run, _PIECES))
 
 
 def neighbours_of(bigrams: DataFrame) -> DataFrame:
-    """``symbols, others, counts``, a stored table of packed arrays (32-bit integers, the
-    counts 64): each bigram for both of its symbols, dealt by symbol, so that a task holds
-    nearly all neighbours of its symbols. A neighbour before the symbol is written as its
-    complement. A symbol has at most as many rows as there are symbols, twice; a pack has
-    a bounded number of them, and reading packs costs no work for each row."""
-    twice = bigrams.select("n", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("symbol"), F.col("b").alias("other")))).otherwise(
-        F.array(F.struct(F.col("a").alias("symbol"), F.col("b").alias("other")), F.struct(F.col("b").alias("symbol"), F.bitwise_not("a").alias("other")))
-    )).alias("of")).select("of.symbol", "of.other", "n").repartition("symbol")
-    names = ["symbols", "others", "counts"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room = [], 0
-
-        def rows():
-            parts = [np.concatenate([h[i] for h in held]) for i in range(3)]
-            kinds = (np.int32, np.int32, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([p.astype(t).tobytes()], pa.binary()) for p, t in zip(parts, kinds)], names)
+    """``symbols, others, counts`` of bigrams ``a, b, n`` (symbol b follows symbol a n
+    times; a pair may be in more than one row): each for both of its symbols."""
+    parts = _parts(bigrams)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            room += len(batch)
-            if room >= _ENTRIES:
-                yield rows()
-                held, room = [], 0
-        if held:
-            yield rows()
+            if len(batch):
+                yield from _pieces(*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)), parts)
 
-    return stored(twice.mapInArrow(pack, "symbols binary, others binary, counts binary"), "neighbours")
+    return _together(bigrams.select("a", "b", "n").mapInArrow(run, _PIECES))
 
 
 def _contexts(neighbours: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
@@ -242,14 +308,22 @@ def likelihood(counts: np.ndarray) -> float:
 def exchange(
     bigrams: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each symbol, and how often class j follows class i.
+    """The class of each symbol, and how often class j follows class i, from ``a, b, n``."""
+    return clustered(neighbours_of(bigrams), size, k, rounds)
+
+
+def clustered(
+    neighbours: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each symbol, and how often class j follows class i, from stored
+    ``symbols, others, counts``.
 
     Class 0 holds the end alone; other symbols begin dealt by rank. A turn is one pass over
     the bigrams; then a part of the symbols moves, all against the same counts. Should a
     turn lower the likelihood, it is taken back and the exchange ends.
     """
     classes = np.concatenate([[0], 1 + np.arange(size - 1) % (k - 1)]).astype(np.int32)
-    neighbours, last = neighbours_of(bigrams), None
+    last = None
     for turn in range(rounds * _PARTS + 1):
         everything = _contexts(neighbours, classes, k)
         counts = class_bigrams(everything, classes, k)
@@ -258,7 +332,7 @@ def exchange(
         if turn == rounds * _PARTS:
             break
         last = classes.copy(), counts
-        shared = bigrams.sparkSession.sparkContext.broadcast((counts, classes))
+        shared = neighbours.sparkSession.sparkContext.broadcast((counts, classes))
 
         def move(part: pd.DataFrame) -> pd.DataFrame:
             counts, classes = shared.value
@@ -336,7 +410,7 @@ def train(
     ).first()
     top = _frequent(vocabulary, symbols)
     table = Symbols({w.encode(): i + 1 for i, w in enumerate(top["word"])}, bundles)
-    own, counts = exchange(symbol_bigrams(texts, table), table.size, classes, rounds)
+    own, counts = clustered(text_neighbours(texts, table), table.size, classes, rounds)
     # From the words seen once and twice; below 1 also where none was seen twice.
     discount = (of[2] + 0.5) / (of[2] + 2 * of[3] + 1)
     # Rare words and their number by class: a bundle's class is that of its words.
@@ -346,7 +420,7 @@ def train(
         table, own = shared.value
         sums = np.zeros(len(own), np.int64)
         for batch in batches:
-            rare = [w for w in (x.as_py().encode() for x in batch.column(0)) if w not in table.words]
+            rare = [w for w in _bytes(batch.column(0)) if w not in table.words]
             np.add.at(sums, np.fromiter(map(table.bundle, rare), np.int64, len(rare)), 1)
         by = np.bincount(own, sums, classes).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes, dtype=np.int32)), pa.array(by)], ["class", "n"])
@@ -385,23 +459,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **gi
         plain = np.log10((m.counts + 0.5) / m.base)
         plain[first_bundle:] = 0.0
         names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "classes"]
+        def scored(batch: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
+            words = [w for text in texts for w in text]
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            first = np.cumsum(lengths) - lengths
+            # Each text's words and its end; the end of one text also stands before the next.
+            tokens, is_word = np.full(lengths.sum(), END), np.ones(lengths.sum(), bool)
+            is_word[first + lengths - 1] = False
+            tokens[is_word] = m.symbols.found(words)
+            kinds = m.classes[tokens]
+            rare = tokens >= first_bundle
+            n_rare = np.add.reduceat(rare, first, dtype=np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32))
+            step = m.step[np.roll(kinds, 1), kinds]
+            return pa.RecordBatch.from_arrays([
+                *(batch.column(i) for i in range(3)), pa.array(lengths),
+                pa.array(lengths - n_rare - int(m.counts[END] == 0)),
+                pa.array(np.add.reduceat(plain[tokens], first)), pa.array(np.add.reduceat(step + emit[tokens], first)),
+                pa.ListArray.from_arrays(offsets, pa.array([words[i] for i in np.flatnonzero(rare[is_word]).tolist()], pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array(kinds[rare].astype(np.int32))),
+            ], names)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text in batch.column(3):
-                words = words_of(text.as_py())
-                own = m.symbols.of(words)
-                kinds, tokens = m.classes[own], own[1:]
-                rare = np.flatnonzero(tokens >= first_bundle)
-                out[0].append(len(tokens))
-                out[1].append(len(tokens) - len(rare) - int(m.counts[END] == 0))
-                out[2].append(float(plain[tokens].sum()))
-                out[3].append(float(m.step[kinds[:-1], kinds[1:]].sum() + emit[tokens].sum()))
-                out[4].append([words[i] for i in rare])
-                out[5].append(kinds[1:][rare].astype(np.int32))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *(pa.array(o, t) for o, t in zip(out, types))], names
-            )
+            texts, begin, room = [], 0, 0
+            for i, text in enumerate(_bytes(batch.column(3))):
+                texts.append(words_of(text))
+                room += len(texts[-1])
+                if room >= _ENTRIES or i + 1 == len(batch):
+                    yield scored(batch.slice(begin, len(texts)), texts)
+                    texts, begin, room = [], i + 1, 0
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     parts = stored(numbered.mapInArrow(

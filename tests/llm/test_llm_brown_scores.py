@@ -75,3 +75,28 @@ def test_contexts(spark):
     for (a, b), n in pairs.items():
         begin[start[a], start[b]] += n
     assert brown_lm.likelihood(after) >= brown_lm.likelihood(begin) and better[0] == 0
+
+
+def test_neighbours_of_texts_move_as_packs(spark):
+    texts = [words(200, k) + " end" * (k % 3) for k in range(30)] + [""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    common = sorted({w for t in texts for w in brown_lm.words_of(t)})[:40]
+    symbols = brown_lm.Symbols({w: i + 1 for i, w in enumerate(common)}, 7)
+    packs = brown_lm.text_neighbours(frame, symbols).collect()
+    got = {}
+    for row in packs:
+        for symbol, other, n in zip(*(np.frombuffer(v, kind).tolist() for v, kind in zip(row, (np.int32, np.int32, np.int64)))):
+            got[symbol, other] = got.get((symbol, other), 0) + n
+    want = {}
+    for text in texts:
+        own = symbols.of(brown_lm.words_of(text)).tolist()
+        for a, b in zip(own, own[1:]):
+            for place in [(a, b)] + [(b, ~a)] * (a != b):
+                want[place] = want.get(place, 0) + 1
+    assert got == want and len(packs) < len(want) / 10
+    # A pair may be in more than one row.
+    bigrams = spark.createDataFrame([(1, 2, 3), (1, 2, 4), (0, 1, 1)], "a int, b int, n long").repartition(2)
+    sums = {}
+    for r in brown_lm._contexts(brown_lm.neighbours_of(bigrams), np.array([0, 1, 2], np.int32), 3).collect():
+        sums[r.symbol, r.slot] = sums.get((r.symbol, r.slot), 0) + r.n
+    assert sums == {(0, 1): 1, (1, 3): 1, (1, 2): 7, (2, 4): 7}
