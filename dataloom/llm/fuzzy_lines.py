@@ -36,13 +36,22 @@ _MEMORY = 200_000
 MAP_BITS = 1 << 10
 # Characters signed at once.
 _AT_ONCE = 1 << 18
+# Buckets that a task packs at once.
+_PACKED = 1_200_000
 _FLIP, _ODD = np.random.default_rng(20240229).integers(0, 1 << 32, (2, BANDS * VALUES), dtype=np.uint32) | np.array([[0], [1]], np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain_lines(text: str) -> list[bytes]:
+def plain_lines(text: str | bytes) -> list[bytes]:
     """The lines of a text in the form in which they are compared."""
-    return [b" ".join(line.split()) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    return [b" ".join(line.split()) for line in text.lower().split(b"\n")]
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """Texts as their UTF-8 bytes, some at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).cast(pa.binary()).to_pylist()
 
 
 def plain_line(line: str) -> str:
@@ -69,21 +78,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _distinct(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of each line's distinct shingles, line after line, and their numbers."""
-    codes = [np.frombuffer(l.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32) for l in lines]
+def _windows(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all windows over the lines, where each line's begin, and their numbers.
+    Windows that reach into the next line stand between those of two lines."""
+    text = b"\n".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(text, np.uint32)
+    breaks = np.flatnonzero(np.append(codes, 10) == 10)
+    lengths = np.diff(breaks, prepend=-1) - 1
     # A line shorter than a shingle is filled up, with a character that texts do not hold.
-    codes = [c if len(c) >= size else np.pad(c, (0, size - len(c)), constant_values=0x110000) for c in codes]
-    lengths = np.array([len(c) for c in codes])
-    text = np.concatenate(codes).astype(np.uint64)
-    hashes = np.zeros(len(text) - size + 1, np.uint64)
+    wide = np.maximum(lengths, size)
+    begins = np.cumsum(wide) - wide
+    filled = np.full(wide.sum(), 0x110000, np.uint64)
+    filled[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = codes[codes != 10]
+    hashes = np.zeros(len(filled) - size + 1, np.uint64)
     for j in range(size):
         hashes *= _STEP
-        hashes += text[j:len(text) - size + 1 + j]
-    hashes = _mixed(hashes)
-    # The last windows of a line reach into the next one and are left out. Sorted, a
-    # line's repeated shingles stand together.
-    begins, windows = np.cumsum(lengths) - lengths, lengths - size + 1
+        hashes += filled[j:len(filled) - size + 1 + j]
+    return _mixed(hashes), begins, wide - size + 1
+
+
+def _distinct(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each line's distinct shingles, line after line, and their numbers."""
+    hashes, begins, windows = _windows(lines, size)
+    # Sorted, a line's repeated shingles stand together.
     for begin, end in zip(begins.tolist(), (begins + windows).tolist()):
         hashes[begin:end].sort()
     before = np.cumsum(windows) - windows
@@ -105,9 +122,10 @@ def sketches(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 
 def _buckets(lines: list[bytes], size: int) -> np.ndarray:
-    all_of, counts = _distinct(lines, size)
-    firsts = np.cumsum(counts) - counts
-    low = all_of.astype(np.uint32)
+    # A repeated shingle does not change the smallest value.
+    hashes, begins, windows = _windows(lines, size)
+    low = hashes[np.repeat(begins - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())].astype(np.uint32)
+    firsts = np.cumsum(windows) - windows
     turned, out = np.empty_like(low), np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64) * _STEP
@@ -150,43 +168,125 @@ def _lists(table: np.ndarray, there: np.ndarray) -> pa.Array:
 
 
 def _signed(rows: DataFrame, size: int) -> DataFrame:
-    """``id, mark, line, node, buckets``: every line that is not blank; its buckets only
-    where a task meets the line for the first time."""
+    """``id, mark, line, n_lines, node, buckets``: every line, those that are blank without
+    a node; the number of lines with the first one; a line's buckets, packed, only where a
+    task meets the line for the first time."""
     kind = rows.schema["id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            at, numbers, nodes, first, fresh, room = [], [], [], [], [], 0
+            at, numbers, many, nodes, first, fresh, room = [], [], [], [], [], [], 0
 
             def flush():
-                if not at:
-                    return None
-                buckets = _buckets(fresh, size) if fresh else np.empty((0, BANDS), np.int64)
+                packs = [None] * len(at)
+                if fresh:
+                    packed, wide = _buckets(fresh, size).tobytes(), 8 * BANDS
+                    for i, place in enumerate(first):
+                        packs[place] = packed[i * wide:(i + 1) * wide]
                 take = pa.array(at, pa.int64())
                 return pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()),
-                    pa.array(nodes, pa.int64()), _lists(buckets, np.array(first, bool)),
-                ], ["id", "mark", "line", "node", "buckets"])
-
-            for i, text in enumerate(batch.column(2)):
-                for number, line in enumerate(plain_lines(text.as_py())):
-                    if not line:
-                        continue
-                    key = line_key(line)
-                    if new := key not in seen:
+                    pa.array(many, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packs, pa.binary()),
+                ], ["id", "mark", "line", "n_lines", "node", "buckets"])
+
+            for i, text in enumerate(_bytes(batch.column(2))):
+                lines = plain_lines(text)
+                for number, line in enumerate(lines):
+                    key = line_key(line) if line else None
+                    if line and key not in seen:
                         if len(seen) >= _MEMORY:
                             seen.clear()
                         seen.add(key)
+                        first.append(len(at))
                         fresh.append(line)
                         room += len(line)
-                    at.append(i), numbers.append(number), nodes.append(key), first.append(new)
+                    at.append(i), numbers.append(number), nodes.append(key), many.append(None if number else len(lines))
                     if room >= _AT_ONCE or len(at) >= 20_000:
                         yield flush()
-                        at, numbers, nodes, first, fresh, room = [], [], [], [], [], 0
-            if (rest := flush()) is not None:
-                yield rest
+                        at, numbers, many, nodes, first, fresh, room = [], [], [], [], [], [], 0
+            if at:
+                yield flush()
+
+    return rows.mapInArrow(run, f"id {kind}, mark long, line int, n_lines int, node long, buckets binary")
 
-    return rows.mapInArrow(run, f"id {kind}, mark long, line int, node long, buckets array<long>")
+
+def _members(signed_lines: DataFrame) -> DataFrame:
+    """``bucket, node`` of the buckets with more than one node, a stored table; rows may repeat.
+
+    Most buckets have one node, so buckets and nodes are moved as packed arrays, dealt by
+    bucket, and only those of shared buckets become rows. A task remembers each of its
+    buckets once, however many nodes it has.
+    """
+    parts = min(1 << 14, 4 * int(signed_lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+
+        def rows():
+            buckets, nodes = (np.concatenate([h[i] for h in held]) for i in range(2))
+            held.clear()
+            part = ((buckets.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            cut = [0, *np.cumsum(np.bincount(part, minlength=parts)).tolist()]
+            for at in range(0, parts, some := max(1, parts // 8)):
+                there = [i for i in range(at, min(parts, at + some)) if cut[i] < cut[i + 1]]
+                packs = [[v[order[cut[i]:cut[i + 1]]].tobytes() for i in there] for v in (buckets, nodes)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(there, pa.int32()), *(pa.array(p, pa.binary()) for p in packs)], ["part", "buckets", "nodes"]
+                )
+
+        for batch in batches:
+            if len(batch):
+                held.append((
+                    np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64),
+                    np.repeat(batch.column(1).to_numpy(zero_copy_only=False), BANDS),
+                ))
+                room += len(batch) * BANDS
+            if room >= _PACKED:
+                yield from rows()
+                room = 0
+        if held:
+            yield from rows()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of every bucket one node, and whether it has been passed on.
+        known = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        held, room = [], 0
+
+        def found():
+            nonlocal known, held, room
+            buckets, nodes = (np.concatenate([known[i], *(h[i] for h in held)]) for i in range(2))
+            done = np.concatenate([known[2], np.zeros(room, bool)])
+            held, room = [], 0
+            order = np.lexsort((~done, nodes, buckets))
+            buckets, nodes, done = buckets[order], nodes[order], done[order]
+            begins = np.ones(len(buckets), bool)
+            begins[1:] = buckets[1:] != buckets[:-1]
+            new = begins.copy()
+            new[1:] |= nodes[1:] != nodes[:-1]
+            buckets, nodes, done, begins = buckets[new], nodes[new], done[new], begins[new]
+            first = np.flatnonzero(begins)
+            many = np.diff(first, append=len(buckets)) > 1
+            out = np.flatnonzero(np.repeat(many, np.diff(first, append=len(buckets))) & ~done)
+            known = buckets[first], nodes[first], many | done[first]
+            for at in range(0, len(out), 50_000):
+                some = out[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[some]), pa.array(nodes[some])], ["bucket", "node"])
+
+        for batch in batches:
+            for row in zip(*batch.columns[1:]):
+                held.append([np.frombuffer(v.as_buffer(), np.int64) for v in row])
+                room += len(held[-1][0])
+                if room >= _PACKED:
+                    yield from found()
+        if held:
+            yield from found()
+
+    packs = signed_lines.where("buckets IS NOT NULL").select("buckets", "node").mapInArrow(
+        deal, "part int, buckets binary, nodes binary"
+    )
+    return stored(packs.repartition("part").mapInArrow(shared, "bucket long, node long"), "members")
 
 
 def _bit(node: np.ndarray) -> np.ndarray:
@@ -216,8 +316,8 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         filled, seen = shared.value, set()
         for batch in batches:
             nodes, texts = [], []
-            for text in batch.column(0):
-                for line in plain_lines(text.as_py()):
+            for text in _bytes(batch.column(0)):
+                for line in plain_lines(text):
                     if line:
                         key = line_key(line)
                         if key not in seen:
@@ -287,21 +387,16 @@ def kept_lines(
     """
     rows = _rows(docs, id_col, text_col)
     lines = stored(_signed(rows, size), "lines")
-    members = lines.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "node")
-    roots = linked(members, partial(may_be_near, least=least), _preparer(rows, size, least))
-    rooted = lines.select("id", "mark", "line", "node").join(roots, "node", "left")
+    roots = linked(_members(lines), partial(may_be_near, least=least), _preparer(rows, size, least))
+    rooted = lines.where("node IS NOT NULL").select("id", "mark", "line", "node").join(roots, "node", "left")
     stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")).alias("first")
-    ).select("first.id", "first.mark", "first.line")
-    blank = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line", "words")).where(
-        ~F.col("words").rlike("[^\\x20\\x09-\\x0D]")
-    ).select("id", "mark", "line")
+    ).select("first.id", "first.mark", "first.line", F.lit(None).cast("int").alias("n_lines"))
+    blank = lines.where("node IS NULL").select("id", "mark", "line", F.lit(None).cast("int")).distinct()
+    whole = lines.where("line = 0").select("id", "mark", F.lit(None).cast("int"), "n_lines")
     # A document's lists are as long as its lines.
-    lists = stays.unionAll(blank.distinct()).groupBy("id", "mark").agg(F.sort_array(F.collect_list("line")).alias("kept"))
-    whole = rows.select("id", "mark", F.size(F.split("text", "\n", -1)).alias("n_lines")).distinct()
-    lists = lists.select(F.col("id").alias("of"), F.col("mark").alias("with"), "kept")
-    return whole.join(lists, whole["id"].eqNullSafe(lists["of"]) & (whole["mark"] == lists["with"]), "left").select(
-        "id", "mark", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
+    return stays.unionAll(blank).unionAll(whole).groupBy("id", "mark").agg(
+        F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_list("line")).alias("kept")
     )
 
 

@@ -1,8 +1,9 @@
 """Buckets of many near copies cost a few comparisons a member."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from dataloom.llm import buckets
+from dataloom.llm import buckets, fuzzy_lines
 
 
 def test_stragglers_that_link_are_not_all_compared(spark):
@@ -34,3 +35,29 @@ def test_no_link_is_lost(spark):
     members = nodes.select(F.lit(1).cast("long").alias("bucket"), "node")
     roots = buckets.linked(members, lambda left, right: F.abs(left - right) <= 1, prepared).collect()
     assert {r.root for r in roots} == {0} and len(roots) == 60
+
+
+def test_only_shared_buckets_become_rows(spark, monkeypatch):
+    # So small packs that a task adds up what it remembers many times.
+    monkeypatch.setattr(fuzzy_lines, "_PACKED", 60)
+    own = np.random.default_rng(3)
+    lines = [(int(node), own.integers(0, 900, fuzzy_lines.BANDS)) for node in own.integers(0, 120, 200)]
+    lines += [(1000 + k, np.full(fuzzy_lines.BANDS, 5000)) for k in range(80)]
+    rows = [(node, b.astype(np.int64).tobytes()) for node, b in lines] + [(7, None)]
+    frame = spark.createDataFrame(rows, "node long, buckets binary").repartition(4)
+    nodes = {}
+    for node, found in lines:
+        for b in found.tolist():
+            nodes.setdefault(b, set()).add(node)
+    want = {(b, node) for b, of in nodes.items() if len(of) > 1 for node in of}
+    got = [tuple(r) for r in fuzzy_lines._members(frame).select("bucket", "node").collect()]
+    assert set(got) == want and len(want) < sum(map(len, nodes.values()))
+    assert fuzzy_lines._members(frame.where("node < 0")).count() == 0
+
+
+def test_short_and_repeating_lines_have_the_buckets_of_their_shingles():
+    # A line's buckets do not depend on the lines beside it, nor on how often a shingle comes.
+    lines = ["x", "ab" * 40, "ab" * 20, "é漢🙂", "twelve chars", "x" * 9]
+    together = fuzzy_lines.signatures(lines)
+    assert all((together[i] == fuzzy_lines.signatures([line])[0]).all() for i, line in enumerate(lines))
+    assert (together[1] == together[2]).all() and not (together[0] == together[5]).any()
