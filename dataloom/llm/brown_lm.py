@@ -44,7 +44,8 @@ _ENTRIES = 400_000
 _PRIOR = 10.0
 END = 0
 _PACKS = ["symbols", "others", "counts"]
-_KINDS = (np.int32, np.int32, np.int64)
+# Neighbours in one row of a shuffle, so that a batch of such rows stays small.
+_PIECE = 64
 _PIECES = "part int, symbols binary, others binary, counts binary"
 
 
@@ -114,7 +115,7 @@ class Symbols:
 def _pieces(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """``part, symbols, others, counts``: each bigram for both of its symbols, packed by
     part of the symbols. A neighbour before the symbol is written as its complement."""
-    a, b = a.astype(np.int32), b.astype(np.int32)
+    a, b, n = a.astype(np.int32), b.astype(np.int32), n.astype(np.int64)
     yield from _dealt(a, b, n, parts)
     apart = a != b
     yield from _dealt(b[apart], ~a[apart], n[apart], parts)
@@ -123,17 +124,31 @@ def _pieces(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> Iterator
 def _dealt(symbol: np.ndarray, other: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     part = (symbol % parts).astype(np.uint16)
     order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    some = max(1, parts // 16)  # parts that are passed on at once
-    for at in range(0, parts, some):
-        cut = [0, *ends.tolist()][at:at + some + 1]
-        there = [i for i in range(len(cut) - 1) if cut[i] < cut[i + 1]]
-        packs = [v[order[cut[0]:cut[-1]]].astype(kind) for v, kind in zip((symbol, other, n), _KINDS)]
-        if there:
-            yield pa.RecordBatch.from_arrays([
-                pa.array([at + i for i in there], pa.int32()),
-                *(pa.array([v[cut[i] - cut[0]:cut[i + 1] - cut[0]].tobytes() for i in there], pa.binary()) for v in packs),
-            ], ["part", *_PACKS])
+    sizes = np.bincount(part, minlength=parts)
+    pieces = -(-sizes // _PIECE)
+    of = np.repeat(np.arange(parts, dtype=np.int32), pieces)
+    first = np.cumsum(pieces) - pieces
+    begins = np.repeat(np.cumsum(sizes) - sizes, pieces) + (np.arange(len(of)) - np.repeat(first, pieces)) * _PIECE
+    bounds = np.append(begins, len(order))
+    for at in range(0, len(of), 2_000):
+        cut = bounds[at:at + 2_001]
+        some = order[cut[0]:cut[-1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of[at:at + 2_000]), *(_binary(v[some], cut - cut[0]) for v in (symbol, other, n))], ["part", *_PACKS]
+        )
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values between two bounds, as the bytes of one row."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    """The integers of all rows."""
+    column = column.cast(pa.binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[bounds[0]:bounds[-1]].view(kind)
 
 
 def _parts(texts: DataFrame) -> int:
@@ -166,16 +181,17 @@ def _together(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, room = [], 0
         for batch in batches:
-            for row in zip(*batch.columns[1:]):
-                symbol, other, n = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, _KINDS))
-                held.append(((symbol.astype(np.int64) << 32) | other.view(np.uint32), n))
-                room += len(n)
-                if room >= 4 * _ENTRIES:
-                    held = [added(held)]
-                    room = len(held[0][0])
-                    if room >= 2 * _ENTRIES:
-                        yield from rows(*held[0])
-                        held, room = [], 0
+            if not len(batch):
+                continue
+            symbol, other, n = map(_values, batch.columns[1:], (np.int32, np.int32, np.int64))
+            held.append(((symbol.astype(np.int64) << 32) | other.view(np.uint32), n.copy()))
+            room += len(n)
+            if room >= 4 * _ENTRIES:
+                held = [added(held)]
+                room = len(held[0][0])
+                if room >= 2 * _ENTRIES:
+                    yield from rows(*held[0])
+                    held, room = [], 0
         if held:
             yield from rows(*added(held))
 
