@@ -162,7 +162,8 @@ def _together(pieces: DataFrame) -> DataFrame:
 
     A task adds up what it meets of the same neighbours as long as that makes them fewer;
     it holds a bounded number of them, and some may be in more than one pack. Packs are
-    moved and read without work for each row.
+    moved and read without work for each row, and hold so few that a batch of them is
+    small, however many rows a task reads.
     """
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         pairs, n = (np.concatenate([h[i] for h in held]) for i in range(2))
@@ -172,11 +173,11 @@ def _together(pieces: DataFrame) -> DataFrame:
         return pairs[first], np.add.reduceat(n[order], first)
 
     def rows(pairs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(pairs), _ENTRIES):
-            some = pairs[at:at + _ENTRIES]
-            values = ((some >> 32), some & 0xFFFFFFFF, n[at:at + _ENTRIES])
-            kinds = (np.int32, np.uint32, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(values, kinds)], _PACKS)
+        for at in range(0, len(pairs), step := 2_000 * _PIECE):
+            some = pairs[at:at + step]
+            bounds = np.append(np.arange(0, len(some), _PIECE), len(some))
+            values = (some >> 32).astype(np.int32), (some & 0xFFFFFFFF).astype(np.uint32), n[at:at + step]
+            yield pa.RecordBatch.from_arrays([_binary(v, bounds) for v in values], _PACKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, room = [], 0
@@ -250,11 +251,11 @@ def _contexts(neighbours: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
         own = shared.value.astype(np.int64)
         sums = np.zeros(len(own) * wide, np.int64)
         for batch in batches:
-            for row in zip(*batch.columns):
-                symbol, other = (np.frombuffer(row[i].as_buffer(), np.int32).astype(np.int64) for i in range(2))
+            for at in range(0, len(batch), 2_000):
+                symbol, other, n = map(_values, batch.slice(at, 2_000).columns, (np.int32, np.int32, np.int64))
                 before = other < 0
                 slot = np.where(symbol == other, 2 * k, own[np.where(before, ~other, other)] + k * before)
-                np.add.at(sums, symbol * wide + slot, np.frombuffer(row[2].as_buffer(), np.int64))
+                np.add.at(sums, symbol.astype(np.int64) * wide + slot, n)
         found = np.flatnonzero(sums)
         for at in range(0, len(found), 50_000):
             some = found[at:at + 50_000]

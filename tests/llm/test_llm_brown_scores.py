@@ -100,3 +100,11 @@ def test_neighbours_of_texts_move_as_packs(spark):
     for r in brown_lm._contexts(brown_lm.neighbours_of(bigrams), np.array([0, 1, 2], np.int32), 3).collect():
         sums[r.symbol, r.slot] = sums.get((r.symbol, r.slot), 0) + r.n
     assert sums == {(0, 1): 1, (1, 3): 1, (1, 2): 7, (2, 4): 7}
+
+
+def test_packs_are_small_however_many_neighbours_a_task_holds(spark):
+    bigrams = spark.createDataFrame([(a, b, a + b) for a in range(40) for b in range(40)], "a int, b int, n long").repartition(2)
+    packs = brown_lm.neighbours_of(bigrams).collect()
+    sizes = [len(r.symbols) // 4 for r in packs]
+    assert max(sizes) <= brown_lm._PIECE and sum(sizes) == 2 * 1600 - 40
+    assert all(len(r.others) == 4 * n and len(r["counts"]) == 8 * n for r, n in zip(packs, sizes))
