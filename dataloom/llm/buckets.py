@@ -37,19 +37,30 @@ def _unmasked(picked: Column, turn: int) -> Column:
     return picked.bitwiseXOR(F.xxhash64("bucket", F.lit(turn)))
 
 
+def often(members: DataFrame) -> DataFrame:
+    """``bucket, node`` without most of the buckets that have one member.
+
+    A count over short hashes of the buckets, a few bytes a row, leaves those out before
+    nodes are looked at.
+    """
+    hashed = members.withColumn("short", F.hash("bucket"))
+    shorts = hashed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
+    return hashed.join(shorts, "short", "left_semi").select("bucket", "node")
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """``bucket, node, hub`` of the buckets with more than one node.
 
-    Most buckets have one member. A count over short hashes of the buckets, a few bytes a
-    row, leaves those out before nodes are looked at.
+    Near copies share many buckets. Of buckets with the same members, which would give the
+    same pairs, one stays; members are told by their number and 128 bits of hash.
     """
-    hashed = members.withColumn("short", F.hash("bucket"))
-    often = hashed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
-    some = stored(hashed.join(often, "short", "left_semi").select("bucket", "node").distinct(), "often")
+    some = stored(members.select("bucket", "node").distinct(), "often")
     hubs = some.groupBy("bucket").agg(
-        F.min("node").alias("low"), F.max("node").alias("top"), _pick(F.col("node"), 0).alias("hub")
-    ).where("low < top").select("bucket", _unmasked(F.col("hub"), 0).alias("hub"))
-    return some.join(hubs, "bucket").select("bucket", "node", "hub")
+        F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), _pick(F.col("node"), 0).alias("hub"),
+    ).where("low < top").withColumn("hub", _unmasked(F.col("hub"), 0))
+    single = hubs.groupBy("low", "top", "n", "x", "y").agg(F.min_by("hub", "bucket").alias("hub"), F.min("bucket").alias("bucket"))
+    return some.join(single.select("bucket", "hub"), "bucket").select("bucket", "node", "hub")
 
 
 def _tagged(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -85,8 +96,8 @@ def linked(
 ) -> DataFrame:
     """``node, root`` of every node linked to another.
 
-    ``members(bucket, node)`` is read more than once and should be a stored table; rows
-    may repeat. ``prepared`` gets the nodes that share a bucket with others, each once. It
+    ``members(bucket, node)``: rows may repeat; ``often`` makes them fewer where most
+    buckets have one member. ``prepared`` gets the nodes that share a bucket with others, each once. It
     returns their stored ``node, sketch`` and a function that takes ``a, b`` pairs, each
     once, and gives those linked. ``near`` tells from two sketches whether a link is
     possible; it must not deny any, and only pairs that pass become rows.

@@ -35,17 +35,24 @@ _MEMORY = 200_000
 # Bits of a line's parity map: the longest lines still tell apart in them.
 MAP_BITS = 1 << 10
 # Characters signed at once.
-_AT_ONCE = 1 << 18
+_AT_ONCE = 1 << 17
 # Buckets that a task packs at once.
 _PACKED = 1_200_000
 _FLIP, _ODD = np.random.default_rng(20240229).integers(0, 1 << 32, (2, BANDS * VALUES), dtype=np.uint32) | np.array([[0], [1]], np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+# Characters of a text that are searched in the time in which one more shingle is cut out.
+_SEARCHED = 1_000
+# White space other than spaces and line ends.
+_OTHER_SPACE = b"\t", b"\x0b", b"\x0c", b"\r"
 
 
 def plain_lines(text: str | bytes) -> list[bytes]:
     """The lines of a text in the form in which they are compared."""
     text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
-    return [b" ".join(line.split()) for line in text.lower().split(b"\n")]
+    lines = text.lower().split(b"\n")
+    if b"  " in text or any(space in text for space in _OTHER_SPACE):
+        return [b" ".join(line.split()) for line in lines]
+    return [line.strip(b" ") for line in lines]
 
 
 def _bytes(column: pa.Array) -> Iterator[bytes]:
@@ -73,28 +80,87 @@ def similarity(left: set[str], right: set[str]) -> float:
     return both / (len(left) + len(right) - both)
 
 
+def _alike(left: str, right: str) -> int:
+    """How many characters two texts have in common at their beginnings."""
+    low, high = 0, min(len(left), len(right))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if left[low:middle] == right[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _unlike(line: str, other: str, begin: int, end: int, size: int) -> int:
+    """The distinct shingles of ``line`` that ``other`` does not hold. Its first ``begin``
+    and its last ``end`` characters, which do not meet, are those of ``other`` too."""
+    # A shingle that lies in one of both stretches is a shingle of the other line.
+    last = len(line) - max(end, size - 1)
+    parts = {line[i:i + size] for i in range(max(0, begin - size + 1), last)}
+    if len(parts) * (len(other) + 200) < _SEARCHED * len(other):
+        return sum(part not in other for part in parts)
+    return len(parts - shingles(other, size))
+
+
+def near_lines(left: str, right: str, n: int, size: int = SHINGLE, least: float = SIMILARITY) -> bool:
+    """Whether the exact similarity of two lines is ``least`` or more. ``n`` is a number of
+    shingles that the left one is known to have, fewer perhaps than it has."""
+    shorter, longer = sorted((len(left), len(right)))
+    begin = _alike(left, right)
+    end = min(_alike(left[::-1], right[::-1]), shorter - begin)
+    if shorter < size or 3 * (longer - begin - end) > shorter:
+        return similarity(shingles(left, size), shingles(right, size)) >= least
+    only_left, only_right = _unlike(left, right, begin, end, size), _unlike(right, left, begin, end, size)
+
+    def near(n: int) -> bool:
+        return (n - only_left) / (n + only_right) >= least
+
+    # The similarity grows with the number of shingles, which lies between these two.
+    if near(max(n, 1)):
+        return True
+    return near(len(left) - size + 1) and near(len(shingles(left, size)))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    out = x >> np.uint64(31)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial of every window, put together from those of windows half as wide."""
+    out, wide = codes, 1
+    for bit in bin(size)[3:]:
+        left = out[:-wide] * np.uint64(pow(int(_STEP), wide, 1 << 64))
+        left += out[wide:]
+        out, wide = left, 2 * wide
+        if bit == "1":
+            left = out[:-1] * _STEP
+            left += codes[wide:]
+            out, wide = left, wide + 1
+    return out
 
 
 def _windows(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all windows over the lines, where each line's begin, and their numbers.
     Windows that reach into the next line stand between those of two lines."""
-    text = b"\n".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
-    codes = np.frombuffer(text, np.uint32)
-    breaks = np.flatnonzero(np.append(codes, 10) == 10)
-    lengths = np.diff(breaks, prepend=-1) - 1
-    # A line shorter than a shingle is filled up, with a character that texts do not hold.
+    text = b"\n".join(lines)
+    if text.isascii():
+        codes = np.frombuffer(text, np.uint8).astype(np.uint64)
+    else:
+        text = text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(text, np.uint32).astype(np.uint64)
+    ends = np.append(np.flatnonzero(codes == 10), len(codes))
+    lengths = np.diff(ends, prepend=-1) - 1
     wide = np.maximum(lengths, size)
-    begins = np.cumsum(wide) - wide
-    filled = np.full(wide.sum(), 0x110000, np.uint64)
-    filled[np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = codes[codes != 10]
-    hashes = np.zeros(len(filled) - size + 1, np.uint64)
-    for j in range(size):
-        hashes *= _STEP
-        hashes += filled[j:len(filled) - size + 1 + j]
-    return _mixed(hashes), begins, wide - size + 1
+    if (lengths < size).any():
+        # A line shorter than a shingle is filled up, with a character that texts do not hold.
+        codes = np.insert(codes, np.repeat(ends, wide - lengths), 0x110000)
+    begins = np.cumsum(wide + 1) - (wide + 1)
+    return _mixed(_rolled(codes, size)), begins, wide - size + 1
 
 
 def _distinct(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +190,16 @@ def sketches(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 def _buckets(lines: list[bytes], size: int) -> np.ndarray:
     # A repeated shingle does not change the smallest value.
     hashes, begins, windows = _windows(lines, size)
-    low = hashes[np.repeat(begins - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())].astype(np.uint32)
-    firsts = np.cumsum(windows) - windows
+    low = hashes.astype(np.uint32)
+    # Every other stretch lies between two lines.
+    bounds = np.stack([begins, begins + windows], axis=1).ravel()[:-1]
     turned, out = np.empty_like(low), np.empty((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64) * _STEP
         for i in range(band * VALUES, (band + 1) * VALUES):
-            np.multiply(low ^ _FLIP[i], _ODD[i], out=turned)
-            key = _mixed((key ^ np.minimum.reduceat(turned, firsts)) * _STEP)
+            np.bitwise_xor(low, _FLIP[i], out=turned)
+            np.multiply(turned, _ODD[i], out=turned)
+            key = _mixed((key ^ np.minimum.reduceat(turned, bounds)[::2]) * _STEP)
         out[:, band] = key
     return out.view(np.int64)
 
@@ -354,21 +422,19 @@ def _sketched(texts: DataFrame, size: int) -> DataFrame:
 
 def _preparer(rows: DataFrame, size: int, least: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, set()
         for batch in batches:
             keep = []
-            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
-                if (left := left.as_py()) != hub:
-                    hub, own = left, shingles(left, size)
-                keep.append(similarity(own, shingles(right.as_py(), size)) >= least)
+            for at in range(0, len(batch), 256):
+                keep += [near_lines(*row, size, least) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns[2:]))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def prepared(nodes: DataFrame):
         texts = stored(_sketched(_texts(rows, nodes), size), "texts")
-        of_a, of_b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "left"), ("b", "right")))
+        of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("left"), "n")
+        of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
 
         def verified(pairs: DataFrame) -> DataFrame:
-            return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+            return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "left", "right", "n").mapInArrow(check, "a long, b long")
 
         return texts.select("node", F.struct("n", "parity").alias("sketch")), verified
 

@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dataloom.llm.buckets import linked
+from dataloom.llm.buckets import linked, often
 from dataloom.llm.common import picked, text_or_empty
 from dataloom.plans.positions import with_position
 from dataloom.plans.shared import stored
@@ -164,7 +164,7 @@ def near_duplicates(
 
         return own.select("node", F.size("signs").alias("sketch")), verified
 
-    roots = linked(members, near, prepared)
+    roots = linked(often(members), near, prepared)
     named = sets.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     tagged = keyed.select("id", "key").join(named, "key")
     classes = tagged.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))

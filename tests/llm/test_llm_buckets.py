@@ -61,3 +61,30 @@ def test_short_and_repeating_lines_have_the_buckets_of_their_shingles():
     together = fuzzy_lines.signatures(lines)
     assert all((together[i] == fuzzy_lines.signatures([line])[0]).all() for i, line in enumerate(lines))
     assert (together[1] == together[2]).all() and not (together[0] == together[5]).any()
+
+
+def test_buckets_with_the_same_members_are_one(spark):
+    # Two near copies share eight buckets, one of them is also in a bucket with others.
+    rows = [(b, n) for b in range(8) for n in (1, 2)] + [(20, 1), (20, 2), (20, 3), (30, 4), (40, 1), (40, 1)]
+    shared = buckets._shared(spark.createDataFrame(rows, "bucket long, node long")).collect()
+    of = {}
+    for r in shared:
+        of.setdefault(r.bucket, set()).add(r.node)
+    assert sorted(map(sorted, of.values())) == [[1, 2], [1, 2, 3]] and all(r.hub in of[r.bucket] for r in shared)
+
+
+def test_near_lines_are_told_by_their_differences():
+    own = np.random.default_rng(5)
+    text = "".join(own.choice(list("abcdefgh é🙂"), 400))
+    found = set()
+    for k in range(300):
+        left = text[:own.integers(1, 400)] * own.integers(1, 3)
+        right = list(left)
+        for at in own.integers(0, len(left), own.integers(0, 4)):
+            right[at] = "xyz"[own.integers(3)] * own.integers(0, 3)
+        right = "".join(right) or "x"
+        sets = fuzzy_lines.shingles(left), fuzzy_lines.shingles(right)
+        for n in (len(sets[0]), len(sets[0]) // 2):
+            assert fuzzy_lines.near_lines(left, right, n) == (fuzzy_lines.similarity(*sets) >= 0.8)
+        found.add(fuzzy_lines.similarity(*sets) >= 0.8)
+    assert found == {True, False}
