@@ -34,6 +34,8 @@ _FILTER_BITS = 26
 _MEMORY = 200_000
 # Bits of a line's parity map: the longest lines still tell apart in them.
 MAP_BITS = 1 << 10
+# Bits of a character in a shingle that is told by its characters.
+_PACKED_BITS = 7
 # Characters signed at once.
 _AT_ONCE = 1 << 17
 # Buckets that a task packs at once.
@@ -130,20 +132,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+def _rolled(codes: np.ndarray, size: int, step: int = int(_STEP)) -> np.ndarray:
     """The polynomial of every window, put together from those of windows half as wide."""
     out, wide = codes, 1
     for bit in bin(size)[3:]:
-        left = out[:-wide] * np.uint64(pow(int(_STEP), wide, 1 << 64))
+        left = out[:-wide] * np.uint64(pow(step, wide, 1 << 64))
         left += out[wide:]
         out, wide = left, 2 * wide
         if bit == "1":
-            left = out[:-1] * _STEP
+            left = out[:-1] * np.uint64(step)
             left += codes[wide:]
             out, wide = left, wide + 1
     return out
 
 
+def _near_packed(lines: list[str], letters: set[str], size: int, least: float) -> np.ndarray:
+    """Of every two lines in turn, whether their exact similarity is ``least`` or more.
+
+    A shingle is its characters, seven bits each, so that none is taken for another, and one
+    more bit that tells the two lines apart; sorted, the shingles of both stand side by side.
+    """
+    one, text = np.uint64(1), "".join(lines)
+    if letters:
+        place = np.zeros(0x110000, np.uint8)
+        place[np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32)] = np.arange(len(letters))
+        codes = place[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    else:
+        codes = np.frombuffer(text.encode(), np.uint8)
+    shingle = _rolled(codes.astype(np.uint64), size, 1 << _PACKED_BITS)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines)).reshape(-1, 2)
+    begins = np.cumsum(lengths).reshape(-1, 2) - lengths
+    ends = begins + lengths - size + 1
+    # Windows that reach into the other line become one more copy of the first one.
+    shingle[ends[:, :1] + np.arange(size - 1)] = shingle[begins[:, :1]]
+    shingle <<= one
+    for (left, right), (_, end) in zip(begins.tolist(), ends.tolist()):
+        shingle[right:end] |= one
+        shingle[left:end].sort()
+    turned = shingle[1:] ^ shingle[:-1]
+    bounds = np.stack([begins[:, 0], ends[:, 1] - 1], axis=1).ravel()[:-1]
+    both = np.add.reduceat(turned == one, bounds, dtype=np.int64)[::2]
+    held = np.add.reduceat(turned != 0, bounds, dtype=np.int64)[::2] + 1
+    return both / (held - both) >= least
+
+
+def near_pairs(lefts: list[str], rights: list[str], n: list[int], size: int = SHINGLE, least: float = SIMILARITY) -> np.ndarray:
+    """``near_lines`` of many pairs, those together whose shingles fit into 63 bits."""
+    near = np.zeros(len(n), bool)
+    # Pairs of ASCII lines need no letters; others share an alphabet of their own.
+    groups = {True: ([], [], set()), False: ([], [], set())}
+
+    def flush(ascii: bool):
+        at, lines, letters = groups[ascii]
+        if at:
+            near[at] = _near_packed(lines, letters, size, least)
+        groups[ascii] = [], [], set()
+
+    room = {True: 0, False: 0}
+    for i, (left, right) in enumerate(zip(lefts, rights)):
+        ascii = left.isascii() and right.isascii()
+        letters = set() if ascii else {*left, *right}
+        if size * _PACKED_BITS > 63 or min(len(left), len(right)) < size or len(letters) > 1 << _PACKED_BITS:
+            near[i] = near_lines(left, right, n[i], size, least)
+            continue
+        if room[ascii] >= _AT_ONCE or len(letters | groups[ascii][2]) > 1 << _PACKED_BITS:
+            flush(ascii)
+            room[ascii] = 0
+        at, lines, alphabet = groups[ascii]
+        at.append(i)
+        lines += left, right
+        alphabet |= letters
+        room[ascii] += len(left) + len(right)
+    flush(True)
+    flush(False)
+    return near
+
+
 def _windows(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all windows over the lines, where each line's begin, and their numbers.
     Windows that reach into the next line stand between those of two lines."""
@@ -423,10 +487,11 @@ def _sketched(texts: DataFrame, size: int) -> DataFrame:
 def _preparer(rows: DataFrame, size: int, least: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep = [np.zeros(0, bool)]
             for at in range(0, len(batch), 256):
-                keep += [near_lines(*row, size, least) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns[2:]))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                left, right, n = batch.slice(at, 256).columns[2:]
+                keep.append(near_pairs(left.to_pylist(), right.to_pylist(), n.to_pylist(), size, least))
+            yield batch.select([0, 1]).filter(pa.array(np.concatenate(keep)))
 
     def prepared(nodes: DataFrame):
         texts = stored(_sketched(_texts(rows, nodes), size), "texts")

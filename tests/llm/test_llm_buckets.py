@@ -88,3 +88,31 @@ def test_near_lines_are_told_by_their_differences():
             assert fuzzy_lines.near_lines(left, right, n) == (fuzzy_lines.similarity(*sets) >= 0.8)
         found.add(fuzzy_lines.similarity(*sets) >= 0.8)
     assert found == {True, False}
+
+
+def test_pairs_are_told_together(monkeypatch):
+    own = np.random.default_rng(7)
+    # Letters of ASCII, of a second alphabet, and of one too large for seven bits.
+    alphabets = ["abc .", "abcdé漢🙂ж ", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))]
+    lefts, rights = [], []
+    for k in range(400):
+        left = "".join(own.choice(list(alphabets[k % 3]), int(own.integers(1, 300)))) * int(own.integers(1, 3))
+        right = list(left[int(own.integers(0, 9)):])
+        for at in own.integers(0, max(1, len(right)), int(own.integers(0, 4))):
+            right[at:at + 1] = "x" * int(own.integers(0, 3))
+        lefts.append(left)
+        rights.append("".join(right) or "y")
+    lefts += ["short", "a" * 9, "a" * 50, "\x00" * 12, "abcdefgh\x7f"]
+    rights += ["short one", "a" * 60, "a" * 9, "\x01" * 12, "abcdefgh\x00"]
+    want = [fuzzy_lines.similarity(fuzzy_lines.shingles(a), fuzzy_lines.shingles(b)) >= 0.8 for a, b in zip(lefts, rights)]
+    alone, near_lines = [], fuzzy_lines.near_lines
+    monkeypatch.setattr(fuzzy_lines, "near_lines", lambda *pair: alone.append(pair) or near_lines(*pair))
+    for room in (1, 2_000, 1 << 17):
+        monkeypatch.setattr(fuzzy_lines, "_AT_ONCE", room)
+        assert fuzzy_lines.near_pairs(lefts, rights, [0] * len(lefts)).tolist() == want
+    assert 50 < sum(want) < 350
+    # One by one only lines shorter than a shingle and lines of more than 128 characters.
+    assert alone and all(min(len(a), len(b)) < 9 or len({*a, *b}) > 128 for a, b, *_ in alone)
+    assert fuzzy_lines.near_pairs([], [], []).tolist() == []
+    # Longer shingles do not fit.
+    assert fuzzy_lines.near_pairs(["ab" * 20], ["ab" * 30], [2], 10).tolist() == [True]
