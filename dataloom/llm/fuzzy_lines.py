@@ -36,6 +36,8 @@ _MEMORY = 200_000
 MAP_BITS = 1 << 10
 # Bits of a character in a shingle that is told by its characters.
 _PACKED_BITS = 7
+# Characters of a pair that is told alone, so that long near copies need no arrays.
+_LONG = 1 << 17
 # Characters signed at once.
 _AT_ONCE = 1 << 17
 # Buckets that a task packs at once.
@@ -177,7 +179,8 @@ def _near_packed(lines: list[str], letters: set[str], size: int, least: float) -
 
 
 def near_pairs(lefts: list[str], rights: list[str], n: list[int], size: int = SHINGLE, least: float = SIMILARITY) -> np.ndarray:
-    """``near_lines`` of many pairs, those together whose shingles fit into 63 bits."""
+    """``near_lines`` of many pairs, those together that are not long and whose shingles
+    fit into 63 bits."""
     near = np.zeros(len(n), bool)
     # Pairs of ASCII lines need no letters; others share an alphabet of their own.
     groups = {True: ([], [], set()), False: ([], [], set())}
@@ -190,9 +193,9 @@ def near_pairs(lefts: list[str], rights: list[str], n: list[int], size: int = SH
 
     room = {True: 0, False: 0}
     for i, (left, right) in enumerate(zip(lefts, rights)):
-        ascii = left.isascii() and right.isascii()
+        ascii, both = left.isascii() and right.isascii(), len(left) + len(right)
         letters = set() if ascii else {*left, *right}
-        if size * _PACKED_BITS > 63 or min(len(left), len(right)) < size or len(letters) > 1 << _PACKED_BITS:
+        if size * _PACKED_BITS > 63 or min(len(left), len(right)) < size or both > _LONG or len(letters) > 1 << _PACKED_BITS:
             near[i] = near_lines(left, right, n[i], size, least)
             continue
         if room[ascii] >= _AT_ONCE or len(letters | groups[ascii][2]) > 1 << _PACKED_BITS:
@@ -202,7 +205,7 @@ def near_pairs(lefts: list[str], rights: list[str], n: list[int], size: int = SH
         at.append(i)
         lines += left, right
         alphabet |= letters
-        room[ascii] += len(left) + len(right)
+        room[ascii] += both
     flush(True)
     flush(False)
     return near

@@ -102,8 +102,9 @@ def test_pairs_are_told_together(monkeypatch):
             right[at:at + 1] = "x" * int(own.integers(0, 3))
         lefts.append(left)
         rights.append("".join(right) or "y")
-    lefts += ["short", "a" * 9, "a" * 50, "\x00" * 12, "abcdefgh\x7f"]
-    rights += ["short one", "a" * 60, "a" * 9, "\x01" * 12, "abcdefgh\x00"]
+    long = "".join(own.choice(list(alphabets[0]), 70_000))
+    lefts += [long, "short", "a" * 9, "a" * 50, "\x00" * 12, "abcdefgh\x7f"]
+    rights += [long + "d", "short one", "a" * 60, "a" * 9, "\x01" * 12, "abcdefgh\x00"]
     want = [fuzzy_lines.similarity(fuzzy_lines.shingles(a), fuzzy_lines.shingles(b)) >= 0.8 for a, b in zip(lefts, rights)]
     alone, near_lines = [], fuzzy_lines.near_lines
     monkeypatch.setattr(fuzzy_lines, "near_lines", lambda *pair: alone.append(pair) or near_lines(*pair))
@@ -111,8 +112,9 @@ def test_pairs_are_told_together(monkeypatch):
         monkeypatch.setattr(fuzzy_lines, "_AT_ONCE", room)
         assert fuzzy_lines.near_pairs(lefts, rights, [0] * len(lefts)).tolist() == want
     assert 50 < sum(want) < 350
-    # One by one only lines shorter than a shingle and lines of more than 128 characters.
-    assert alone and all(min(len(a), len(b)) < 9 or len({*a, *b}) > 128 for a, b, *_ in alone)
+    # One by one only lines shorter than a shingle, long ones and those of more than 128 different characters.
+    assert len(alone) > 3 and all(min(len(a), len(b)) < 9 or a is long or len({*a, *b}) > 128 for a, b, *_ in alone)
+    assert sum(a is long for a, *_ in alone) == 3
     assert fuzzy_lines.near_pairs([], [], []).tolist() == []
     # Longer shingles do not fit.
     assert fuzzy_lines.near_pairs(["ab" * 20], ["ab" * 30], [2], 10).tolist() == [True]
